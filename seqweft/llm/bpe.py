@@ -202,7 +202,11 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, n_tokens, ids_sha256, decoded_sha256."""
+    made = decode(encode(docs, path, id_col, text_col), path)
+    return made.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_bpe(spark, sf_dir: str) -> DataFrame:
-    path = default_path()
-    made = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_path())

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, utf8, words
+from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, utf8, words, written
 
 WINDOW = 13
 #: Bytes of item texts in one block of patterns; larger benchmarks take one pass for each block.
@@ -183,6 +183,13 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
     return (F.col(n_hit) > 0) & (20 * F.col(n_hit) >= F.col(n_words))
 
 
+def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs that aren't contaminated, with their columns. Ids that repeat must have equal texts or go together."""
+    found = decontaminate(docs, benchmark, id_col, text_col)
+    bad = written(found.where(contaminated()).select(F.col(id_col).alias("_id")).distinct(), "contaminated")
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(

@@ -250,6 +250,17 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     return look_up(rows, answers, "key").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs whose id names their component, with their columns; rows without words all stay.
+
+    Of rows that repeat both the id and the text one stays; rows with a null id stay only where no other is linked.
+    """
+    answers = linked(docs, id_col, text_col)
+    gone = answers.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
+    gone = written(gone, "duplicates")
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti").dropDuplicates([id_col, text_col])
+
+
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

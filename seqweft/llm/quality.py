@@ -219,9 +219,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     several labels, the largest counts. Null ids are scored and never learnt; repeated rows are scored alike.
     """
     stats = written(statistics_table(docs, id_col, text_col), "stats")
-    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("double").alias("y"))
-    labelled = written(stats.join(known, "id").select("stats", "y"), "labelled")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled))
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(stats, labels, id_col, label_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,6 +229,32 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.mapInArrow(run, f"id {kind}, score double").select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score")
 
 
+def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """Rows of docs that score at least `least`, with their columns; each row is judged by its own text, null ids too."""
+    scored = score_rows(docs, labels, id_col, text_col, label_col)
+    return scored.where(F.col("_score") >= least).drop("_score")
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """All columns of docs and _score; the texts stay where they are."""
+    stats = written(statistics_table(docs, id_col, text_col), "stats")
+    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(stats, labels, id_col, label_col)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_col):
+            s = model.value.score(statistics(batch.column(text_col)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "_score"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, _score double")
+
+
+def labelled_rows(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(stats, y) of the rows whose labels may be learnt."""
+    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col)).cast("double").alias("y"))
+    return written(stats.join(known, "id").select("stats", "y"), "labelled")
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     scored = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))

@@ -5,15 +5,19 @@ from __future__ import annotations
 from seqweft.llm import licenses
 from seqweft.llm.bpe import op10_bpe
 from seqweft.llm.decontaminate import op3_decontaminate
+from seqweft.llm.jaccard import op5_jaccard
 from seqweft.llm.licenses import op9_licenses
 from seqweft.llm.quality import op6_quality
 from seqweft.llm.secrets import op7_secrets
 from seqweft.llm.toxicity import op8_toxicity
 from seqweft.llm.warc import op1_warc
+from seqweft.llm.webp import op4_webp
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_decontaminate": op3_decontaminate,
+    "op4_webp": op4_webp,
+    "op5_jaccard": op5_jaccard,
     "op6_quality": op6_quality,
     "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
