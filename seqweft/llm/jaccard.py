@@ -255,10 +255,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Of rows that repeat both the id and the text one stays; rows with a null id stay only where no other is linked.
     """
-    answers = linked(docs, id_col, text_col)
+    answers = written(linked(docs, id_col, text_col), "answers")
     gone = answers.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
     gone = written(gone, "duplicates")
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti").dropDuplicates([id_col, text_col])
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
+    repeated = not answers.groupBy(id_col).count().where("count > 1").isEmpty()
+    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
