@@ -9,12 +9,14 @@ from seqweft.llm.jaccard import op5_jaccard
 from seqweft.llm.licenses import op9_licenses
 from seqweft.llm.quality import op6_quality
 from seqweft.llm.secrets import op7_secrets
+from seqweft.llm.suffix_dedup import op2_suffix_dedup
 from seqweft.llm.toxicity import op8_toxicity
 from seqweft.llm.warc import op1_warc
 from seqweft.llm.webp import op4_webp
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_decontaminate": op3_decontaminate,
     "op4_webp": op4_webp,
     "op5_jaccard": op5_jaccard,
