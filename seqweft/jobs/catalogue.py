@@ -1,6 +1,492 @@
-"""All queries of the library by name, and SQL that gives the same rows."""
+"""All queries of the library by name, and SQL that gives the same rows. Each takes (spark, sf_dir)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from seqweft.functions import numbers, strings, vectors
+from seqweft.operators import bitvector, bwsd, graphs, trees
+from seqweft.operators import edges as ed
+from seqweft.sources import writers
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Sequences: documents by language or source, conversations by role, events by user.
+
+K, SHORT_K = 8, 4
+_EVENT_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _seqs(spark, sf_dir, name="documents", colour="lang"):
+    return ed.sequences(table(spark, sf_dir, name), colour, "text")
+
+
+def _edges(spark, sf_dir, name="documents", colour="lang", k=K):
+    return ed.edges(_seqs(spark, sf_dir, name, colour), k)
+
+
+def _event_edges(spark, sf_dir, k=3):
+    """Event types as symbols; each user's events by time are a sequence, coloured by the user's remainder by 4."""
+    ev = table(spark, sf_dir, "events")
+    kinds = ev.select("event_type").distinct().withColumn("symbol", F.substring(F.lit(_EVENT_SYMBOLS), F.row_number().over(Window.orderBy("event_type")), F.lit(1)))
+    rows = ev.join(F.broadcast(kinds), "event_type").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "symbol"))).alias("x"))
+    seqs = rows.select((F.col("user_id") % 4).cast("string").alias("color"), F.array_join(F.transform("x", lambda e: e["symbol"]), "").alias("seq"))
+    return ed.edges(seqs, k)
+
+
+def _sql_seqs(name="documents", colour="lang"):
+    return f"seqs AS (SELECT {colour} AS color, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM {name} WHERE {colour} IS NOT NULL)"
+
+
+def _sql_edges(seqs: str, k: int) -> str:
+    return f"""{seqs},
+km AS (SELECT color, substr(seq, p, {k}) AS kmer, CASE WHEN p + {k} > length(seq) THEN '$' ELSE substr(seq, p + {k}, 1) END AS W
+       FROM (SELECT color, seq, unnest(range(1, length(seq) - {k} + 2)) AS p FROM seqs WHERE length(seq) >= {k})),
+e AS (SELECT color, kmer, W, count(*) AS coverage, reverse(kmer) AS r FROM km GROUP BY ALL)"""
+
+
+_E = "WITH " + _sql_edges(_sql_seqs(), K)
+_PAIRS = "c AS (SELECT DISTINCT color FROM e), pairs AS (SELECT a.color AS i, b.color AS j FROM c a JOIN c b ON a.color < b.color)"
+_RUNS = f"""{_PAIRS},
+x AS (SELECT i, j, color, r, W, row_number() OVER (PARTITION BY i, j ORDER BY r, W, color) - row_number() OVER (PARTITION BY i, j, color ORDER BY r, W) AS g FROM pairs JOIN e ON color = i OR color = j),
+runs AS (SELECT i, j, color, count(*) AS len FROM x GROUP BY i, j, color, g)"""
+_HIST = "h AS (SELECT i, j, len, count(*) AS n FROM runs GROUP BY i, j, len)"
+_DISTANCES = """SELECT p.i, p.j, coalesce(s, 0)::BIGINT AS s, coalesce(round(ee, 6), -1.0) AS expectation, coalesce(abs(round(hh, 6)), 0.0) AS entropy FROM pairs p LEFT JOIN
+(SELECT i, j, any_value(s) AS s, sum(len * n / s) - 1 AS ee, -sum(n / s * log2(n / s)) AS hh FROM (SELECT i, j, len, n, sum(n) OVER (PARTITION BY i, j) AS s FROM h) GROUP BY i, j) d ON p.i = d.i AND p.j = d.j"""
+_COVERAGE = f"""{_PAIRS},
+x AS (SELECT i, j, color, r, W, coverage, count(*) OVER (PARTITION BY i, j, r, W) > 1 AND max(coverage) OVER (PARTITION BY i, j, r, W) > 1 AS heavy,
+      min(coverage) OVER (PARTITION BY i, j, r, W) AS lo, max(coverage) OVER (PARTITION BY i, j, r, W) AS hi FROM pairs JOIN e ON color = i OR color = j),
+y AS (SELECT *, sum(heavy::INT) OVER (PARTITION BY i, j ORDER BY r, W, color) AS seg FROM x),
+z AS (SELECT i, j, color, seg, row_number() OVER (PARTITION BY i, j, seg ORDER BY r, W, color) - row_number() OVER (PARTITION BY i, j, seg, color ORDER BY r, W) AS g FROM y WHERE NOT heavy),
+h AS (SELECT i, j, len, sum(n)::BIGINT AS n FROM (
+  SELECT i, j, len, count(*) AS n FROM (SELECT i, j, seg, color, g, count(*) AS len FROM z GROUP BY ALL) GROUP BY i, j, len
+  UNION ALL SELECT i, j, 1, 2 * lo FROM x WHERE heavy AND color = i UNION ALL SELECT i, j, hi - lo, 1 FROM x WHERE heavy AND color = i AND hi > lo) GROUP BY i, j, len)"""
+
+
+@query("kmer_edges", f"{_E} SELECT color, kmer, W, coverage FROM e")
+def kmer_edges(spark, d):
+    return _edges(spark, d)
+
+
+@query("color_totals", f"{_E} SELECT color, count(*) AS n_edges, sum(coverage)::BIGINT AS n_cov FROM e GROUP BY color")
+def color_totals(spark, d):
+    return ed.colour_totals(_edges(spark, d))
+
+
+@query("c_array", f"{_E} SELECT W, n, coalesce(sum(n) OVER (ORDER BY W ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT W, count(*) AS n FROM e GROUP BY W)")
+def c_array(spark, d):
+    return ed.symbol_counts(_edges(spark, d))
+
+
+_PREFIX = " + ".join(f"(substr(r, 1, {i}) = substr(pr, 1, {i}))::INT" for i in range(1, K + 1))
+
+
+@query("edge_flags", f"""{_E},
+nodes AS (SELECT kmer, coalesce({_PREFIX}, 0) AS raw FROM (SELECT kmer, r, lag(r) OVER (ORDER BY r) AS pr FROM (SELECT DISTINCT kmer, r FROM e)))
+SELECT color, e.kmer, W, coverage, (row_number() OVER (PARTITION BY e.kmer ORDER BY W DESC, color DESC) = 1)::INT AS last,
+ (row_number() OVER (PARTITION BY substr(e.kmer, 2), W ORDER BY r, color) = 1)::INT AS wm,
+ CASE WHEN lag(W) OVER (PARTITION BY e.kmer ORDER BY W, color) IS NULL THEN raw WHEN lag(W) OVER (PARTITION BY e.kmer ORDER BY W, color) = W THEN {K + 1} ELSE {K} END AS lcp
+FROM e JOIN nodes ON e.kmer = nodes.kmer""")
+def edge_flags(spark, d):
+    return ed.flags(_edges(spark, d), K)
+
+
+@query("boss_edges_with_dummies", f"""WITH {_sql_seqs('conversations', 'role')},
+x AS (SELECT color, seq, unnest(range(0, length(seq) + 1)) AS p FROM seqs)
+SELECT color, substr(seq, greatest(p - 3, 0) + 1, p - greatest(p - 3, 0)) AS context, CASE WHEN p >= length(seq) THEN '$' ELSE substr(seq, p + 1, 1) END AS W, count(*) AS coverage FROM x GROUP BY ALL""")
+def boss_edges_with_dummies(spark, d):
+    return ed.contexts_with_short(_seqs(spark, d, "conversations", "role"), 3)
+
+
+@query("bwsd_runs", f"{_E}, {_RUNS} SELECT i, j, color, len, count(*) AS n FROM runs GROUP BY ALL")
+def bwsd_runs(spark, d):
+    return bwsd.runs(_edges(spark, d)).groupBy("i", "j", "color", "len").agg(F.count("*").alias("n"))
+
+
+@query("bwsd_histogram", f"{_E}, {_RUNS} SELECT i, j, len, count(*) AS n FROM runs GROUP BY ALL")
+def bwsd_histogram(spark, d):
+    return bwsd.histogram(_edges(spark, d))
+
+
+@query("bwsd_lang", f"{_E}, {_RUNS}, {_HIST} {_DISTANCES}")
+def bwsd_lang(spark, d):
+    return bwsd.similarity(_edges(spark, d))
+
+
+@query("bwsd_source", f"WITH {_sql_edges(_sql_seqs('documents', 'source'), SHORT_K)}, {_RUNS}, {_HIST} {_DISTANCES}")
+def bwsd_source(spark, d):
+    return bwsd.similarity(_edges(spark, d, "documents", "source", SHORT_K))
+
+
+@query("bwsd_role", f"WITH {_sql_edges(_sql_seqs('conversations', 'role'), K)}, {_RUNS}, {_HIST} {_DISTANCES}")
+def bwsd_role(spark, d):
+    return bwsd.similarity(_edges(spark, d, "conversations", "role"))
+
+
+_SQL_EVENTS = f"""kinds AS (SELECT event_type, substr('{_EVENT_SYMBOLS}', row_number() OVER (ORDER BY event_type)::INT, 1) AS symbol FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+seqs AS (SELECT (user_id % 4)::VARCHAR AS color, string_agg(symbol, '' ORDER BY ts, event_id) AS seq FROM events JOIN kinds USING (event_type) GROUP BY user_id)"""
+
+
+@query("bwsd_events", f"WITH {_sql_edges(_SQL_EVENTS, 3)}, {_RUNS}, {_HIST} {_DISTANCES}")
+def bwsd_events(spark, d):
+    return bwsd.similarity(_event_edges(spark, d))
+
+
+@query("bwsd_coverage_lang", f"{_E}, {_COVERAGE} {_DISTANCES}")
+def bwsd_coverage_lang(spark, d):
+    return bwsd.similarity(_edges(spark, d), coverage=True)
+
+
+@query("bwsd_coverage_histogram", f"{_E}, {_COVERAGE} SELECT i, j, len, n FROM h")
+def bwsd_coverage_histogram(spark, d):
+    return bwsd.coverage_histogram(_edges(spark, d))
+
+
+@query("bwsd_owner_tags", f"{_E}, {_RUNS} SELECT i, j, len, bool_or(color = i) AS has_i, bool_or(color = j) AS has_j FROM runs GROUP BY i, j, len")
+def bwsd_owner_tags(spark, d):
+    return bwsd.owners(_edges(spark, d))
+
+
+@query("bwsd_max_run", f"{_E}, {_RUNS} SELECT i, j, max(len) AS longest FROM runs GROUP BY i, j")
+def bwsd_max_run(spark, d):
+    return bwsd.longest(_edges(spark, d))
+
+
+@query("pair_table", f"{_E}, {_PAIRS} SELECT i, j FROM pairs")
+def pair_table(spark, d):
+    return bwsd.pairs(_edges(spark, d))
+
+
+@query("shared_edges", f"{_E} SELECT a.color AS i, b.color AS j, count(*) AS n FROM e a JOIN e b ON a.kmer = b.kmer AND a.W = b.W AND a.color < b.color GROUP BY ALL")
+def shared_edges(spark, d):
+    return bwsd.shared(_edges(spark, d))
+
+
+@query("private_edges", f"{_E} SELECT color, count(*) AS n FROM (SELECT kmer, W, count(*) AS c, any_value(color) AS color FROM e GROUP BY kmer, W) WHERE c = 1 GROUP BY color")
+def private_edges(spark, d):
+    return bwsd.private(_edges(spark, d))
+
+
+@query("edge_set_sizes", f"""{_E}, {_PAIRS},
+n AS (SELECT color, count(*) AS n FROM e GROUP BY color), s AS (SELECT a.color AS i, b.color AS j, count(*) AS m FROM e a JOIN e b ON a.kmer = b.kmer AND a.W = b.W AND a.color < b.color GROUP BY ALL)
+SELECT p.i, p.j, coalesce(m, 0) AS n_both, x.n - coalesce(m, 0) AS n_only_i, y.n - coalesce(m, 0) AS n_only_j, x.n + y.n - coalesce(m, 0) AS n_any
+FROM pairs p JOIN n x ON p.i = x.color JOIN n y ON p.j = y.color LEFT JOIN s ON s.i = p.i AND s.j = p.j""")
+def edge_set_sizes(spark, d):
+    return bwsd.set_sizes(_edges(spark, d))
+
+
+@query("lcp_group_end", f"{_E} SELECT color, kmer, W, max(rn) OVER (PARTITION BY kmer, W) AS group_end FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY W, color) - 1 AS rn FROM e)")
+def lcp_group_end(spark, d):
+    w = Window.partitionBy("kmer").orderBy("W", "color")
+    e = _edges(spark, d).withColumn("rn", F.row_number().over(w).cast("long") - 1)
+    return e.select("color", "kmer", "W", F.max("rn").over(Window.partitionBy("kmer", "W")).alias("group_end"))
+
+
+# Bits of lineitem in the order of its keys.
+
+_SQL_BITS = "b AS (SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS bit, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS pos FROM lineitem), rk AS (SELECT *, (sum(bit) OVER (ORDER BY pos))::BIGINT AS rank1 FROM b)"
+_SQL_WANTED = "wanted AS (SELECT range * 100 AS x FROM range(0, 200))"
+
+
+def _bits(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("bit"), F.floor(F.col("l_orderkey") / 1024).alias("bucket"))
+    return bitvector.ranked(li, "bit", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], "bucket")
+
+
+@query("bit_rank", f"WITH {_SQL_BITS} SELECT l_orderkey, l_linenumber, bit, pos, rank1, pos + 1 - rank1 AS rank0 FROM rk")
+def bit_rank(spark, d):
+    return _bits(spark, d).select("l_orderkey", "l_linenumber", "bit", "pos", "rank1", "rank0")
+
+
+@query("bit_select1", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, coalesce(pos, -1) AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 1) ON rank1 = x")
+def bit_select1(spark, d):
+    return bitvector.select1(_bits(spark, d), "bit", spark.range(200).select((F.col("id") * 100).alias("x")))
+
+
+@query("bit_select0", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, CASE WHEN x = 0 THEN 0 ELSE coalesce(pos, -1) END AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 0) ON pos + 1 - rank1 = x")
+def bit_select0(spark, d):
+    return bitvector.select0(_bits(spark, d), "bit", spark.range(200).select((F.col("id") * 100).alias("x")))
+
+
+@query("bit_gaps", f"WITH {_SQL_BITS} SELECT gap, count(*) AS n FROM (SELECT lead(pos) OVER (ORDER BY pos) - pos - 1 AS gap FROM rk WHERE bit = 1) WHERE gap IS NOT NULL GROUP BY gap")
+def bit_gaps(spark, d):
+    return bitvector.gaps(_bits(spark, d), "bit")
+
+
+@query("bit_ones", "SELECT l_linestatus, sum((l_returnflag = 'R')::INT)::BIGINT AS ones, count(*) AS n FROM lineitem GROUP BY l_linestatus")
+def bit_ones(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("ones"), F.count("*").alias("n"))
+
+
+# Vectors.
+
+
+@query("vector_distances", """SELECT q.vec_id AS q, v.vec_id AS v,
+ round(CASE WHEN list_inner_product(q.e, q.e) = 0 OR list_inner_product(v.e, v.e) = 0 THEN 2.0 ELSE 1 - list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))) END, 6) AS cosine,
+ round(sqrt(list_sum(list_transform(range(1, len(q.e) + 1), lambda k: (q.e[k] - v.e[k]) ** 2))), 6) AS euclidean
+FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0) q JOIN (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings) v ON q.vec_id <> v.vec_id""")
+def vector_distances(spark, d):
+    return vectors.to_queries(table(spark, d, "embeddings"))
+
+
+# Graphs: suppliers and parts; regions, nations and customers as a tree; suppliers that follow each other in an order.
+
+
+def _supply(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v")).agg(F.round(F.sum("l_quantity"), 2).alias("w"))
+
+
+_SQL_SUPPLY = "one AS (SELECT l_suppkey AS u, l_partkey + 1000000 AS v, round(sum(l_quantity), 2) AS w FROM lineitem GROUP BY ALL), g AS (SELECT * FROM one UNION ALL SELECT v, u, w FROM one), deg AS (SELECT u, count(*) AS degree FROM g GROUP BY u)"
+
+
+def _supply_graph(spark, d):
+    return graphs.both_ways(_supply(spark, d))
+
+
+@query("degree", f"WITH {_SQL_SUPPLY} SELECT u, degree FROM deg")
+def degree(spark, d):
+    return graphs.degrees(_supply_graph(spark, d))
+
+
+@query("max_degree", f"WITH {_SQL_SUPPLY} SELECT min(u) AS u, any_value(degree) AS degree FROM deg WHERE degree = (SELECT max(degree) FROM deg)")
+def max_degree(spark, d):
+    return graphs.largest_degree(_supply_graph(spark, d))
+
+
+@query("neighbors", f"WITH {_SQL_SUPPLY} SELECT u, string_agg(v::VARCHAR, ',' ORDER BY v) AS list FROM g GROUP BY u")
+def neighbors(spark, d):
+    return graphs.neighbours(_supply_graph(spark, d))
+
+
+@query("internal_edges", f"WITH {_SQL_SUPPLY} SELECT u, v, w FROM g WHERE u < v AND u IN (SELECT u FROM deg WHERE degree > 1) AND v IN (SELECT u FROM deg WHERE degree > 1)")
+def internal_edges(spark, d):
+    return graphs.internal(_supply_graph(spark, d))
+
+
+@query("edge_lookup", f"WITH {_SQL_SUPPLY}, wanted AS (SELECT s_suppkey AS u, s_suppkey + 1000000 AS v FROM supplier) SELECT wanted.u, wanted.v, coalesce(w, {graphs.NO_EDGE!r}) AS w FROM wanted LEFT JOIN g ON g.u = wanted.u AND g.v = wanted.v")
+def edge_lookup(spark, d):
+    return graphs.weights(_supply_graph(spark, d), table(spark, d, "supplier").select(F.col("s_suppkey").alias("u"), (F.col("s_suppkey") + 1_000_000).alias("v")))
+
+
+@query("swap_indexes", f"WITH {_SQL_SUPPLY} SELECT CASE u WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE u END AS u, CASE v WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE v END AS v, w FROM g")
+def swap_indexes(spark, d):
+    return graphs.exchanged(_supply_graph(spark, d), 1, 2)
+
+
+@query("remove_vertices", f"WITH {_SQL_SUPPLY}, gone AS (SELECT s_suppkey AS u FROM supplier WHERE s_acctbal < 0) SELECT u, v, w FROM g WHERE u NOT IN (SELECT u FROM gone) AND v NOT IN (SELECT u FROM gone)")
+def remove_vertices(spark, d):
+    return graphs.without(_supply_graph(spark, d), table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("u")))
+
+
+# Vertex 0 is the root, 1 + r a region, 100 + n a nation, 1000 + c a customer.
+_SQL_PLACES = """one AS (SELECT 0 AS u, 1 + r_regionkey AS v, 1.0 AS w FROM region UNION ALL SELECT 1 + n_regionkey, 100 + n_nationkey, 2.0 FROM nation),
+t AS (SELECT u::BIGINT AS u, v::BIGINT AS v, w::DOUBLE AS w FROM one UNION ALL SELECT v, u, w FROM one)"""
+_SQL_TREE = f"""{_SQL_PLACES.replace('t AS (', 'places AS (')},
+more AS (SELECT 100 + c_nationkey AS u, 1000 + c_custkey AS v, 0.5 AS w FROM customer),
+t AS (SELECT u, v, w FROM places UNION ALL SELECT u::BIGINT, v::BIGINT, w::DOUBLE FROM more UNION ALL SELECT v, u, w FROM more)"""
+_SQL_WALK = "walk AS (SELECT u AS source, u, -1::BIGINT AS came, 0 AS dist, 0.0::DOUBLE AS far FROM sources UNION ALL SELECT source, t.v, walk.u, dist + 1, far + w FROM walk JOIN t ON t.u = walk.u AND t.v <> came)"
+
+
+def _places(spark, d):
+    e = table(spark, d, "region").select(F.lit(0).cast("long").alias("u"), (F.col("r_regionkey") + 1).cast("long").alias("v"), F.lit(1.0).alias("w"))
+    return graphs.both_ways(e.unionByName(table(spark, d, "nation").select((F.col("n_regionkey") + 1).cast("long").alias("u"), (F.col("n_nationkey") + 100).cast("long").alias("v"), F.lit(2.0).alias("w"))))
+
+
+def _tree(spark, d):
+    c = table(spark, d, "customer").select((F.col("c_nationkey") + 100).cast("long").alias("u"), (F.col("c_custkey") + 1000).cast("long").alias("v"), F.lit(0.5).alias("w"))
+    return _places(spark, d).unionByName(graphs.both_ways(c))
+
+
+@query("bfs", f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT 0::BIGINT AS u), {_SQL_WALK} SELECT source, u, dist FROM walk")
+def bfs(spark, d):
+    return graphs.hops(_tree(spark, d), spark.range(1).select(F.col("id").alias("u")))
+
+
+@query("all_pairs_hops", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source, u, dist FROM walk")
+def all_pairs_hops(spark, d):
+    e = _places(spark, d)
+    return graphs.hops(e, e.select("u").distinct())
+
+
+@query("tree_paths", f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT 100::BIGINT + n_nationkey AS u FROM nation), {_SQL_WALK} SELECT source, u, dist, round(far, 6) AS far FROM walk")
+def tree_paths(spark, d):
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("u"))
+    return graphs.hops(_tree(spark, d), n, "w").withColumn("far", F.round("far", 6))
+
+
+@query("diameter", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT max(dist) AS diameter FROM walk")
+def diameter(spark, d):
+    return graphs.diameter(all_pairs_hops(spark, d))
+
+
+@query("tree_center", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}, ecc AS (SELECT source, max(dist) AS ecc FROM walk GROUP BY source) SELECT source AS u, ecc FROM ecc WHERE ecc = (SELECT min(ecc) FROM ecc)")
+def tree_center(spark, d):
+    return graphs.centers(all_pairs_hops(spark, d))
+
+
+@query("nearest_leaf", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}, leaf AS (SELECT u FROM t GROUP BY u HAVING count(*) = 1) SELECT source AS u, arg_min(walk.u, (dist, walk.u)) AS leaf, min(dist) AS dist FROM walk JOIN leaf ON walk.u = leaf.u GROUP BY source")
+def nearest_leaf(spark, d):
+    return graphs.nearest_leaf(_places(spark, d), all_pairs_hops(spark, d))
+
+
+@query("apsp", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source AS u, u AS v, round(far, 6) AS d FROM walk")
+def apsp(spark, d):
+    return graphs.shortest(_places(spark, d)).withColumn("d", F.round("d", 6))
+
+
+_SQL_FOLLOW = """pairs AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),
+cnt AS (SELECT least(a, b) AS u, greatest(a, b) AS v, count(*)::DOUBLE AS w FROM pairs WHERE a <> b GROUP BY ALL),
+kept AS (SELECT * FROM cnt WHERE w >= 1.6 * (SELECT avg(w) FROM cnt)), g AS (SELECT * FROM kept UNION ALL SELECT v, u, w FROM kept)"""
+
+
+def _follow(spark, d):
+    """Suppliers joined where they follow each other in orders at least 1.6 times as often as the average pair."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), F.lead("l_suppkey").over(w).alias("b")).where("a <> b")
+    n = p.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").cast("double").alias("w"))
+    return graphs.both_ways(n.join(F.broadcast(n.agg(F.avg("w").alias("m"))), F.col("w") >= 1.6 * F.col("m")).drop("m"))
+
+
+@query("triangles", f"WITH {_SQL_FOLLOW} SELECT x.u AS a, x.v AS b, y.v AS c FROM g x JOIN g y ON x.v = y.u JOIN g z ON z.u = x.u AND z.v = y.v WHERE x.u < x.v AND y.u < y.v")
+def triangles(spark, d):
+    return graphs.triangles(_follow(spark, d))
+
+
+@query("max_cliques")
+def max_cliques(spark, d):
+    return graphs.maximal_cliques(_follow(spark, d))
+
+
+# Trees and text outputs over the distances of languages.
+
+
+def _both_distances(spark, d):
+    s = bwsd_lang(spark, d)
+    return s.select(F.lit("expectation").alias("measure"), "i", "j", F.col("expectation").alias("d")).unionByName(s.select(F.lit("entropy").alias("measure"), "i", "j", F.col("entropy").alias("d")))
+
+
+@query("nj_newick")
+def nj_newick(spark, d):
+    return trees.neighbour_joining(_both_distances(spark, d), "measure", "d")
+
+
+@query("nj_edges")
+def nj_edges(spark, d):
+    return trees.branches_table(_both_distances(spark, d), "measure", "d")
+
+
+@query("dot_lines", f"""WITH {_SQL_PLACES} SELECT '"' || u || '" -- "' || v || '" [label="' || format('{{:.3f}}', w) || '"];' AS line FROM t WHERE u < v""")
+def dot_lines(spark, d):
+    return writers.dot_lines(_places(spark, d))
+
+
+@query("json_lines", f"""WITH {_SQL_PLACES} SELECT '{{"source":' || u || ',"target":' || v || ',"value":' || w || '}}' AS line FROM t""")
+def json_lines(spark, d):
+    return writers.json_lines(_places(spark, d))
+
+
+@query("ltm_long", f"{_E}, {_RUNS}, {_HIST} SELECT greatest(i, j) AS r, least(i, j) AS c, expectation AS d FROM ({_DISTANCES})")
+def ltm_long(spark, d):
+    return numbers.lower_triangle(bwsd_lang(spark, d), "i", "j", "expectation")
+
+
+_SQL_LOWER = f"{_E}, {_RUNS}, {_HIST}, low AS (SELECT greatest(i, j) AS r, least(i, j) AS c, expectation AS d FROM ({_DISTANCES})), full_m AS (SELECT * FROM low UNION ALL SELECT c, r, d FROM low UNION ALL SELECT DISTINCT r, r, 0.0 FROM (SELECT r FROM low UNION SELECT c FROM low))"
+
+
+@query("ltm_symmetric", f"{_SQL_LOWER} SELECT r, c, d FROM full_m")
+def ltm_symmetric(spark, d):
+    return numbers.symmetric(ltm_long(spark, d))
+
+
+@query("dmat_rows", f"{_SQL_LOWER} SELECT r, string_agg(format('{{:.6f}}', d), chr(9) ORDER BY c) AS line FROM full_m GROUP BY r")
+def dmat_rows(spark, d):
+    return numbers.matrix_rows(ltm_symmetric(spark, d))
+
+
+# Strings, numbers and arrays.
+
+
+@query("byte_histogram", "WITH h AS (SELECT hex(encode(html)) AS x FROM pages WHERE length(html) > 0) SELECT ('0x' || b)::INT AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all(x, '..')) AS b FROM h) GROUP BY b")
+def byte_histogram(spark, d):
+    return strings.byte_histogram(table(spark, d, "pages"), "html")
+
+
+_TRIMMED = r"regexp_replace(text, '[ \n\t\r\f\x0B]+\z', '')"
+
+
+@query("string_functions", f"""SELECT item_id, {_TRIMMED.replace('text', "(text || chr(9) || ' ' || chr(10))")} AS trimmed, CASE WHEN ends_with(text || chr(10), chr(10)) THEN text END AS chomped,
+ len(regexp_split_to_array(text, '[ ,.]')) AS n_parts, translate(text, 'abc', 'xyz') AS mapped, text || '|' || item_id AS joined,
+ list_transform(string_split(left(regexp_replace(text, '[^a-z]', '', 'g'), 8), ''), lambda x: ascii(x)::INT)::VARCHAR AS codes FROM benchmark""")
+def string_functions(spark, d):
+    t = F.col("text")
+    codes = strings.char_codes(F.substring(F.regexp_replace(t, "[^a-z]", ""), 1, 8))
+    return table(spark, d, "benchmark").select(
+        "item_id", strings.rtrim(F.concat(t, F.lit("\t \n"))).alias("trimmed"), strings.chomp(F.concat(t, F.lit("\n"))).alias("chomped"), F.size(strings.split_any(t, " ,.")).cast("long").alias("n_parts"),
+        strings.remap(t, "abc", "xyz").alias("mapped"), F.concat(t, F.lit("|"), F.col("item_id").cast("string")).alias("joined"), F.concat(F.lit("["), F.array_join(F.transform(codes, lambda x: x.cast("string")), ", "), F.lit("]")).alias("codes"),
+    )
+
+
+@query("djb2", """SELECT c_custkey, list_reduce(list_prepend(5381::UHUGEINT, list_transform(string_split(c_name, ''), lambda x: ascii(x)::UHUGEINT)), lambda a, x: (a * 33 + x) % 18446744073709551616::UHUGEINT)::DECIMAL(20,0) AS hash FROM customer""")
+def djb2(spark, d):
+    return table(spark, d, "customer").select("c_custkey", strings.djb2("c_name").alias("hash"))
+
+
+@query("shift_alphabet", """SELECT p_partkey, CASE WHEN len(list_distinct(x)) + 1 <= 128 THEN list_transform(x, lambda c: list_position(list_sort(list_distinct(x)), c)::INT)::VARCHAR END AS ranks FROM (SELECT p_partkey, string_split(p_name, '') AS x FROM part)""")
+def shift_alphabet(spark, d):
+    r = strings.dense_ranks(F.col("p_name"), 1)
+    return table(spark, d, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(F.transform(r, lambda x: x.cast("string")), ", "), F.lit("]")).alias("ranks"))
+
+
+@query("integer_functions", """SELECT p_partkey, p_size, (p_size <> 0 AND (p_size & (p_size - 1)) = 0) AS is_pow2, (2 ** ceil(log2(p_partkey)))::BIGINT AS pow2_from, lpad(bin(p_size), 8, '0') AS bits8, lpad(bin(p_partkey), 32, '0') AS bits32,
+ (SELECT min(n) FROM range(0, 400) r(o), LATERAL (SELECT p_partkey + o AS n) WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, 300) q(k) WHERE k * k <= n AND n % k = 0)) AS prime_from FROM part""")
+def integer_functions(spark, d):
+    size, key = F.col("p_size"), F.col("p_partkey")
+    return table(spark, d, "part").select(
+        "p_partkey", "p_size", numbers.is_power_of_two(size).alias("is_pow2"), numbers.power_of_two_from(key).alias("pow2_from"), strings.fixed_binary(size, 8).alias("bits8"),
+        strings.fixed_binary(key, 32).alias("bits32"), numbers.prime_from(key).alias("prime_from"),
+    )
+
+
+@query("mean_stddev", "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem")
+def mean_stddev(spark, d):
+    return numbers.mean_and_deviation(table(spark, d, "lineitem"), "l_quantity")
+
+
+@query("key_frequencies", "SELECT l_partkey AS k, count(*) AS f FROM lineitem GROUP BY l_partkey")
+def key_frequencies(spark, d):
+    return numbers.frequencies(table(spark, d, "lineitem"), "l_partkey")
+
+
+@query("topk_frequencies", "SELECT l_partkey AS k, count(*) AS f FROM lineitem GROUP BY l_partkey ORDER BY f DESC, k DESC LIMIT 20")
+def topk_frequencies(spark, d):
+    return numbers.most_frequent(table(spark, d, "lineitem"), "l_partkey", 20)
+
+
+@query("array_functions", """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey)
+SELECT o_custkey, len(x) AS n, list_append(x, 0)[-1] AS pushed, list_prepend(0, x)[1] AS injected, x[-1] AS popped, x[1] AS ejected, len(x[2:]) AS n_left, list_reverse(x)[1] AS reversed_first, x = list_reverse(x) AS palindrome, coalesce(x[3], -1) AS third FROM a""")
+def array_functions(spark, d):
+    a = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
+    x, zero = F.col("x"), F.lit(0).cast("long")
+    return a.select(
+        "o_custkey", F.size(x).cast("long").alias("n"), F.element_at(F.array_append(x, zero), -1).alias("pushed"), F.element_at(F.array_prepend(x, zero), 1).alias("injected"), F.element_at(x, -1).alias("popped"),
+        F.element_at(x, 1).alias("ejected"), (F.size(x) - 1).cast("long").alias("n_left"), F.element_at(F.reverse(x), 1).alias("reversed_first"), (x == F.reverse(x)).alias("palindrome"), F.coalesce(F.get(x, F.lit(2)), F.lit(-1).cast("long")).alias("third"),
+    )
