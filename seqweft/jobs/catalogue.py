@@ -456,7 +456,7 @@ def shift_alphabet(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat(F.lit("["), F.array_join(F.transform(r, lambda x: x.cast("string")), ", "), F.lit("]")).alias("ranks"))
 
 
-@query("integer_functions", """SELECT p_partkey, p_size, (p_size <> 0 AND (p_size & (p_size - 1)) = 0) AS is_pow2, (2 ** ceil(log2(p_partkey)))::BIGINT AS pow2_from, lpad(bin(p_size), 8, '0') AS bits8, lpad(bin(p_partkey), 32, '0') AS bits32,
+@query("integer_functions", """SELECT p_partkey, p_size, (p_size <> 0 AND (p_size & (p_size - 1)) = 0) AS is_pow2, CASE WHEN p_partkey <= 1 THEN 1 ELSE (2 ** ceil(log2(p_partkey)))::BIGINT END AS pow2_from, lpad(bin(p_size), 8, '0') AS bits8, lpad(bin(p_partkey), 32, '0') AS bits32,
  (SELECT min(n) FROM range(0, 400) r(o), LATERAL (SELECT p_partkey + o AS n) WHERE n >= 2 AND NOT EXISTS (SELECT 1 FROM range(2, 300) q(k) WHERE k * k <= n AND n % k = 0)) AS prime_from FROM part""")
 def integer_functions(spark, d):
     size, key = F.col("p_size"), F.col("p_partkey")

@@ -143,7 +143,7 @@ def maximal_cliques(e: DataFrame) -> DataFrame:
             around.setdefault(int(y), set()).add(int(x))
         p, x = ({int(v) for v in pdf.loc[pdf["later"] == k, "a"]} for k in (1, 0))
         found = [sorted(c) for c in _cliques(around, [u], p, x)]
-        return pd.DataFrame({"size": [len(c) for c in found], "clique": [",".join(map(str, c)) for c in found]}, columns=["size", "clique"])
+        return pd.DataFrame({"size": [len(c) for c in found], "clique": pd.Series([",".join(map(str, c)) for c in found], dtype=object)}, columns=["size", "clique"])
 
     return rows.groupBy("u").applyInPandas(search, "size int, clique string")
 

@@ -131,7 +131,7 @@ def neighbour_joining(distances: DataFrame, key: str, value: str) -> DataFrame:
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         labels, d = matrix(list(pdf[["i", "j", value]].itertuples(index=False, name=None)))
         b = join_neighbours(d)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "newick": [newick(b, labels)], "n_branches": [len(b)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "newick": [newick(b, labels)], "n_branches": [len(b)]}).astype({key: object, "newick": object})
 
     return distances.groupBy(key).applyInPandas(tree, f"{key} string, newick string, n_branches int")
 
@@ -142,6 +142,6 @@ def branches_table(distances: DataFrame, key: str, value: str) -> DataFrame:
     def tree(pdf: pd.DataFrame) -> pd.DataFrame:
         labels, d = matrix(list(pdf[["i", "j", value]].itertuples(index=False, name=None)))
         rows = [(pdf[key].iloc[0], u, v, w, labels[v] if v < len(labels) else None) for u, v, w in join_neighbours(d)]
-        return pd.DataFrame(rows, columns=[key, "u", "v", "w", "label"])
+        return pd.DataFrame(rows, columns=[key, "u", "v", "w", "label"]).astype({key: object, "label": object})
 
     return distances.groupBy(key).applyInPandas(tree, f"{key} string, u int, v int, w double, label string")

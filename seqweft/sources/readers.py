@@ -66,7 +66,7 @@ def read_dimacs(spark: SparkSession, path: str) -> DataFrame:
 def read_dmat(spark: SparkSession, path: str) -> DataFrame:
     """(i, j, d) with j < i, and labels where given, of a text with [size], optional [labels] and [distances]."""
     whole = spark.read.text(path, wholetext=True)
-    section = lambda name: F.trim(F.regexp_extract("value", rf"\[{name}\]([^\[]*)", 1))
+    section = lambda name: F.regexp_extract("value", rf"\[{name}\]\s*([^\[]*?)\s*(?:\[|$)", 1)
     cells = whole.select(F.split(section("labels"), r"\s+").alias("labels"), F.posexplode(F.split(section("distances"), r"\s+")).alias("p", "d"))
     i = F.floor((1 + F.sqrt(8 * F.col("p") + 1)) / 2).cast("int")
     cells = cells.where("d <> ''").select(i.alias("i"), (F.col("p") - i * (i - 1) / 2).cast("int").alias("j"), F.col("d").cast("double").alias("d"), "labels")
