@@ -21,7 +21,9 @@ from seqweft.llm.quality import held_out, pool_adjacent
 
 #: Labelled rows that are learnt at most (those with the smallest hashes of their ids), terms at most, least z-score of a
 #: term, neighbours, examples in a block.
-SAMPLE, TERMS, LEAST_Z, NEIGHBOURS, BLOCK = 20_000, 2_000, 5.0, 15, 64
+SAMPLE, TERMS, LEAST_Z, NEIGHBOURS, BLOCK = 20_000, 400, 6.0, 15, 64
+#: Blocks whose scores are taken at once, examples that calibrate the scores at most.
+_AT_ONCE, CALIBRATING = 8, 2_000
 
 #: Lengths in bytes of the beginnings of words that are terms too.
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -31,13 +33,13 @@ _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = _WORD[128:] = True
 
 
 class Index(NamedTuple):
-    """Examples in blocks. rows, weights, starts: each term's postings; block_max[term, block]."""
+    """Examples in blocks. Each term's postings are tiles of BLOCK weights: tiles[tile_of[term, block]], the first being
+    empty; block_max[term, block] is the largest weight of a tile."""
 
     terms: np.ndarray
     idf: np.ndarray
-    starts: np.ndarray
-    rows: np.ndarray
-    weights: np.ndarray
+    tile_of: np.ndarray
+    tiles: np.ndarray
     block_max: np.ndarray
     labels: np.ndarray
     ids: list
@@ -91,19 +93,21 @@ def nearest(index: Index, terms: np.ndarray, weights: np.ndarray, k: int, skip:
     skip: an example that doesn't count (the query itself).
     """
     bound = weights @ index.block_max[terms]
-    best: list[tuple[float, int]] = []
-    for b in np.argsort(-bound, kind="stable").tolist():
-        if bound[b] <= 0 or len(best) == k and bound[b] < -best[-1][0] - 1e-12:
+    blocks = np.argsort(-bound, kind="stable")
+    blocks = blocks[bound[blocks] > 0]
+    best_score, best_place = np.zeros(0), np.zeros(0, np.int64)
+    for at in range(0, len(blocks), _AT_ONCE):
+        own = blocks[at : at + _AT_ONCE]
+        if len(best_score) == k and bound[own[0]] < best_score[-1] - 1e-12:
             break
-        score = np.zeros(BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            lo, hi = index.starts[t], index.starts[t + 1]
-            own = index.rows[lo:hi]
-            a, c = np.searchsorted(own, [b * BLOCK, (b + 1) * BLOCK])
-            score[own[a:c] - b * BLOCK] += w * index.weights[lo + a : lo + c]
-        found = [(-float(score[i]), b * BLOCK + int(i)) for i in np.flatnonzero(score > 0) if b * BLOCK + i != skip]
-        best = sorted(best + found)[:k]
-    return [(-s, i) for s, i in best]
+        score = np.einsum("t,tbk->bk", weights, index.tiles[index.tile_of[terms[:, None], own[None]]])
+        b, i = np.nonzero(score > 0)
+        place = own[b] * BLOCK + i
+        found = place != skip
+        best_score, best_place = np.concatenate([best_score, score[b, i][found]]), np.concatenate([best_place, place[found]])
+        order = np.lexsort((best_place, -best_score))[:k]
+        best_score, best_place = best_score[order], best_place[order]
+    return list(zip(best_score.tolist(), best_place.tolist(), strict=True))
 
 
 def vote(index: Index, near: list[tuple[float, int]]) -> float:
@@ -122,9 +126,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, least_z
     rows = labels.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so its broadcast is
     known = written(docs.join(F.broadcast(rows), "id").dropDuplicates(["text"]).select("id", "text", "y").orderBy(F.xxhash64("id"), "id").limit(sample), "examples")
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0.0))).first()
-    empty = np.zeros(0, np.int64)
     if not 0 < pos < n:
-        return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros(1, np.int64), empty, np.zeros(0), np.zeros((0, 0)), np.zeros(0), [], (pos + 0.5) / (n + 1), np.zeros(0), np.zeros(1))
+        return Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0), np.int32), np.zeros((1, BLOCK)), np.zeros((0, 0)), np.zeros(0), [], (pos + 0.5) / (n + 1), np.zeros(0), np.zeros(1))
 
     def occurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -137,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, least_z
     a, b = F.col("p") / pos, (F.col("c") - F.col("p")) / (n - pos)
     mid = (a + b) / 2
     z = (a - b) / F.sqrt(mid * (1 - mid) * (1 / pos + 1 / (n - pos)) + 1e-9)
-    chosen = seen.groupBy("term").agg(F.sum("y").alias("p"), F.count("*").cast("double").alias("c")).withColumn("z", z).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "term").limit(TERMS)
+    chosen = seen.groupBy("term").agg(F.sum("y").alias("p"), F.count("*").cast("double").alias("c")).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(TERMS)
     terms = np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(np.uint64))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,25 +165,23 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, least_z
     vecs = {d: (np.array(r["terms"], np.int64), np.array(r["weights"])) for d, r in enumerate(rows) if r["terms"]}
     y = np.array([r["y"] for r in rows])
     ids = [r["id"] for r in rows]
-    own = sorted(vecs)
-    postings = [(int(t), i, float(w)) for i, d in enumerate(own) for t, w in zip(*vecs[d], strict=True)]
-    postings.sort()
-    t_, r_, w_ = (np.array(x) for x in zip(*postings, strict=True)) if postings else (empty, empty, np.zeros(0))
-    starts = np.searchsorted(t_, np.arange(len(terms) + 1))
-    block_max = np.zeros((len(terms), -(-len(own) // BLOCK)))
-    if len(t_):
-        np.maximum.at(block_max, (t_, r_ // BLOCK), w_)
+    own = sorted(vecs, key=lambda d: (int(vecs[d][0][vecs[d][1].argmax()]), d))  # alike examples share blocks
+    n_blocks = -(-len(own) // BLOCK)
+    tile_of, tiles = np.zeros((len(terms), n_blocks), np.int32), [np.zeros(BLOCK)]
+    for i, d in enumerate(own):
+        for t, w in zip(*vecs[d], strict=True):
+            if not tile_of[t, i // BLOCK]:
+                tile_of[t, i // BLOCK] = len(tiles)
+                tiles.append(np.zeros(BLOCK))
+            tiles[tile_of[t, i // BLOCK]][i % BLOCK] = w
+    tiles = np.stack(tiles)
     none = np.setdiff1d(np.arange(len(y)), own)
     base = float((y[none].sum() + 0.01) / (len(none) + 1))
-    index = Index(terms, idf, starts, r_, w_, block_max, y[own], [ids[d] for d in own], base, np.zeros(0), np.zeros(1))
-    votes, known_votes = np.zeros(len(own)), {}
-    for i, d in enumerate(own):
-        key = (vecs[d][0].tobytes(), np.round(vecs[d][1], 9).tobytes(), index.labels[i])
-        if key not in known_votes:
-            known_votes[key] = vote(index, nearest(index, *vecs[d], NEIGHBOURS, i))
-        votes[i] = known_votes[key]
+    index = Index(terms, idf, tile_of, tiles, tiles.max(1)[tile_of], y[own], [ids[d] for d in own], base, np.zeros(0), np.zeros(1))
+    some = np.arange(0, len(own), max(1, -(-len(own) // CALIBRATING)))
+    votes = np.array([vote(index, nearest(index, *vecs[own[i]], NEIGHBOURS, i)) for i in some.tolist()])
     bins = np.minimum((votes * 20).astype(int), 19)
-    p, c = np.bincount(bins, index.labels, 20), np.bincount(bins, minlength=20)
+    p, c = np.bincount(bins, index.labels[some], 20), np.bincount(bins, minlength=20)
     used = c > 0
     return index._replace(edges=(np.flatnonzero(used) + 0.5) / 20, levels=pool_adjacent(p[used] + 1e-9, c[used].astype(float)))
 
