@@ -177,7 +177,7 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, wid
     m = partition_sums(labelled, moments, 2 + 2 * n_stats)
     n = m[0]
     mean = m[2 : 2 + n_stats] / max(n, 1)
-    scale = np.sqrt(np.maximum(m[2 + n_stats :] / max(n, 1) - mean**2, 1e-8))
+    scale = np.sqrt(np.maximum(m[2 + n_stats :] / max(n, 1) - mean**2, 1e-4))  # what hardly varies must not decide
     rng = np.random.default_rng(seed)
     frequencies, phases = rng.normal(0, 1 / width, (n_stats, features)), rng.uniform(0, 2 * np.pi, features)
     size = features + n_stats + 1
