@@ -33,9 +33,13 @@ _BITS, _BLOCKS = 24, 64
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
-    """Pieces of all texts: doc, s (first start in the text), n (starts), h (key), c1 and c2 (hash of the context)."""
+    """Pieces of all texts: doc, s (first start in the text), n (starts), h (key), c1 and c2 (hash of the context).
+
+    In periodic text the same context follows itself at every period: such pieces are one row, with m, the starts of all
+    of them (n for a piece alone).
+    """
     n, reach = len(data), length - ANCHOR + 1
-    names = ("doc", "s", "n", "h", "c1", "c2", "at")
+    names = ("doc", "s", "n", "m", "h", "c1", "c2", "at")
     starts = np.diff(off) - length + 1
     if n < length or not (starts > 0).any():
         return {k: np.zeros(0, np.int64) for k in names}
@@ -68,7 +72,11 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str,
     end = at + count + length - 1
     size = count.astype(np.uint64)
     c1, c2 = mix((total[end] - total[at]) * down[at] + size), mix((total2[end] - total2[at]) * down2[at] ^ size)
-    return {"doc": d, "s": at - off[d], "n": count, "h": key.view(np.int64), "c1": c1.view(np.int64), "c2": c2.view(np.int64), "at": at}
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (key[1:] != key[:-1]) | (d[1:] != d[:-1]) | (at[1:] != at[:-1] + count[:-1])
+    f = np.flatnonzero(fresh)
+    whole = np.add.reduceat(count, f)
+    return {"doc": d[f], "s": at[f] - off[d[f]], "n": count[f], "m": whole, "h": key[f].view(np.int64), "c1": c1[f].view(np.int64), "c2": c2[f].view(np.int64), "at": at[f]}
 
 
 def _place(k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> np.ndarray:
@@ -146,22 +154,25 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     source = id_and_text(docs, id_col, text_col)
     kind = source.schema["id"].dataType.simpleString()
     keyed = source.withColumns({"k1": F.xxhash64("id", "text"), "k2": F.xxhash64("text", F.lit(1), "id")})
-    columns = ("s", "n", "h", "c1", "c2")
+    columns = ("s", "n", "m", "h", "c1", "c2")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             p = pieces(*utf8(batch.column("text")))
             keys = [pa.array(batch.column(k).to_numpy()[p["doc"]]) for k in ("k1", "k2")]
-            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(p[c].astype(np.int32) if c in "sn" else p[c]) for c in columns)], ["k1", "k2", *columns])
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(p[c].astype(np.int32) if c in "snm" else p[c]) for c in columns)], ["k1", "k2", *columns])
 
-    found = keyed.select("k1", "k2", "text").mapInArrow(split, "k1 long, k2 long, s int, n int, h long, c1 long, c2 long")
+    found = keyed.select("k1", "k2", "text").mapInArrow(split, "k1 long, k2 long, s int, n int, m int, h long, c1 long, c2 long")
     every = Window.partitionBy("h")
-    found = written(found.withColumn("many", F.count("*").over(every)).where("many > 1").drop("many"), "pieces")
-    contexts = found.groupBy("h", "c1", "c2").agg(F.count("*").alias("weight"), F.first("n").alias("n"), F.min(F.struct("k1", "k2", "s")).alias("one"))
+    found = written(found.withColumn("many", F.sum((F.col("m") / F.col("n")).cast("long")).over(every)).where("many > 1").drop("many"), "pieces")
+    contexts = found.groupBy("h", "c1", "c2").agg(F.sum((F.col("m") / F.col("n")).cast("long")).alias("weight"), F.first("n").alias("n"), F.min(F.struct("k1", "k2", "s")).alias("one"))
     contexts = written(contexts, "contexts")
-    size = contexts.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    # a context that is alone under its key has no other to be compared with: its weight says all
+    rivals = contexts.join(contexts.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
+    rivals = written(rivals.select("n", "one"), "rivals")
+    size = rivals.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    marks = spark.sparkContext.broadcast(_marked(contexts.select("one.*")))
+    marks = spark.sparkContext.broadcast(_marked(rivals.select("one.*")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = marks.value
@@ -178,21 +189,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     sorted_ = dealt.mapInArrow(repeated_starts, "c1 long, c2 long, runs array<int>")
     runs = contexts.where("weight > 1").select("c1", "c2", F.array(F.lit(0), F.col("n")).alias("runs")).union(sorted_).groupBy("c1", "c2").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     runs = written(runs, "runs")
-    spans = found.select("k1", "k2", "s", "c1", "c2").join(runs, ["c1", "c2"])
-    # a run of starts removes up to the end of its last string
-    spans = spans.select("k1", "k2", F.transform("runs", lambda x, i: F.col("s") + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0)).alias("spans"))
+    spans = found.select("k1", "k2", "s", "n", "m", "c1", "c2").join(runs, ["c1", "c2"])
+    # a run of starts removes up to the end of its last string; what repeats itself is removed from first to last
+    one = F.transform("runs", lambda x, i: F.col("s") + x + F.when(i % 2 == 1, LENGTH - 1).otherwise(0))
+    spans = spans.select("k1", "k2", F.when(F.col("m") > F.col("n"), F.array(F.col("s"), F.col("s") + F.col("m") + (LENGTH - 1))).otherwise(one).alias("spans"))
     spans = spans.groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             data, off = utf8(batch.column("text"))
             kept, removed = [], []
-            for i, flat in enumerate(batch.column("spans").to_pylist()):
-                text = data[off[i] : off[i + 1]]
-                if not flat:
-                    kept.append(text.tobytes())
+            raw = data.tobytes()
+            column = batch.column("spans")
+            at, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            for i in range(batch.num_rows):
+                flat = values[at[i] : at[i + 1]] if column[i].is_valid else ()
+                if not len(flat):
+                    kept.append(raw[off[i] : off[i + 1]])
                     removed.append([])
                     continue
+                text = data[off[i] : off[i + 1]]
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, flat[::2], 1)
                 np.add.at(edge, flat[1::2], -1)
