@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as numpy arrays at once (one text may exceed it).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -31,6 +34,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
             at = end
+        del batch
+        pa.default_memory_pool().release_unused()  # several workers share an executor's memory
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,45 @@ def words(data: np.ndarray, off: np.ndarray, fold: np.ndarray, inside: np.ndarra
     return first, stop, hashes, np.searchsorted(first, off)
 
 
+#: Parts in which arrays of fixed size travel, and partial ones that are combined in one task.
+PARTS, FAN_IN = 64, 16
+
+
+def combined(rows: DataFrame, partial, join, kind: type) -> np.ndarray:
+    """An array of fixed size that each task makes part of: partial(batches) gives one array of `kind` for a partition,
+    join(list of arrays) combines them. They travel in PARTS parts and are combined FAN_IN at a time, however many."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pieces = [zlib.compress(x.tobytes(), 1) for x in partial(batches).astype(kind, copy=False).reshape(PARTS, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["task", "part", "data"])
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = join([np.frombuffer(zlib.decompress(x), kind) for x in pdf["data"]]).astype(kind, copy=False)
+        return pd.DataFrame({"task": [int(pdf["task"].iloc[0]) // FAN_IN], "part": [int(pdf["part"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)]})
+
+    made, left = rows.mapInArrow(make, "task long, part int, data binary"), rows.rdd.getNumPartitions()
+    while left > 1:
+        made = made.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, "task long, part int, data binary")
+        left = -(-left // FAN_IN)
+    parts = sorted(made.select("part", "data").collect(), key=lambda r: r["part"])
+    return np.concatenate([np.frombuffer(zlib.decompress(bytes(r["data"])), kind) for r in parts]) if parts else partial(iter(()))
+
+
+def bit_map(rows: DataFrame, place, bits: int = 24) -> np.ndarray:
+    """A map of 2**bits bits of which place(batch) are set for each batch of rows."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        total = np.zeros(1 << bits, bool)
+        for batch in batches:
+            if batch.num_rows:
+                total[place(batch)] = True
+        return np.packbits(total)
+
+    return np.unpackbits(combined(rows, partial, np.bitwise_or.reduce, np.uint8)).astype(bool)
+
+
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -122,8 +166,18 @@ def written(df: DataFrame, name: str = "part") -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}-{name}"
+    schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so once the driver's objects for them are
+    collected, which a driver with free memory puts off while the files fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ready_checkpoints(spark: SparkSession) -> None:

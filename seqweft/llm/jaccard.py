@@ -6,27 +6,26 @@
 3. Index lists are skipped by position: within a list, sets lie in blocks by size, only blocks of sizes that can reach
    the similarity meet, and a pair goes on only if what lies behind its positions can still make up the overlap.
 4. A set takes over the answers of a set that it is found highly similar to: each list first links its sets to their
-   neighbour and to the list's first set. Sets that are linked then share one answer (their component), and only pairs of
+   neighbour and to the list's first set, of which the nearest is compared. Sets that are linked then share one answer (their component), and only pairs of
    sets with different answers are compared in the last, complete round. No link between components is lost.
 All verification counts the exact intersection of the whole sets.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, look_up, mix, ready_checkpoints, slices, utf8, words, written
+from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, look_up, mix, ready_checkpoints, slices, utf8, words, written
 
 #: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two.
 SHINGLE, PART, OF, SKETCH_BITS = 5, 80, 100, 22
-_BLOCKS = 64
+#: Least bits of the parities that bound how far two sets differ.
+PARITY_BITS = 1024
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -76,6 +75,22 @@ def set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tuple(mix(_sums(mix(h ^ np.uint64(s)), at)).view(np.int64) for s in (0x51ED270B, 0xC2B2AE3D27D4EB4F))  # type: ignore[return-value]
 
 
+def parities(h: np.ndarray, at: np.ndarray, least: int = PARITY_BITS) -> tuple[np.ndarray, np.ndarray]:
+    """For each set a power of two of bits, no fewer than its elements, as 64-bit numbers, and where each set's begin.
+
+    Bit k is set if an odd number of elements hash to k, so two sets differ in at least as many elements as their parities
+    in bits. Halves of a parity, one laid over the other, are the parity of half as many bits.
+    """
+    n = np.diff(at)
+    bits = np.maximum(least, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    first = np.concatenate([[0], np.cumsum(bits // 64)])
+    owner = np.repeat(np.arange(len(n)), n)
+    place = (mix(h + np.uint64(0xA5A5)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(first[-1]), np.uint64)
+    np.bitwise_xor.at(out, first[:-1][owner] + (place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+    return out, first
+
+
 def prefix_sizes(n: np.ndarray, part: int = PART, of: int = OF) -> np.ndarray:
     """Sets of n elements with similarity part/of to another share one of so many first elements."""
     return np.where(n > 0, n - (n * part + of - 1) // of + 1, 0)
@@ -89,27 +104,19 @@ def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
     """
     width = 1 << bits
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(width, np.uint32)
         for batch in slices(batches):
             h, _ = shingle_sets(batch.column("text"))
             np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
-        parts = [zlib.compress(x.tobytes(), 1) for x in total.reshape(_BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(width // _BLOCKS, np.uint64)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32 if len(zlib.decompress(x)) == 4 * len(total) else np.uint64)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
+        return total
 
-    made = source.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(add, "block int, counts binary").collect()
-    total = np.concatenate([np.frombuffer(zlib.decompress(bytes(r["counts"])), np.uint64) for r in sorted(made, key=lambda r: r["block"])]).astype(np.float64)
+    total = combined(source.select("text"), count, lambda xs: np.sum(xs, 0, dtype=np.uint64), np.uint64).astype(np.float64)
     return np.clip(np.ceil(np.log2(np.maximum(total, 1) / (8 + 4 * total.mean()))), 0, 60).astype(np.uint8)
 
 
 def prefix_table(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Per row: id, n (set size), s1 and s2 (the set's key), prefix (its rarest shingles, rarest first)."""
+    """Per row: id, n (set size), s1 and s2 (the set's key), parity, prefix (its rarest shingles, rarest first)."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
     bits = int(len(levels)).bit_length() - 1
 
@@ -123,61 +130,68 @@ def prefix_table(source: DataFrame, levels: np.ndarray) -> DataFrame:
             kept = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(prefix_sizes(n), n)
             s1, s2 = set_keys(h, at)
             off = np.concatenate([[0], np.cumsum(prefix_sizes(n))]).astype(np.int32)
+            bits_of, first = parities(h, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "n", "s1", "s2", "prefix"]
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits_of.view(np.int64))), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "n", "s1", "s2", "parity", "prefix"]
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, prefix array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, parity array<long>, prefix array<long>")
 
 
-def _members(keys: DataFrame, bits: int = 24) -> np.ndarray:
-    """A bit map of fixed size in which the bits of all keys (long) are set."""
+def _bit(keys: np.ndarray, bits: int = 24) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, bool)
-        for batch in batches:
-            h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            total[(mix(h) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        parts = [zlib.compress(np.packbits(x).tobytes(), 1) for x in total.reshape(_BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "bits"])
 
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [zlib.compress(total.tobytes(), 1)]})
+def whole_sets(source: DataFrame, own: DataFrame) -> DataFrame:
+    """(s1, s2, hid, shingles) of the nodes in own (with s1, s2, hid), made again from the texts of the classes' own ids.
 
-    made = keys.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(join, "block int, bits binary").collect()
-    if not made:
-        return np.zeros(1 << bits, bool)
-    return np.unpackbits(np.concatenate([np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8) for r in sorted(made, key=lambda r: r["block"])])).astype(bool)
-
-
-def whole_sets(source: DataFrame, classes: DataFrame, needed: DataFrame) -> DataFrame:
-    """(node, n, shingles) of the needed nodes, made again from the texts; a bit map keeps most other texts out."""
-    own = written(classes.join(needed, "node", "left_semi").select("node", "n", "s1", "s2"), "needed")
-    shared = source.sparkSession.sparkContext.broadcast(_members(own.select("s1")))
+    A bit map keeps most other texts out, which is all it is for. Rows that repeat a class's id come along.
+    """
+    own = own.withColumn("k", F.col("s1").bitwiseXOR(F.col("hid")))
+    shared = source.sparkSession.sparkContext.broadcast(bit_map(own.select("k"), lambda batch: _bit(batch.column("k").to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        bits = len(wanted).bit_length() - 1
         for batch in slices(batches):
             h, at = shingle_sets(batch.column("text"))
             s1, s2 = set_keys(h, at)
-            keep = wanted[(mix(s1.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)] & (np.diff(at) > 0)
+            hid = batch.column("hid").to_numpy()
+            keep = wanted[_bit(s1 ^ hid)] & (np.diff(at) > 0)
             n = np.diff(at)
             off = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
             values = h[np.repeat(keep, n)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s1[keep]), pa.array(s2[keep]), pa.ListArray.from_arrays(pa.array(off), pa.array(values))], ["s1", "s2", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(s1[keep]), pa.array(s2[keep]), pa.array(hid[keep]), pa.ListArray.from_arrays(pa.array(off), pa.array(values))], ["s1", "s2", "hid", "shingles"])
+
+    found = source.select("text", F.xxhash64("id").alias("hid")).mapInArrow(run, "s1 long, s2 long, hid long, shingles array<long>")
+    return written(found, "sets")
+
 
-    found = source.select("text").mapInArrow(run, "s1 long, s2 long, shingles array<long>")
-    return found.dropDuplicates(["s1", "s2"]).join(own, ["s1", "s2"]).select("node", "n", "shingles")
+def plausible(pairs: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
+    """(a, b, apart) of the pairs whose parities, which are apart in so many bits, don't rule the similarity out."""
+    own = classes.select("node", "n", "parity")
+    left = own.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
+    right = own.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
+    half = lambda c: (F.size(c) / 2).cast("int")
+    folded = lambda c, to: F.when(F.size(c) > F.size(to), F.zip_with(F.slice(c, 1, half(c)), F.slice(c, half(c) + 1, half(c)), lambda p, q: p.bitwiseXOR(q))).otherwise(F.col(c))
+    # sizes in reach of each other give parities of which one is twice as long at most
+    apart = F.aggregate(F.zip_with(folded("x", "y"), folded("y", "x"), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c)
+    # with d elements apart the intersection has at most (n_a + n_b - d) / 2
+    both = F.col("n_a") + F.col("n_b")
+    met = pairs.join(left, "a").join(right, "b").withColumn("apart", apart)
+    return met.where(of * (both - F.col("apart")) >= part * (both + F.col("apart"))).select("a", "b", "apart")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """Pairs (a, b) of nodes whose whole sets reach the similarity."""
-    left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("y"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    own = written(classes.join(nodes, "node", "left_semi").select("node", "n", "s1", "s2", F.xxhash64("least").alias("hid")), "needed")
+    sets = whole_sets(source, own)
+    keyed = pairs.select("a", "b").join(own.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.struct("s1", "s2", "hid").alias("x_key")), "a")
+    keyed = keyed.join(own.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.struct("s1", "s2", "hid").alias("y_key")), "b")
+    named = sets.select(F.struct("s1", "s2", "hid").alias("key"), "shingles")
+    met = keyed.join(named.select(F.col("key").alias("x_key"), F.col("shingles").alias("x")), "x_key").join(named.select(F.col("key").alias("y_key"), F.col("shingles").alias("y")), "y_key")
     common = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(of * common >= part * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    return met.where(of * common >= part * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,22 +226,25 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     their ids; rows that repeat an id are judged one by one. A null id never names a component, unless it has no other id.
     """
     source = id_and_text(docs, id_col, text_col)
-    table = written(prefix_table(source, sketch(source)), "prefixes")
-    classes = table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.first("prefix").alias("prefix"))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    slim = classes.select("node", "n", "s1", "s2", "least")
-    lists = classes.select("node", "n", F.posexplode("prefix").alias("i", "h"))
+    table = written(prefix_table(source, sketch(source)).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+    marks = table.select(F.col("uid").alias("node"), "n", "parity")
+    slim = written(table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.min("uid").alias("node")), "classes")
+    own = table.select(F.col("uid").alias("node"), "n", "parity", "prefix").join(slim.select("node"), "node", "left_semi")
+    lists = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lists = written(lists.withColumn("many", F.count("*").over(every)).where("many > 1").select("h", "node", "n", "i"), "lists")
+    lists = lists.withColumn("many", F.count("*").over(every)).where("many > 1").select("h", "node", "n", "i")
+    del own
+    lists = written(lists, "lists")
 
     order = Window.partitionBy("h").orderBy("n", "node")
     here, near = F.struct("node", "n", "i"), lists
     near = near.select("h", "node", "n", "i", F.lag(here).over(order).alias("last"), F.first(here).over(order).alias("head"))
     near = near.select("node", "n", "i", F.explode(F.array("last", "head")).alias("o")).where("o is not null and o.node <> node")
     first = near.where(_reach(F.col("n"), F.col("o.n"), F.col("i"), F.col("o.i"), part, of)).select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
-    first = written(first, "first")
-    nodes = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-    edges = written(verified(first, written(whole_sets(source, slim, nodes(first)), "sets"), part, of), "edges")
+    first = written(plausible(first, marks, part, of), "first")
+    # of a set's neighbours the one that it is least apart from is compared now, the others only if that doesn't link them
+    best = written(first.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "best")
+    edges = written(verified(best, slim, source, part, of), "edges")
     known = written(components(edges), "known")
 
     # the complete round: sets of one list with different answers, met by blocks of size
@@ -237,13 +254,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
     x = left.withColumn("s", F.floor(F.log("n") / width))
     y = x.select("h", F.col("node").alias("m"), F.col("n").alias("k"), F.col("i").alias("j"), F.col("c").alias("d"), F.explode(F.array("s", F.col("s") + 1)).alias("s"))
     rest = x.join(y, ["h", "s"]).where("c <> d and (k < n or (k = n and m < node))").where(_reach(F.col("n"), F.col("k"), F.col("i"), F.col("j"), part, of))
-    rest = rest.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
+    rest = rest.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
+    rest = written(plausible(rest, marks, part, of), "rest")
     if not rest.isEmpty():
-        more = verified(rest, written(whole_sets(source, slim, nodes(rest)), "sets"), part, of)
+        more = written(verified(rest, slim, source, part, of), "more")
         known = written(components(edges.union(more)), "known")
 
-    named = slim.join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    named = slim.select("node", "s1", "s2", "least").join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     answers = written(named.join(least, "c").select(F.struct("s1", "s2").alias("key"), "component_id"), "answers")
     rows = table.select("id", "n", F.when(F.col("n") > 0, F.struct("s1", "s2")).alias("key"))

@@ -14,22 +14,20 @@ No step holds more than one shard or one text, and matches never cross texts.
 from __future__ import annotations
 
 import tempfile
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweft.llm import induced
-from seqweft.llm._arrow import id_and_text, mix, powers, slices, utf8, written
+from seqweft.llm._arrow import bit_map, id_and_text, mix, powers, slices, utf8, written
 
 #: Bytes of a repeated string, of an anchor's hash, of starts that share a key; bytes of contexts in a shard.
 LENGTH, ANCHOR, SPREAD, SHARD_BYTES = 400, 64, 169, 4 << 20
 _SECOND = 0xD1B54A32D192ED03
-_BITS, _BLOCKS = 24, 64
+_BITS = 24
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -88,22 +86,7 @@ def _place(k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def _marked(rows: DataFrame) -> np.ndarray:
     """A map of fixed size with the bits of all (k1, k2, s)."""
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << _BITS, bool)
-        for batch in batches:
-            total[_place(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "s")))] = True
-        parts = [zlib.compress(np.packbits(x).tobytes(), 1) for x in total.reshape(_BLOCKS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], ["block", "bits"])
-
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in pdf["bits"]])
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "bits": [zlib.compress(total.tobytes(), 1)]})
-
-    made = rows.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(join, "block int, bits binary").collect()
-    if not made:
-        return np.zeros(1 << _BITS, bool)
-    return np.unpackbits(np.concatenate([np.frombuffer(zlib.decompress(bytes(r["bits"])), np.uint8) for r in sorted(made, key=lambda r: r["block"])])).astype(bool)
+    return bit_map(rows, lambda batch: _place(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "s"))), _BITS)
 
 
 def repeated_starts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
