@@ -376,6 +376,29 @@ def test_labels_of_held_out_rows_are_not_learnt(spark):
     assert a == b
 
 
+def test_toxic_terms_that_few_examples_share(spark, tmp_path):
+    rng = random.Random(8)
+    bad = [f"{a}{b}" for a, b in zip("qa wo ze xi vu jy ky".split(), "rrotten slimy brute nasty crook louse creep".split(), strict=True)]
+    rows, labels = [], []
+    for i in range(480):
+        w = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.randint(20, 60))]
+        if i % 7 == 0:
+            w[rng.randrange(len(w))] = bad[i // 7 % len(bad)]
+        rows.append(" ".join(w))
+        labels.append((i, 1, int(i % 7 == 0)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in on_tables(spark, tmp_path, toxicity.op8_toxicity, documents=docs(spark, rows), labels=table).collect()}
+    held = [(got[d].predicted, y) for d, _, y in labels if got[d].held_out]
+    assert sum(p for p, y in held if y) >= 0.8 * sum(y for _, y in held) > 0
+    assert sum(1 - p for p, y in held if not y) >= 0.9 * sum(1 - y for _, y in held)
+
+
+def test_beginnings_leave_words_their_places():
+    z, word = np.concatenate([np.full(3 * toxicity.TERMS, 9.0), np.array([4.0, -4.0, 2.0])]), np.arange(3 * toxicity.TERMS + 3) >= 3 * toxicity.TERMS
+    keep = toxicity.clear(z, word, 3.0)
+    assert keep[word].tolist() == [True, True, False] and keep[~word].sum() == toxicity.TERMS
+
+
 def secret_rows():
     rng = random.Random(1)
     rows = [None, "", "password: short", 'token = "abcdefgh"', "apikey:abcdefgh1 secret=passwd=12345678", "AKIAABCDEFGH1234", "AKIAABCDEFGH123", "f" * 32 + " " + "f" * 31 + " F", "é AKIA" + "Z" * 20]
