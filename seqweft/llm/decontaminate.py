@@ -184,10 +184,12 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that aren't contaminated, with their columns. Ids that repeat must have equal texts or go together."""
-    found = decontaminate(docs, benchmark, id_col, text_col)
-    bad = written(found.where(contaminated()).select(F.col(id_col).alias("_id")).distinct(), "contaminated")
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["_id"]), "left_anti")
+    """Rows of docs that aren't contaminated, with their columns. The text alone decides, so a row is removed by its
+    text's hash, whatever rows share its id, null ones too."""
+    key = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    found = decontaminate(docs.select(key.alias("_key"), docs[text_col]), benchmark, "_key", text_col)
+    bad = written(found.where(contaminated()).select("_key").distinct(), "contaminated")
+    return docs.join(bad, key == bad["_key"], "left_anti")
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

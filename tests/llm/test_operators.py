@@ -116,6 +116,14 @@ def test_decontaminate(spark, tmp_path):
     assert decontaminate.decontaminate(docs(spark, rows).limit(0), bench).count() == 0
 
 
+def test_decontaminated_rows_are_removed_by_text(spark):
+    rng = random.Random(4)
+    passage = prose(rng, 60)
+    rows = [(None, passage), (None, prose(rng, 40)), (None, None), (7, passage), (7, prose(rng, 40)), (8, "")]
+    table, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage)], "item_id long, text string")
+    assert sorted(map(str, ((r.doc_id, r.text) for r in decontaminate.keep(table, items).collect()))) == sorted(str(r) for r in rows if r[1] != passage)
+
+
 def test_webp_query(spark, tmp_path):
     rows = texts()
     got = {r.doc_id: r for r in on_tables(spark, tmp_path, webp.op4_webp, documents=docs(spark, rows)).collect()}
