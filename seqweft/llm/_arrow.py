@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -111,15 +112,15 @@ def words(data: np.ndarray, off: np.ndarray, fold: np.ndarray, inside: np.ndarra
 PARTS, FAN_IN = 64, 16
 
 
-def combined(rows: DataFrame, partial, join, kind: type) -> np.ndarray:
+def combined(rows: DataFrame, partial, join, kind: type, parts: int = PARTS) -> np.ndarray:
     """An array of fixed size that each task makes part of: partial(batches) gives one array of `kind` for a partition,
-    join(list of arrays) combines them. They travel in PARTS parts and are combined FAN_IN at a time, however many."""
+    join(list of arrays) combines them. They travel in so many parts and are combined FAN_IN at a time, however many."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces = [zlib.compress(x.tobytes(), 1) for x in partial(batches).astype(kind, copy=False).reshape(PARTS, -1)]
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], ["task", "part", "data"])
+        pieces = [zlib.compress(x.tobytes(), 1) for x in partial(batches).astype(kind, copy=False).reshape(parts, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(pieces, pa.binary())], ["task", "part", "data"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = join([np.frombuffer(zlib.decompress(x), kind) for x in pdf["data"]]).astype(kind, copy=False)
@@ -129,12 +130,17 @@ def combined(rows: DataFrame, partial, join, kind: type) -> np.ndarray:
     while left > 1:
         made = made.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, "task long, part int, data binary")
         left = -(-left // FAN_IN)
-    parts = sorted(made.select("part", "data").collect(), key=lambda r: r["part"])
-    return np.concatenate([np.frombuffer(zlib.decompress(bytes(r["data"])), kind) for r in parts]) if parts else partial(iter(()))
+    rows_ = sorted(made.select("part", "data").collect(), key=lambda r: r["part"])
+    return np.concatenate([np.frombuffer(zlib.decompress(bytes(r["data"])), kind) for r in rows_]) if rows_ else partial(iter(()))
+
+
+def map_bits(entries: int, most: int = 24) -> int:
+    """Bits of a map, as a power of two, that so many entries fill to a sixty-fourth; 2**most at most."""
+    return min(most, max(16, (64 * max(1, entries) - 1).bit_length()))
 
 
 def bit_map(rows: DataFrame, place, bits: int = 24) -> np.ndarray:
-    """A map of 2**bits bits of which place(batch) are set for each batch of rows."""
+    """A packed map of 2**bits bits of which place(batch) are set for each batch of rows; see is_set."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros(1 << bits, bool)
@@ -143,7 +149,12 @@ def bit_map(rows: DataFrame, place, bits: int = 24) -> np.ndarray:
                 total[place(batch)] = True
         return np.packbits(total)
 
-    return np.unpackbits(combined(rows, partial, np.bitwise_or.reduce, np.uint8)).astype(bool)
+    return combined(rows, partial, np.bitwise_or.reduce, np.uint8, max(1, PARTS >> max(0, 24 - bits)))
+
+
+def is_set(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places of a bit map are set; the map stays packed."""
+    return (packed[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & np.uint8(1) > 0
 
 
 #: A-Z to a-z, all other bytes as they are.
@@ -153,22 +164,31 @@ LOWER[65:91] += 32
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path below the folder that all executors share; where the session names none (tests), one is set."""
+    return f"{_shared(spark).rstrip('/')}/seqweft-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(where)
-    import uuid
+    return where
 
-    return f"{where.rstrip('/')}/seqweft-{uuid.uuid4().hex}"
 
+def written(df: DataFrame, name: str = "part", used: tuple = ()) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors.
 
-def written(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage and survives lost executors."""
+    used: broadcast values that nothing needs once the table is written; they leave the executors' memory.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}-{name}"
     schema = df.schema
     df.write.parquet(path)
     del df
+    for value in used:
+        value.destroy()
     release(spark)
     return spark.read.schema(schema).parquet(path)
 
@@ -181,9 +201,10 @@ def release(spark: SparkSession) -> None:
 
 
 def ready_checkpoints(spark: SparkSession) -> None:
-    """checkpoint() needs a folder: the session's own, or a temporary one where none is set."""
+    """checkpoint() needs a folder: the session's own, or on a local master a temporary one where none is set."""
+    where = _shared(spark)
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(where)
 
 
 def look_up(left: DataFrame, right: DataFrame, key: str, hot_parts: int = 512) -> DataFrame:

@@ -5,25 +5,29 @@
    indexed under its prefix alone, the fewest first shingles of which similar sets must share one.
 3. Index lists are skipped by position: within a list, sets lie in blocks by size, only blocks of sizes that can reach
    the similarity meet, and a pair goes on only if what lies behind its positions can still make up the overlap.
-4. A set takes over the answers of a set that it is found highly similar to: each list first links its sets to their
-   neighbour and to the list's first set, of which the nearest is compared. Sets that are linked then share one answer (their component), and only pairs of
-   sets with different answers are compared in the last, complete round. No link between components is lost.
+4. A set takes over the answers of a set that it is found highly similar to. In each of a few rounds a set meets its
+   neighbours in its lists, in another order each time, and is compared with the one that its parity is least apart from.
+   Linked sets share one answer (their component) and don't meet again, so that large groups of near copies become one
+   component while only a few pairs a set were compared. The last round is complete: all sets of a list that still have
+   different answers meet. No link between components is lost.
 All verification counts the exact intersection of the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, look_up, mix, ready_checkpoints, slices, utf8, words, written
+from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, is_set, look_up, map_bits, mix, ready_checkpoints, slices, utf8, words, written
 
-#: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two.
-SHINGLE, PART, OF, SKETCH_BITS = 5, 80, 100, 22
+#: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two, rounds before the last at most
+#: (they end once one finds less than a tenth of all links so far).
+SHINGLE, PART, OF, SKETCH_BITS, ROUNDS = 5, 80, 100, 24, 8
 #: Least bits of the parities that bound how far two sets differ.
 PARITY_BITS = 1024
 
@@ -96,11 +100,29 @@ def prefix_sizes(n: np.ndarray, part: int = PART, of: int = OF) -> np.ndarray:
     return np.where(n > 0, n - (n * part + of - 1) // of + 1, 0)
 
 
-def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """Levels of how often shingles occur, by the first bits of their hashes: 0 for what is usual, then powers of two.
+class Levels(NamedTuple):
+    """Counters that stand out: a packed map of them, their numbers in order, and a level for each."""
 
-    All documents are counted. The counters have a fixed size, so counts of several shingles run together; as one level
-    belongs to each hash, the order is the same for all sets, which is all that exactness needs.
+    bits: int
+    packed: np.ndarray
+    counters: np.ndarray
+    levels: np.ndarray
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Level of each shingle: 0 for what is usual, then powers of two."""
+        own = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.zeros(len(h), np.uint8)
+        high = np.flatnonzero(is_set(self.packed, own))
+        out[high] = self.levels[np.searchsorted(self.counters, own[high])]
+        return out
+
+
+def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> Levels:
+    """Levels of how often shingles occur, by the first bits of their hashes.
+
+    All documents are counted. The counters have a fixed size, so counts of several shingles run together; a counter
+    stands out if it is four standard deviations above what chance gives. As one level belongs to each hash, the order is
+    the same for all sets, which is all that exactness needs.
     """
     width = 1 << bits
 
@@ -111,14 +133,17 @@ def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
             np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         return total
 
-    total = combined(source.select("text"), count, lambda xs: np.sum(xs, 0, dtype=np.uint64), np.uint64).astype(np.float64)
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / (8 + 4 * total.mean()))), 0, 60).astype(np.uint8)
+    total = combined(source.select("text"), count, lambda xs: np.minimum(np.sum(xs, 0, dtype=np.uint64), 0xFFFFFFFF), np.uint32)
+    mean = total.mean()
+    usual = mean + 4 * np.sqrt(mean) + 2
+    high = np.flatnonzero(total > usual)
+    return Levels(bits, np.packbits(total > usual), high.astype(np.int32), np.ceil(np.log2(total[high] / usual)).astype(np.uint8))
 
 
-def prefix_table(source: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Per row: id, n (set size), s1 and s2 (the set's key), parity, prefix (its rarest shingles, rarest first)."""
+def prefix_table(source: DataFrame, levels: Levels) -> DataFrame:
+    """Per row of (id, t, text): id, t, n (set size), s1 and s2 (the set's key), parity, prefix (its rarest shingles, rarest
+    first), uid (a number of its own)."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
-    bits = int(len(levels)).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = shared.value
@@ -126,19 +151,20 @@ def prefix_table(source: DataFrame, levels: np.ndarray) -> DataFrame:
             h, at = shingle_sets(batch.column("text"))
             n = np.diff(at)
             owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, level[(h >> np.uint64(64 - bits)).astype(np.int64)], owner))
+            order = np.lexsort((h, level.of(h), owner))
             kept = np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(prefix_sizes(n), n)
             s1, s2 = set_keys(h, at)
             off = np.concatenate([[0], np.cumsum(prefix_sizes(n))]).astype(np.int32)
             bits_of, first = parities(h, at)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits_of.view(np.int64))), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "n", "s1", "s2", "parity", "prefix"]
+                [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits_of.view(np.int64))), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "t", "n", "s1", "s2", "parity", "prefix"]
             )
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n long, s1 long, s2 long, parity array<long>, prefix array<long>")
+    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, t string, n long, s1 long, s2 long, parity array<long>, prefix array<long>")
+    return written(made.withColumn("uid", F.monotonically_increasing_id()), "prefixes", (shared,))
 
 
-def _bit(keys: np.ndarray, bits: int = 24) -> np.ndarray:
+def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
     return (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
@@ -147,23 +173,21 @@ def whole_sets(source: DataFrame, own: DataFrame) -> DataFrame:
 
     A bit map keeps most other texts out, which is all it is for. Rows that repeat a class's id come along.
     """
-    own = own.withColumn("k", F.col("s1").bitwiseXOR(F.col("hid")))
-    shared = source.sparkSession.sparkContext.broadcast(bit_map(own.select("k"), lambda batch: _bit(batch.column("k").to_numpy())))
+    bits = map_bits(own.count())
+    shared = source.sparkSession.sparkContext.broadcast(bit_map(own.select("hid"), lambda batch: _bit(batch.column("hid").to_numpy(), bits), bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value
-        for batch in slices(batches):
+        for whole in slices(batches):
+            batch = whole.filter(pa.array(is_set(wanted, _bit(whole.column("hid").to_numpy(), bits))))
+            if not batch.num_rows:
+                continue
             h, at = shingle_sets(batch.column("text"))
             s1, s2 = set_keys(h, at)
-            hid = batch.column("hid").to_numpy()
-            keep = wanted[_bit(s1 ^ hid)] & (np.diff(at) > 0)
-            n = np.diff(at)
-            off = np.concatenate([[0], np.cumsum(n[keep])]).astype(np.int32)
-            values = h[np.repeat(keep, n)].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(s1[keep]), pa.array(s2[keep]), pa.array(hid[keep]), pa.ListArray.from_arrays(pa.array(off), pa.array(values))], ["s1", "s2", "hid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), batch.column("hid"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["s1", "s2", "hid", "shingles"])
 
     found = source.select("text", F.xxhash64("id").alias("hid")).mapInArrow(run, "s1 long, s2 long, hid long, shingles array<long>")
-    return written(found, "sets")
+    return written(found, "sets", (shared,))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
@@ -219,48 +243,70 @@ def _reach(n_x: Column, n_y: Column, i: Column, j: Column, part: int, of: int) -
     return (of * F.least(n_x, n_y) >= part * F.greatest(n_x, n_y)) & (of * most >= part * (n_x + n_y - most))
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, of: int = OF) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the least id reachable by links, its own included).
+def _met(pairs: DataFrame, part: int, of: int) -> DataFrame:
+    """Different pairs (a, b), a > b, of rows (node, n, i, c, o: the same of another set) that may be similar."""
+    near = pairs.where("o is not null and o.node <> node and o.c <> c").where(_reach(F.col("n"), F.col("o.n"), F.col("i"), F.col("o.i"), part, of))
+    return near.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
 
-    Texts without words (null, empty, blank) have no shingles and are linked with nothing. Equal sets are linked whatever
-    their ids; rows that repeat an id are judged one by one. A null id never names a component, unless it has no other id.
-    """
-    source = id_and_text(docs, id_col, text_col)
-    table = written(prefix_table(source, sketch(source)).withColumn("uid", F.monotonically_increasing_id()), "prefixes")
+
+def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFrame, DataFrame]:
+    """For (id, t, text): the prefix table, and (node, s1, s2, least, c) of every different set that isn't empty: its key,
+    its least id, and its component."""
+    table = prefix_table(source, sketch(source))
     marks = table.select(F.col("uid").alias("node"), "n", "parity")
     slim = written(table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.min("uid").alias("node")), "classes")
-    own = table.select(F.col("uid").alias("node"), "n", "parity", "prefix").join(slim.select("node"), "node", "left_semi")
+    own = table.select(F.col("uid").alias("node"), "n", "prefix").join(slim.select("node"), "node", "left_semi")
     lists = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     lists = lists.withColumn("many", F.count("*").over(every)).where("many > 1").select("h", "node", "n", "i")
     del own
     lists = written(lists, "lists")
-
-    order = Window.partitionBy("h").orderBy("n", "node")
-    here, near = F.struct("node", "n", "i"), lists
-    near = near.select("h", "node", "n", "i", F.lag(here).over(order).alias("last"), F.first(here).over(order).alias("head"))
-    near = near.select("node", "n", "i", F.explode(F.array("last", "head")).alias("o")).where("o is not null and o.node <> node")
-    first = near.where(_reach(F.col("n"), F.col("o.n"), F.col("i"), F.col("o.i"), part, of)).select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
-    first = written(plausible(first, marks, part, of), "first")
-    # of a set's neighbours the one that it is least apart from is compared now, the others only if that doesn't link them
-    best = written(first.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b")), "best")
-    edges = written(verified(best, slim, source, part, of), "edges")
-    known = written(components(edges), "known")
-
-    # the complete round: sets of one list with different answers, met by blocks of size
-    left = lists.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    left = left.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ")
     width = float(np.log(of / part))
-    x = left.withColumn("s", F.floor(F.log("n") / width))
-    y = x.select("h", F.col("node").alias("m"), F.col("n").alias("k"), F.col("i").alias("j"), F.col("c").alias("d"), F.explode(F.array("s", F.col("s") + 1)).alias("s"))
-    rest = x.join(y, ["h", "s"]).where("c <> d and (k < n or (k = n and m < node))").where(_reach(F.col("n"), F.col("k"), F.col("i"), F.col("j"), part, of))
-    rest = rest.select(F.greatest("node", "m").alias("a"), F.least("node", "m").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    rest = written(plausible(rest, marks, part, of), "rest")
-    if not rest.isEmpty():
-        more = written(verified(rest, slim, source, part, of), "more")
-        known = written(components(edges.union(more)), "known")
-
-    named = slim.select("node", "s1", "s2", "least").join(known, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, False
+    while True:
+        if known is not None:  # only lists with different answers are left
+            open_ = lists.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+            open_ = open_.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ")
+        here = F.struct("node", "n", "i", "c")
+        sized = open_.withColumn("s", F.floor(F.log("n") / width))
+        if not last:
+            order = Window.partitionBy("h").orderBy("n", "node") if turn == 0 else Window.partitionBy("h").orderBy("s", F.xxhash64("node", F.lit(turn)))
+            near = sized.withColumns({"last": F.lag(here).over(order), "head": F.first(here).over(order)})
+            pairs = _met(near.select("node", "n", "i", "c", F.explode(F.array("last", "head")).alias("o")), part, of)
+        else:
+            other = open_.select("h", here.alias("o"), F.explode(F.array(F.floor(F.log("n") / width), F.floor(F.log("n") / width) + 1)).alias("s"))
+            pairs = _met(sized.join(other, ["h", "s"]).where("o.n < n or (o.n = n and o.node < node)"), part, of)
+        pairs = written(plausible(pairs, marks, part, of), "pairs")
+        if not last:  # of all that a set met, what it is least apart from
+            both = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart")).toDF("x", "y", "apart")
+            best = both.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+            pairs = written(best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "best")
+        found = pairs.select("a", "b") if pairs.isEmpty() else written(verified(pairs, slim, source, part, of), "edges")
+        edges = found if edges is None else edges.union(found)
+        if not found.isEmpty() or known is None:
+            known = written(components(edges), "known")
+        if last:
+            break
+        turn += 1
+        last = turn >= ROUNDS or found.count() * 10 <= edges.count()
+    return table, slim.select("node", "s1", "s2", "least").join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return id_and_text(docs, id_col, text_col).withColumn("t", _text_key(F.col("text")))
+
+
+def _text_key(text: Column) -> Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part: int = PART, of: int = OF) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the least id reachable by links, its own included).
+
+    Texts without words (null, empty, blank) have no shingles and are linked with nothing. Equal sets are linked whatever
+    their ids; rows that repeat an id are judged one by one. A null id never names a component, unless it has no other id.
+    """
+    table, named = classes(_source(docs, id_col, text_col).withColumn("t", F.lit("")), part, of)
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     answers = written(named.join(least, "c").select(F.struct("s1", "s2").alias("key"), "component_id"), "answers")
     rows = table.select("id", "n", F.when(F.col("n") > 0, F.struct("s1", "s2")).alias("key"))
@@ -268,16 +314,27 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs whose id names their component, with their columns; rows without words all stay.
+    """Rows of docs of which each component of near duplicates has one, with their columns; rows without words all stay.
 
-    Of rows that repeat both the id and the text one stays; rows with a null id stay only where no other is linked.
+    It is the row with the least id, null ones last; of equal ids the one with the least hash of its text. Rows are told
+    apart by id and text, so unlike texts with one id, or without id, don't go with each other; of rows that repeat both,
+    one stays.
     """
-    answers = written(linked(docs, id_col, text_col), "answers")
-    gone = answers.where(~F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
-    gone = written(gone, "duplicates")
-    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["_id"]), "left_anti")
-    repeated = not answers.groupBy(id_col).count().where("count > 1").isEmpty()
-    return kept.dropDuplicates([id_col, text_col]) if repeated else kept
+    table, named = classes(_source(docs, id_col, text_col))
+    rows = look_up(table.where("n > 0").select("id", "t", F.struct("s1", "s2").alias("key")), named.select(F.struct("s1", "s2").alias("key"), "c"), "key")
+    rows = written(rows.select("id", "t", "c"), "members")
+    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")
+    stays = written(rows.groupBy("c").agg(F.min(place).alias("one"), F.count("*").alias("many")).where("many > 1"), "stays")
+    same = F.col("id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t"))
+    marked = rows.join(stays, "c").withColumn("first", same)
+    marked = written(marked.groupBy("id", "t").agg(F.max("first").alias("first"), F.count("*").alias("rows")).where("not first or rows > 1"), "duplicates")
+    named_docs = docs.withColumn("_t", _text_key(F.col(text_col)))
+    alike = lambda x: named_docs[id_col].eqNullSafe(x["id"]) & (named_docs["_t"] == x["t"])
+    kept = named_docs.join(marked, alike(marked), "left_anti")
+    again = marked.where("first")
+    if not again.isEmpty():
+        kept = kept.union(named_docs.join(again, alike(again), "left_semi").dropDuplicates([id_col, "_t"]))
+    return kept.drop("_t")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -22,12 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqweft.llm import induced
-from seqweft.llm._arrow import bit_map, id_and_text, mix, powers, slices, utf8, written
+from seqweft.llm._arrow import bit_map, id_and_text, is_set, map_bits, mix, powers, slices, utf8, written
 
 #: Bytes of a repeated string, of an anchor's hash, of starts that share a key; bytes of contexts in a shard.
 LENGTH, ANCHOR, SPREAD, SHARD_BYTES = 400, 64, 169, 4 << 20
 _SECOND = 0xD1B54A32D192ED03
-_BITS = 24
 
 
 def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str, np.ndarray]:
@@ -77,16 +76,16 @@ def pieces(data: np.ndarray, off: np.ndarray, length: int = LENGTH) -> dict[str,
     return {"doc": d[f], "s": at[f] - off[d[f]], "n": count[f], "m": whole, "h": key[f].view(np.int64), "c1": c1[f].view(np.int64), "c2": c2[f].view(np.int64), "at": at[f]}
 
 
-def _place(k1: np.ndarray, k2: np.ndarray, s: np.ndarray) -> np.ndarray:
+def _place(k1: np.ndarray, k2: np.ndarray, s: np.ndarray, bits: int) -> np.ndarray:
     """Bit of an occurrence in the map of those whose contexts are fetched."""
     with np.errstate(over="ignore"):
         h = mix(mix(k1.view(np.uint64)) + k2.view(np.uint64) * np.uint64(3) + s.astype(np.uint64) * np.uint64(_SECOND))
-    return (h >> np.uint64(64 - _BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _marked(rows: DataFrame) -> np.ndarray:
-    """A map of fixed size with the bits of all (k1, k2, s)."""
-    return bit_map(rows, lambda batch: _place(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "s"))), _BITS)
+def _marked(rows: DataFrame, bits: int) -> np.ndarray:
+    """A packed map with the bits of all (k1, k2, s)."""
+    return bit_map(rows, lambda batch: _place(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("k1", "k2", "s")), bits), bits)
 
 
 def repeated_starts(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
@@ -153,9 +152,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     # a context that is alone under its key has no other to be compared with: its weight says all
     rivals = contexts.join(contexts.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi")
     rivals = written(rivals.select("n", "one"), "rivals")
-    size = rivals.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    number, size = rivals.agg(F.count("*"), F.coalesce(F.sum(F.col("n") + LENGTH), F.lit(0))).first()
+    bits = map_bits(number)
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
-    marks = spark.sparkContext.broadcast(_marked(rivals.select("one.*")))
+    marks = spark.sparkContext.broadcast(_marked(rivals.select("one.*"), bits))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = marks.value
@@ -163,7 +163,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
             data, off = utf8(batch.column("text"))
             p = pieces(data, off)
             k1, k2 = (batch.column(k).to_numpy()[p["doc"]] for k in ("k1", "k2"))
-            own = np.flatnonzero(wanted[_place(k1, k2, p["s"])]) if len(k1) else np.zeros(0, np.int64)
+            own = np.flatnonzero(is_set(wanted, _place(k1, k2, p["s"], bits))) if len(k1) else np.zeros(0, np.int64)
             raw = data.tobytes()
             cut = [raw[a : a + n + LENGTH - 1] for a, n in zip(p["at"][own].tolist(), p["n"][own].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(p["h"][own]), pa.array(p["c1"][own]), pa.array(p["c2"][own]), pa.array(cut, pa.binary())], ["h", "c1", "c2", "context"])
