@@ -2,7 +2,7 @@
 
 The terms are the words, and the beginnings of words, that tell the classes of the labelled sample apart, for either
 class; how clearly they must do so is chosen by cross-validation over the sample. Their document frequencies are counted
-over all documents. The index holds the labelled examples in blocks with each term's largest weight, so that blocks which can't
+over all documents. The index holds a bounded number of labelled examples in blocks with each term's largest weight, so that blocks which can't
 hold a nearest example are skipped; the neighbours found are exact. Sample, vocabulary and index have fixed bounds and
 are broadcast; documents are scored where they lie.
 """
@@ -21,12 +21,12 @@ from seqweft.llm._arrow import LOWER, id_and_text, mix, powers, slices, utf8, wo
 from seqweft.llm.quality import held_out, pool_adjacent
 
 #: Labelled rows that are learnt at most (those with the smallest hashes of their ids), words and beginnings that are
-#: terms at most (each), neighbours, examples in a block.
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 20_000, 2_000, 15, 64
+#: terms at most (each), learnt rows that the index holds at most (again by hash), neighbours, examples in a block.
+SAMPLE, TERMS, EXAMPLES, NEIGHBOURS, BLOCK = 20_000, 2_000, 5_000, 15, 64
 #: Least z-scores of a term that cross-validation chooses from, its folds, least score of a text that is called toxic.
 LEAST_ZS, FOLDS, TOXIC = (3.0, 4.0, 5.0, 6.0), 4, 0.3
 #: Blocks whose scores are taken at once at first, examples that calibrate the scores (or validate a fold) at most.
-_AT_ONCE, CALIBRATING = 8, 2_000
+_AT_ONCE, CALIBRATING = 8, 500
 
 #: Lengths in bytes of the beginnings of words that are terms too.
 PREFIXES = (4, 5, 6, 7, 8, 9)
@@ -217,6 +217,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, least_z
     spark = docs.sparkSession
     rows = labels.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so its broadcast is
     known = docs.join(F.broadcast(rows), "id").dropDuplicates(["text"]).select("id", "text", "y").orderBy(F.xxhash64("id"), "id").limit(sample)
+    # the limit leaves one partition: deal the examples out before their terms are taken
+    known = known.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     known = written(known.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")), "examples")
     sizes = {r["fold"]: (r["n"], r["pos"]) for r in known.groupBy("fold").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).collect()}
     n, pos = (sum(x) for x in zip(*sizes.values(), strict=True)) if sizes else (0, 0.0)
@@ -269,7 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, least_z
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("fold"), *(pa.array(c, pa.binary()) for c in cols)], ["id", "y", "fold", "terms", "times"])
 
     kind = known.schema["id"].dataType.simpleString()
-    rows_of = known.select("id", "text", "y", "fold").mapInArrow(counted, f"id {kind}, y double, fold int, terms binary, times binary").orderBy("id").collect()  # `sample` rows at most
+    indexed = written(known.orderBy(F.xxhash64("id"), "id").limit(EXAMPLES), "indexed").select("id", "text", "y", "fold").repartition(8)
+    rows_of = indexed.mapInArrow(counted, f"id {kind}, y double, fold int, terms binary, times binary").orderBy("id").collect()  # EXAMPLES rows at most
     held = [np.frombuffer(bytes(r["terms"]), np.int32).astype(np.int64) for r in rows_of]
     times = np.concatenate([np.frombuffer(bytes(r["times"]), np.int32) for r in rows_of])
     term = np.concatenate(held)
