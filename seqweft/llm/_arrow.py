@@ -9,18 +9,27 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a task holds as numpy arrays at once (one text may exceed it).
-CHUNK_BYTES = 1 << 19
+#: Bytes of text that a task holds as numpy arrays at once (one text may exceed it), and of a batch between Spark and Python.
+CHUNK_BYTES, BATCH_BYTES = 1 << 19, 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Long texts make batches of many rows large on both sides; where the session bounds their bytes less tightly than
+    BATCH_BYTES, it does so from now on. Results don't depend on it."""
+    now = spark.conf.get(_BATCH_SETTING).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:  # with another unit it is larger
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that an operator reads, under names that nothing can clash with."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
@@ -122,13 +131,13 @@ def combined(rows: DataFrame, partial, join, kind: type, parts: int = PARTS) ->
         pieces = [zlib.compress(x.tobytes(), 1) for x in partial(batches).astype(kind, copy=False).reshape(parts, -1)]
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(pieces, pa.binary())], ["task", "part", "data"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = join([np.frombuffer(zlib.decompress(x), kind) for x in pdf["data"]]).astype(kind, copy=False)
-        return pd.DataFrame({"task": [int(pdf["task"].iloc[0]) // FAN_IN], "part": [int(pdf["part"].iloc[0])], "data": [zlib.compress(total.tobytes(), 1)]})
+    def add(table: pa.Table) -> pa.Table:
+        total = join([np.frombuffer(zlib.decompress(x), kind) for x in table["data"].to_pylist()]).astype(kind, copy=False)
+        return pa.table({"task": [table["task"][0].as_py() // FAN_IN], "part": pa.array([table["part"][0].as_py()], pa.int32()), "data": [zlib.compress(total.tobytes(), 1)]})
 
     made, left = rows.mapInArrow(make, "task long, part int, data binary"), rows.rdd.getNumPartitions()
     while left > 1:
-        made = made.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInPandas(add, "task long, part int, data binary")
+        made = made.groupBy("part", F.floor(F.col("task") / FAN_IN).alias("group")).applyInArrow(add, "task long, part int, data binary")
         left = -(-left // FAN_IN)
     rows_ = sorted(made.select("part", "data").collect(), key=lambda r: r["part"])
     return np.concatenate([np.frombuffer(zlib.decompress(bytes(r["data"])), kind) for r in rows_]) if rows_ else partial(iter(()))

@@ -11,12 +11,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, slices, utf8, words, written
+from seqweft.llm._arrow import LOWER, bit_map, id_and_text, is_set, map_bits, mix, slices, utf8, words, written
 
 #: Random features, ridge penalty, width of the kernel in standard deviations, bins of the calibration, seed.
 FEATURES, RIDGE, WIDTH, BINS, SEED = 256, 1.0, 4.0, 200, 7
@@ -138,16 +137,16 @@ def partition_sums(rows: DataFrame, of, width: int) -> np.ndarray:
                 total += of(batch)
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width)
-        for x in pdf["sums"]:
+        for x in table["sums"].to_pylist():
             total += np.frombuffer(x)
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0]) // FAN_IN], "sums": [total.tobytes()]})
+        return pa.table({"part": [table["part"][0].as_py() // FAN_IN], "sums": [total.tobytes()]})
 
     sums = written(rows.mapInArrow(part, "part long, sums binary"), "sums")
     left = sums.count()
     while left > FAN_IN:
-        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInPandas(add, "part long, sums binary")
+        sums = sums.groupBy(F.floor(F.col("part") / FAN_IN).alias("group")).applyInArrow(add, "part long, sums binary")
         left = -(-left // FAN_IN)
     total = np.zeros(width)
     for row in sums.select("sums").collect():  # FAN_IN vectors at most
@@ -230,23 +229,35 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Rows of docs that score at least `least`, with their columns; each row is judged by its own text, null ids too."""
-    scored = score_rows(docs, labels, id_col, text_col, label_col)
-    return scored.where(F.col("_score") >= least).drop("_score")
+    """Rows of docs that score at least `least`, with their columns; each row is judged by its own text, null ids too.
 
+    The model is fitted to the statistics of rows whose labels may be learnt; others are left out by a map of the ids
+    that have labels. The texts themselves stay where they are, and each is read once more to be judged.
+    """
+    known = labels.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(F.xxhash64(F.col(id_col).cast("string")).alias("k")).distinct()
+    bits = map_bits(known.count())
+    place = lambda k: (mix(k.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    spark = docs.sparkSession
+    marks = spark.sparkContext.broadcast(bit_map(known, lambda batch: place(batch.column("k").to_numpy()), bits))
 
-def score_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """All columns of docs and _score; the texts stay where they are."""
-    stats = written(statistics_table(docs, id_col, text_col), "stats")
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_rows(stats, labels, id_col, label_col)))
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.filter(pa.array(is_set(marks.value, place(batch.column("k").to_numpy())))).select(["id", "text"])
+            if own.num_rows:
+                yield own
+
+    source = id_and_text(docs, id_col, text_col)
+    some = source.select("id", "text", F.xxhash64(F.col("id").cast("string")).alias("k")).mapInArrow(marked, source.schema)
+    stats = written(statistics_table(some, "id", "text"), "stats", (marks,))
+    model = spark.sparkContext.broadcast(fit(labelled_rows(stats, labels, id_col, label_col)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
-            s = model.value.score(statistics(batch.column(text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*batch.schema.names, "_score"])
+            own = batch.filter(pa.array(model.value.score(statistics(batch.column(text_col))) >= least))
+            if own.num_rows:
+                yield own
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, _score double")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def labelled_rows(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> DataFrame:

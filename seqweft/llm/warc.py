@@ -143,19 +143,24 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     joined = found.join(real, ["file", "at"], "left")
     if found.where("not whole").isEmpty():
         return joined.where("real and whole").select("file", "at", *_FIELDS)
-    w = Window.partitionBy("file").orderBy("at")
-    owner = joined.where("not whole or real").withColumn("owner", F.last(F.when(F.col("real"), F.col("at")), True).over(w))
-    split = owner.where("real and not whole").select("file", F.col("at").alias("owner"), (F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("length") + 8).alias("end"))
-    parts = found.select("file", "at", F.coalesce("raw", F.lit(None).cast("binary")).alias("raw"), "nr", "block")
-    full = _parsed(pieces(spark, path)).select("file", "block", "nr", F.col("value").cast("binary").alias("bytes_of")) if _has_whole_inside(joined, split) else None
-    inside = parts.join(split, "file").where("at >= owner and at < end") if full is None else found.select("file", "block", "nr", "at").join(full, ["file", "block", "nr"]).withColumnRenamed("bytes_of", "raw").join(split, "file").where("at >= owner and at < end")
+    # a piece belongs to the last real record before it, in its block or an earlier one
+    within, earlier = Window.partitionBy("file", "block").orderBy("at"), Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    real_at = F.when(F.col("real"), F.col("at"))
+    tops = joined.groupBy("file", "block").agg(F.max(real_at).alias("top")).withColumn("top", F.last("top", True).over(earlier))
+    owned = joined.join(tops, ["file", "block"]).withColumn("owner", F.coalesce(F.last(real_at, True).over(within), "top")).drop("top")
+    split = owned.where("real and not whole").select("file", "owner", (F.col("at") + len(MAGIC) + F.col("head_bytes") + F.col("length") + 8).alias("end"))
+    parts = owned.select("file", "block", "nr", "at", "owner", "raw")
+    if _has_whole_inside(joined):
+        full = _parsed(pieces(spark, path)).select("file", "block", "nr", F.col("value").cast("binary").alias("raw"))
+        parts = parts.drop("raw").join(full, ["file", "block", "nr"])
+    inside = parts.join(split, ["file", "owner"]).where("at < end")
     glued = inside.groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "raw"))).alias("parts"))
     value = F.expr(f"cast(aggregate(slice(parts, 2, size(parts)), parts[0].raw, (a, x) -> concat(a, cast('{MAGIC}' as binary), x.raw)) as string)".replace("\r", "\\r").replace("\n", "\\n"))
     again = _parsed(glued.select("file", F.col("owner").alias("at"), value.alias("value")))
     return joined.where("real and whole").select("file", "at", *_FIELDS).unionByName(again.where("whole").select("file", "at", *_FIELDS))
 
 
-def _has_whole_inside(joined: DataFrame, split: DataFrame) -> bool:
+def _has_whole_inside(joined: DataFrame) -> bool:
     """Whether a payload holds something that looks like a whole record, whose bytes weren't kept."""
     return not joined.where("whole and real is null").isEmpty()
 

@@ -434,6 +434,34 @@ def test_secrets(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in masked.values() if r.text is not None)
 
 
+def test_network_finds_secrets_without_a_name(spark):
+    """Tokens that no pattern tells, among numbers, names and addresses; the network learns from other texts' findings."""
+    import random
+
+    rng = random.Random(3)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    low, both = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = lambda n: " ".join(pick(low, rng.randint(3, 10)) for _ in range(n))
+    rows, planted, clean = [], {}, {}
+    for i in range(400):
+        text = words(30)
+        if i % 4 == 0:
+            text += f' token = "{pick("0123456789abcdef", 40)}" ' + words(10)
+        elif i % 4 == 1:
+            planted[i] = (len(text) + 1, len(text) + 41)
+            text += " " + pick(both, 40) + " " + words(10)
+        elif i % 4 == 2:
+            own = rng.choice([pick("0123456789", 16), f"{pick(low, 9)}-{pick(low, 8)}-{rng.randint(1, 99)}", f"2024-01-{rng.randint(10, 28)}-2024-02-17"])
+            clean[i] = own
+            text += " " + own + " " + words(10)
+        rows.append((i, text))
+    found = {r["doc_id"]: r["findings"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit = sum(any(f["kind"] == "net" and (f["start"], f["end"]) == at for f in found[i]) for i, at in planted.items())
+    wrong = sum(bool(found[i]) for i in clean)
+    assert hit >= 0.9 * len(planted) and wrong <= 0.1 * len(clean)
+    assert all(f["score"] is not None for i in range(0, 400, 4) for f in found[i])
+
+
 def test_licenses(spark, tmp_path):
     rows = [*texts(), "x\n" + licenses.TEMPLATES[13][1], licenses.TEMPLATES[15][1].replace(". ", ".\n"), "All rights reserved.\nreleased UNDER the mit license", "Licensed under the Apache License, Version 2.0 and more of it"]
     got = {r.doc_id: r for r in on_tables(spark, tmp_path, licenses.op9_licenses, documents=docs(spark, rows)).collect()}
