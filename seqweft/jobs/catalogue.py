@@ -33,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # Sequences: documents by language or source, conversations by role, events by user.
 
 K, SHORT_K = 8, 4
-_EVENT_SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: The first 26 event types are letters, further ones ideographs, of which there are 20,992.
+_LETTERS, _IDEOGRAPHS, _MOST_TYPES = 65, 0x4E00, 26 + 20_992
 
 
 def _seqs(spark, sf_dir, name="documents", colour="lang"):
@@ -47,10 +48,13 @@ def _edges(spark, sf_dir, name="documents", colour="lang", k=K):
 def _event_edges(spark, sf_dir, k=3):
     """Event types as symbols; each user's events by time are a sequence, coloured by the user's remainder by 4."""
     ev = table(spark, sf_dir, "events")
-    kinds = ev.select("event_type").distinct().withColumn("symbol", F.substring(F.lit(_EVENT_SYMBOLS), F.row_number().over(Window.orderBy("event_type")), F.lit(1)))
+    rank = F.row_number().over(Window.orderBy("event_type")) - 1  # one row a type
+    place = F.when(F.col("rank") < 26, _LETTERS + F.col("rank")).otherwise(_IDEOGRAPHS - 26 + F.col("rank"))
+    symbol = F.when(F.col("rank") < _MOST_TYPES, F.decode(F.unhex(F.lpad(F.hex(place), 4, "0")), "UTF-16BE")).otherwise(F.raise_error(F.lit("too many event types")))
+    kinds = ev.where("event_type is not null").select("event_type").distinct().withColumn("rank", rank).select("event_type", symbol.alias("symbol"))
     rows = ev.join(F.broadcast(kinds), "event_type").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "symbol"))).alias("x"))
     seqs = rows.select((F.col("user_id") % 4).cast("string").alias("color"), F.array_join(F.transform("x", lambda e: e["symbol"]), "").alias("seq"))
-    return ed.edges(seqs, k)
+    return ed.edges(seqs, k, wide=True)
 
 
 def _sql_seqs(name="documents", colour="lang"):
@@ -142,7 +146,7 @@ def bwsd_role(spark, d):
     return bwsd.similarity(_edges(spark, d, "conversations", "role"))
 
 
-_SQL_EVENTS = f"""kinds AS (SELECT event_type, substr('{_EVENT_SYMBOLS}', row_number() OVER (ORDER BY event_type)::INT, 1) AS symbol FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+_SQL_EVENTS = f"""kinds AS (SELECT event_type, chr(CASE WHEN row_number() OVER (ORDER BY event_type) <= 26 THEN {_LETTERS - 1} + row_number() OVER (ORDER BY event_type) ELSE {_IDEOGRAPHS - 27} + row_number() OVER (ORDER BY event_type) END::INT) AS symbol FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
 seqs AS (SELECT (user_id % 4)::VARCHAR AS color, string_agg(symbol, '' ORDER BY ts, event_id) AS seq FROM events JOIN kinds USING (event_type) GROUP BY user_id)"""
 
 
@@ -204,7 +208,12 @@ def lcp_group_end(spark, d):
 # Bits of lineitem in the order of its keys.
 
 _SQL_BITS = "b AS (SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS bit, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS pos FROM lineitem), rk AS (SELECT *, (sum(bit) OVER (ORDER BY pos))::BIGINT AS rank1 FROM b)"
-_SQL_WANTED = "wanted AS (SELECT range * 100 AS x FROM range(0, 200))"
+_SQL_WANTED = "wanted AS (SELECT range * 50 AS x FROM range(0, (SELECT count(*) // 50 + 2 FROM lineitem)))"
+
+
+def _wanted(spark, d):
+    """Every fiftieth rank, up to some that don't exist."""
+    return spark.range(table(spark, d, "lineitem").count() // 50 + 2).select((F.col("id") * 50).alias("x"))
 
 
 def _bits(spark, d):
@@ -219,12 +228,12 @@ def bit_rank(spark, d):
 
 @query("bit_select1", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, coalesce(pos, -1) AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 1) ON rank1 = x")
 def bit_select1(spark, d):
-    return bitvector.select1(_bits(spark, d), "bit", spark.range(200).select((F.col("id") * 100).alias("x")))
+    return bitvector.select1(_bits(spark, d), "bit", _wanted(spark, d))
 
 
 @query("bit_select0", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, CASE WHEN x = 0 THEN 0 ELSE coalesce(pos, -1) END AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 0) ON pos + 1 - rank1 = x")
 def bit_select0(spark, d):
-    return bitvector.select0(_bits(spark, d), "bit", spark.range(200).select((F.col("id") * 100).alias("x")))
+    return bitvector.select0(_bits(spark, d), "bit", _wanted(spark, d))
 
 
 @query("bit_gaps", f"WITH {_SQL_BITS} SELECT gap, count(*) AS n FROM (SELECT lead(pos) OVER (ORDER BY pos) - pos - 1 AS gap FROM rk WHERE bit = 1) WHERE gap IS NOT NULL GROUP BY gap")
@@ -321,10 +330,16 @@ def bfs(spark, d):
     return graphs.hops(_tree(spark, d), spark.range(1).select(F.col("id").alias("u")))
 
 
-@query("all_pairs_hops", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source, u, dist FROM walk")
+_SQL_SOME = "sources AS (SELECT 1000::BIGINT + c_custkey AS u FROM customer WHERE c_custkey % 50 = 0)"
+
+
+def _some(spark, d):
+    return table(spark, d, "customer").where("c_custkey % 50 = 0").select((F.col("c_custkey") + 1000).cast("long").alias("u"))
+
+
+@query("all_pairs_hops", f"WITH RECURSIVE {_SQL_TREE}, {_SQL_SOME}, {_SQL_WALK} SELECT source, u, dist FROM walk")
 def all_pairs_hops(spark, d):
-    e = _places(spark, d)
-    return graphs.hops(e, e.select("u").distinct())
+    return graphs.hops(_tree(spark, d), _some(spark, d))
 
 
 @query("tree_paths", f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT 100::BIGINT + n_nationkey AS u FROM nation), {_SQL_WALK} SELECT source, u, dist, round(far, 6) AS far FROM walk")
@@ -333,24 +348,32 @@ def tree_paths(spark, d):
     return graphs.hops(_tree(spark, d), n, "w").withColumn("far", F.round("far", 6))
 
 
-@query("diameter", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT max(dist) AS diameter FROM walk")
+_SQL_ALL = f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}"
+
+
+@query("diameter", f"{_SQL_ALL} SELECT max(dist) AS diameter FROM walk")
 def diameter(spark, d):
-    return graphs.diameter(all_pairs_hops(spark, d))
+    return graphs.tree_diameter(_tree(spark, d))
 
 
-@query("tree_center", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}, ecc AS (SELECT source, max(dist) AS ecc FROM walk GROUP BY source) SELECT source AS u, ecc FROM ecc WHERE ecc = (SELECT min(ecc) FROM ecc)")
+@query("tree_center", f"{_SQL_ALL}, ecc AS (SELECT source, max(dist) AS ecc FROM walk GROUP BY source) SELECT source AS u, ecc FROM ecc WHERE ecc = (SELECT min(ecc) FROM ecc)")
 def tree_center(spark, d):
-    return graphs.centers(all_pairs_hops(spark, d))
+    return graphs.tree_centers(_tree(spark, d))
 
 
-@query("nearest_leaf", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}, leaf AS (SELECT u FROM t GROUP BY u HAVING count(*) = 1) SELECT source AS u, arg_min(walk.u, (dist, walk.u)) AS leaf, min(dist) AS dist FROM walk JOIN leaf ON walk.u = leaf.u GROUP BY source")
+@query("nearest_leaf", f"{_SQL_ALL}, leaf AS (SELECT u FROM t GROUP BY u HAVING count(*) = 1) SELECT source AS u, arg_min(walk.u, (dist, walk.u)) AS leaf, min(dist) AS dist FROM walk JOIN leaf ON walk.u = leaf.u GROUP BY source")
 def nearest_leaf(spark, d):
-    return graphs.nearest_leaf(_places(spark, d), all_pairs_hops(spark, d))
+    return graphs.nearest_leaf(_tree(spark, d))
+
+
+_SQL_FEW = _SQL_TREE.replace("FROM customer)", "FROM customer WHERE c_custkey % 50 = 0)")
 
 
-@query("apsp", f"WITH RECURSIVE {_SQL_PLACES}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source AS u, u AS v, round(far, 6) AS d FROM walk")
+@query("apsp", f"WITH RECURSIVE {_SQL_FEW}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source AS u, u AS v, round(far, 6) AS d FROM walk")
 def apsp(spark, d):
-    return graphs.shortest(_places(spark, d)).withColumn("d", F.round("d", 6))
+    """All pairs of the tree with every fiftieth customer."""
+    c = table(spark, d, "customer").where("c_custkey % 50 = 0").select((F.col("c_nationkey") + 100).cast("long").alias("u"), (F.col("c_custkey") + 1000).cast("long").alias("v"), F.lit(0.5).alias("w"))
+    return graphs.shortest(_places(spark, d).unionByName(graphs.both_ways(c))).withColumn("d", F.round("d", 6))
 
 
 _SQL_FOLLOW = """pairs AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),
@@ -394,14 +417,14 @@ def nj_edges(spark, d):
     return trees.branches_table(_both_distances(spark, d), "measure", "d")
 
 
-@query("dot_lines", f"""WITH {_SQL_PLACES} SELECT '"' || u || '" -- "' || v || '" [label="' || format('{{:.3f}}', w) || '"];' AS line FROM t WHERE u < v""")
+@query("dot_lines", f"""WITH {_SQL_SUPPLY} SELECT '"' || u || '" -- "' || v || '" [label="' || format('{{:.3f}}', w) || '"];' AS line FROM g WHERE u < v""")
 def dot_lines(spark, d):
-    return writers.dot_lines(_places(spark, d))
+    return writers.dot_lines(_supply_graph(spark, d))
 
 
-@query("json_lines", f"""WITH {_SQL_PLACES} SELECT '{{"source":' || u || ',"target":' || v || ',"value":' || w || '}}' AS line FROM t""")
+@query("json_lines", f"""WITH {_SQL_SUPPLY} SELECT '{{"source":' || u || ',"target":' || v || ',"value":' || w || '}}' AS line FROM g""")
 def json_lines(spark, d):
-    return writers.json_lines(_places(spark, d))
+    return writers.json_lines(_supply_graph(spark, d))
 
 
 @query("ltm_long", f"{_E}, {_RUNS}, {_HIST} SELECT greatest(i, j) AS r, least(i, j) AS c, expectation AS d FROM ({_DISTANCES})")
@@ -435,10 +458,10 @@ _TRIMMED = r"regexp_replace(text, '[ \n\t\r\f\x0B]+\z', '')"
 
 @query("string_functions", f"""SELECT item_id, {_TRIMMED.replace('text', "(text || chr(9) || ' ' || chr(10))")} AS trimmed, CASE WHEN ends_with(text || chr(10), chr(10)) THEN text END AS chomped,
  len(regexp_split_to_array(text, '[ ,.]')) AS n_parts, translate(text, 'abc', 'xyz') AS mapped, text || '|' || item_id AS joined,
- list_transform(string_split(left(regexp_replace(text, '[^a-z]', '', 'g'), 8), ''), lambda x: ascii(x)::INT)::VARCHAR AS codes FROM benchmark""")
+ list_transform(string_split(regexp_replace(text, '[^a-z]', '', 'g'), ''), lambda x: ascii(x)::INT)::VARCHAR AS codes FROM benchmark""")
 def string_functions(spark, d):
     t = F.col("text")
-    codes = strings.char_codes(F.substring(F.regexp_replace(t, "[^a-z]", ""), 1, 8))
+    codes = strings.char_codes(F.regexp_replace(t, "[^a-z]", ""))
     return table(spark, d, "benchmark").select(
         "item_id", strings.rtrim(F.concat(t, F.lit("\t \n"))).alias("trimmed"), strings.chomp(F.concat(t, F.lit("\n"))).alias("chomped"), F.size(strings.split_any(t, " ,.")).cast("long").alias("n_parts"),
         strings.remap(t, "abc", "xyz").alias("mapped"), F.concat(t, F.lit("|"), F.col("item_id").cast("string")).alias("joined"), F.concat(F.lit("["), F.array_join(F.transform(codes, lambda x: x.cast("string")), ", "), F.lit("]")).alias("codes"),

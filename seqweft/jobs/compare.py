@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,15 +24,25 @@ class Comparison:
 
 def compare_sequences(seqs: DataFrame, k: int = 32, coverage: bool = False) -> DataFrame:
     """(i, j, s, expectation, entropy) of all pairs of colours of (color, seq)."""
-    return bwsd.similarity(edges(seqs, k).persist(), coverage)
+    return bwsd.similarity(edges(seqs, k), coverage)
+
+
+def _short(names: list[str]) -> list[str]:
+    """File names without their ending, or whole where two would be alike."""
+    short = [re.sub(r"\.fast[aq]$", "", x) for x in names]
+    return short if len(set(short)) == len(short) else names
 
 
 def compare_directory(spark: SparkSession, path: str, k: int = 32, coverage: bool = False) -> Comparison:
     """Distance matrices and trees of the FASTA and FASTQ files of a directory; one row for each pair is collected."""
     seqs = read_collections(spark, path).selectExpr("genome as color", "seq")
-    rows = compare_sequences(seqs, k, coverage).collect()
-    out = []
+    table, out = edges(seqs, k).persist(), []
+    try:
+        rows = bwsd.similarity(table, coverage).collect()
+    finally:
+        table.unpersist()
     for value in ("expectation", "entropy"):
         labels, d = trees.matrix([(r["i"], r["j"], r[value]) for r in rows])
+        labels = _short(labels)
         out.append((labels, dmat(labels, d), trees.newick(trees.join_neighbours(d), labels)))
     return Comparison(out[0][0], out[0][1], out[1][1], out[0][2], out[1][2])

@@ -20,20 +20,29 @@ def sequences(df: DataFrame, colour: str, text: str, alphabet: str = "ACGT") ->
     return df.where(F.col(colour).isNotNull()).select(F.col(colour).cast("string").alias("color"), kept.alias("seq"))
 
 
-def contexts(seqs: DataFrame, k: int) -> DataFrame:
+def contexts(seqs: DataFrame, k: int, wide: bool = False) -> DataFrame:
     """(color, kmer, W) for each full context. Long sequences are cut into overlapping stretches by byte first, so that
-    reaching a place costs the same everywhere in a sequence; symbols must be single bytes."""
+    reaching a place costs the same everywhere in a sequence; symbols must be single bytes, unless `wide` cuts by character."""
+    if wide:
+        own = seqs.where(F.length("seq") >= k).select("color", F.split("seq", "").alias("x"), F.length("seq").alias("n"))
+        own = own.select("color", "x", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k, F.lit(STRETCH))).alias("at"))
+        return _within(own.select("color", F.array_join(F.slice("x", F.col("at") + 1, F.lit(STRETCH + k)), "").alias("s"), (F.col("at") + STRETCH + k > F.col("n")).alias("last")), k)
     long = seqs.where(F.octet_length("seq") >= k).select("color", F.col("seq").cast("binary").alias("b"), F.octet_length("seq").alias("n"))
     cut = long.select("color", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k, F.lit(STRETCH))).alias("at"))
     part = cut.select("color", F.expr(f"cast(substring(b, at + 1, {STRETCH + k}) as string)").alias("s"), (F.col("at") + STRETCH + k > F.col("n")).alias("last"))
+    return _within(part, k)
+
+
+def _within(part: DataFrame, k: int) -> DataFrame:
+    """The contexts of stretches (color, s, last: whether the sequence ends with it)."""
     starts = F.sequence(F.lit(1), F.least(F.length("s") - k + F.when(F.col("last"), 1).otherwise(0), F.lit(STRETCH)))
     place = part.where(F.length("s") >= k).select("color", "s", F.explode(starts).alias("p"))
     return place.select("color", F.substr("s", F.col("p"), F.lit(k)).alias("kmer"), F.coalesce(F.nullif(F.substr("s", F.col("p") + k, F.lit(1)), F.lit("")), F.lit("$")).alias("W"))
 
 
-def edges(seqs: DataFrame, k: int) -> DataFrame:
+def edges(seqs: DataFrame, k: int, wide: bool = False) -> DataFrame:
     """(color, kmer, W, coverage): distinct edges with how often each occurs; partial counts before the shuffle."""
-    return contexts(seqs, k).groupBy("color", "kmer", "W").agg(F.count("*").alias("coverage"))
+    return contexts(seqs, k, wide).groupBy("color", "kmer", "W").agg(F.count("*").alias("coverage"))
 
 
 def contexts_with_short(seqs: DataFrame, k: int) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 import tempfile
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -56,7 +56,10 @@ def exchanged(e: DataFrame, a: int, b: int) -> DataFrame:
 def _checkpoints(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
 
 
 def hops(e: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
@@ -73,12 +76,31 @@ def hops(e: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFra
         d += 1
         step = front.join(links, "u").groupBy("source", F.col("to").alias("u")).agg(F.min(F.col("far") + F.col("c")).alias("far"))
         front = step.join(seen, ["source", "u"], "left_anti").select("source", "u", F.lit(d).alias("dist"), "far").checkpoint()
-        seen = seen.unionByName(front).checkpoint()
+        seen = seen.unionByName(front)  # each front is stored once
     return seen if weight else seen.drop("far")
 
 
-def diameter(dist: DataFrame) -> DataFrame:
-    return dist.agg(F.max("dist").alias("diameter"))
+def _ends(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Hops from both ends of a longest path of a tree: what is farthest from any vertex, and what is farthest from that."""
+    start, out = tree.agg(F.min("u").alias("u")).where("u is not null"), []
+    for _ in range(3):
+        dist = hops(tree, start)
+        start = dist.orderBy(F.desc("dist"), "u").limit(1).select("u")
+        out.append(dist)
+    return out[1], out[2]
+
+
+def tree_diameter(tree: DataFrame) -> DataFrame:
+    """(diameter): hops of the longest path of a tree, by searches from two vertices. Without edges it is null."""
+    return _ends(tree)[0].agg(F.max("dist").alias("diameter"))
+
+
+def tree_centers(tree: DataFrame) -> DataFrame:
+    """(u, ecc): the vertices of a tree whose largest distance is least, one or two. In a tree the vertex that is farthest
+    away is an end of a longest path, so searches from its two ends give all largest distances."""
+    a, b = _ends(tree)
+    ecc = a.select("u", F.col("dist").alias("a")).join(b.select("u", F.col("dist").alias("b")), "u").select("u", F.greatest("a", "b").alias("ecc"))
+    return ecc.join(F.broadcast(ecc.agg(F.min("ecc").alias("ecc"))), "ecc").select("u", "ecc")
 
 
 def shortest(e: DataFrame) -> DataFrame:
@@ -148,18 +170,16 @@ def maximal_cliques(e: DataFrame) -> DataFrame:
     return rows.groupBy("u").applyInPandas(search, "size int, clique string")
 
 
-def eccentricities(dist: DataFrame) -> DataFrame:
-    return dist.groupBy("source").agg(F.max("dist").alias("ecc"))
-
-
-def centers(dist: DataFrame) -> DataFrame:
-    """The vertices whose largest distance is least: one or two in a tree. dist: from hops over all vertices."""
-    ecc = eccentricities(dist)
-    return ecc.join(F.broadcast(ecc.agg(F.min("ecc").alias("ecc"))), "ecc").select(F.col("source").alias("u"), "ecc")
-
-
-def nearest_leaf(e: DataFrame, dist: DataFrame) -> DataFrame:
-    """(u, leaf, dist): the nearest vertex of degree 1, itself included, the least of several."""
-    leaves = degrees(e).where("degree = 1").select("u")
-    near = dist.join(leaves, "u", "left_semi")
-    return near.groupBy("source").agg(F.min(F.struct("dist", "u")).alias("m")).select(F.col("source").alias("u"), F.col("m.u").alias("leaf"), "m.dist")
+def nearest_leaf(e: DataFrame) -> DataFrame:
+    """(u, leaf, dist): the nearest vertex of degree 1, itself included, the least of several; vertices that reach none
+    are left out. All leaves are searched from at once, and each vertex takes over the least leaf of what reaches it first."""
+    _checkpoints(e)
+    links = e.select("u", F.col("v").alias("to")).distinct()
+    seen = degrees(e).where("degree = 1").select("u", F.col("u").alias("leaf"), F.lit(0).alias("dist")).checkpoint()
+    front, d = seen, 0
+    while not front.isEmpty():
+        d += 1
+        step = front.join(links, "u").groupBy(F.col("to").alias("u")).agg(F.min("leaf").alias("leaf"))
+        front = step.join(seen, "u", "left_anti").select("u", "leaf", F.lit(d).alias("dist")).checkpoint()
+        seen = seen.unionByName(front)
+    return seen

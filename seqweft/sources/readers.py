@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _genome() -> Column:
-    """A collection's name: its file's, cut at the first dot."""
-    return F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), ".", 1)
+    """A collection's name: that of its file, whole, so that no two files become one collection."""
+    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:

@@ -111,6 +111,19 @@ def test_hops(spark):
     assert got == want
 
 
+def test_trees(spark):
+    rng = random.Random(4)
+    e = [(rng.randrange(i), i, 1.0) for i in range(1, 40)]
+    df = graphs.both_ways(spark.createDataFrame(e, "u long, v long, w double"))
+    dist = {(r.source, r.u): r.dist for r in graphs.hops(df, df.select("u").distinct()).collect()}
+    ecc = {u: max(dist[u, v] for v in range(40)) for u in range(40)}
+    leaves = [u for u in range(40) if sum(u in x[:2] for x in e) == 1]
+    assert graphs.tree_diameter(df).first()[0] == max(ecc.values())
+    assert {(r.u, r.ecc) for r in graphs.tree_centers(df).collect()} == {(u, x) for u, x in ecc.items() if x == min(ecc.values())}
+    assert {r.u: (r.dist, r.leaf) for r in graphs.nearest_leaf(df).collect()} == {u: min((dist[u, v], v) for v in leaves) for u in range(40)}
+    assert graphs.tree_diameter(df.limit(0)).first()[0] is None
+
+
 def test_readers(spark, tmp_path):
     labels, d = trees.matrix([("b", "a", 1.5), ("c", "a", 2.0), ("c", "b", 0.25)])
     (tmp_path / "m.dmat").write_text(writers.dmat(labels, d))

@@ -117,3 +117,29 @@ def test_directory(spark, tmp_path):
     for name, reads in READS.items():
         (fasta / f"{name}.fasta").write_text("".join(f">r{i} toy > x\n{s[:2]}\n{s[2:]}\n" for i, s in enumerate(reads)))
     assert compare_directory(spark, str(fasta), 3) == out
+
+
+def test_files_with_like_names_stay_apart(spark, tmp_path):
+    (tmp_path / "x.1.fasta").write_text(">a\nACGTACGT\n")
+    (tmp_path / "x.2.fasta").write_text(">a\nTTGTACGA\n")
+    (tmp_path / "x.1.fastq").write_text("@a\nGGGTACGA\n+\n########")
+    assert compare_directory(spark, str(tmp_path), 3).labels == ["x.1.fasta", "x.1.fastq", "x.2.fasta"]
+
+
+def test_symbols_of_several_bytes(spark):
+    """Sequences over a large alphabet give the edges of the same sequence over letters."""
+    plain, wide = "ABCABDABC" * 60, "甲乙丙甲乙丁甲乙丙" * 60
+    back = str.maketrans("甲乙丙丁", "ABCD")
+    a, b = (edges.edges(spark.createDataFrame([("c", s)], "color string, seq string"), 3, wide=w).collect() for s, w in ((plain, False), (wide, True)))
+    assert sorted((r.kmer, r.W, r.coverage) for r in a) == sorted((r.kmer.translate(back), r.W.translate(back), r.coverage) for r in b)
+
+
+def test_more_event_types_than_letters(spark, tmp_path):
+    import datetime
+
+    from seqweft.jobs.catalogue import _event_edges
+
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(u * 40 + i, start + datetime.timedelta(seconds=i), u, f"t{(i * 7 + u) % 40:02d}") for u in range(8) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    assert _event_edges(spark, str(tmp_path), 3).agg({"coverage": "sum"}).first()[0] == 8 * 38
