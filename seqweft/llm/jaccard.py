@@ -8,8 +8,9 @@
 4. A set takes over the answers of a set that it is found highly similar to. In each of a few rounds a set meets its
    neighbours in its lists, in another order each time, and is compared with the one that its parity is least apart from.
    Linked sets share one answer (their component) and don't meet again, so that large groups of near copies become one
-   component while only a few pairs a set were compared. The last round is complete: all sets of a list that still have
-   different answers meet. No link between components is lost.
+   component while only a few pairs a set were compared. The last round is complete: lists are dealt out by pairs of
+   blocks, all sets of a list that still have different answers meet there, and only pairs that sizes, positions and short
+   parities allow become rows. No link between components is lost.
 All verification counts the exact intersection of the whole sets.
 """
 
@@ -28,8 +29,9 @@ from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, is_set, lo
 #: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two, rounds before the last at most
 #: (they end once one finds less than a tenth of all links so far).
 SHINGLE, PART, OF, SKETCH_BITS, ROUNDS = 5, 80, 100, 24, 8
-#: Least bits of the parities that bound how far two sets differ.
-PARITY_BITS = 1024
+#: Least bits of the parities that bound how far two sets differ, 64-bit numbers of the short ones that lists carry in the
+#: last round, sets of a list in one block, pairs that are looked at at once.
+PARITY_BITS, SHORT, LIST_BLOCK, AT_ONCE = 1024, 8, 1024, 1 << 18
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -140,8 +142,13 @@ def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> Levels:
     return Levels(bits, np.packbits(total > usual), high.astype(np.int32), np.ceil(np.log2(total[high] / usual)).astype(np.uint8))
 
 
+def _fixed(data: bytes, rows: int) -> pa.Array:
+    """Binary values of equal length, one after the other."""
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer((np.arange(rows + 1) * (8 * SHORT)).astype(np.int32)), pa.py_buffer(data)])
+
+
 def prefix_table(source: DataFrame, levels: Levels) -> DataFrame:
-    """Per row of (id, t, text): id, t, n (set size), s1 and s2 (the set's key), parity, prefix (its rarest shingles, rarest
+    """Per row of (id, t, text): id, t, n (set size), s1 and s2 (the set's key), parity, short (folded to SHORT numbers), prefix (its rarest shingles, rarest
     first), uid (a number of its own)."""
     shared = source.sparkSession.sparkContext.broadcast(levels)
 
@@ -156,11 +163,14 @@ def prefix_table(source: DataFrame, levels: Levels) -> DataFrame:
             s1, s2 = set_keys(h, at)
             off = np.concatenate([[0], np.cumsum(prefix_sizes(n))]).astype(np.int32)
             bits_of, first = parities(h, at)
+            short = np.zeros(len(n) * SHORT, np.uint64)
+            words_of = np.diff(first)
+            np.bitwise_xor.at(short, np.repeat(np.arange(len(n)), words_of) * SHORT + (np.arange(len(bits_of)) - np.repeat(first[:-1], words_of)) % SHORT, bits_of)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits_of.view(np.int64))), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "t", "n", "s1", "s2", "parity", "prefix"]
+                [batch.column("id"), batch.column("t"), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(bits_of.view(np.int64))), _fixed(short.tobytes(), len(n)), pa.ListArray.from_arrays(pa.array(off), pa.array(h[order][kept].view(np.int64)))], ["id", "t", "n", "s1", "s2", "parity", "short", "prefix"]
             )
 
-    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, t string, n long, s1 long, s2 long, parity array<long>, prefix array<long>")
+    made = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, t string, n long, s1 long, s2 long, parity array<long>, short binary, prefix array<long>")
     return written(made.withColumn("uid", F.monotonically_increasing_id()), "prefixes", (shared,))
 
 
@@ -249,6 +259,72 @@ def _met(pairs: DataFrame, part: int, of: int) -> DataFrame:
     return near.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
 
 
+def _allowed(cols: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, part: int, of: int) -> np.ndarray:
+    """Which pairs of entries of one group have different answers and aren't ruled out; cheap tests come first."""
+    ok = np.flatnonzero((cols["c"][p] != cols["c"][q]) & ((cols["x"][p] == cols["y"][p]) | (cols["block"][p] != cols["block"][q])))
+    p, q = p[ok], q[ok]
+    n_p, n_q = cols["n"][p], cols["n"][q]
+    i, j = cols["i"][p], cols["i"][q]
+    most = 1 + np.minimum(n_p - i - 1, n_q - j - 1) + np.minimum(i, j)
+    own = (of * np.minimum(n_p, n_q) >= part * np.maximum(n_p, n_q)) & (of * most >= part * (n_p + n_q - most))
+    ok, p, q = ok[own], p[own], q[own]
+    apart = np.bitwise_count(cols["short"][p] ^ cols["short"][q]).sum(1, dtype=np.int64)
+    both = cols["n"][p] + cols["n"][q]
+    return ok[of * (both - apart) >= part * (both + apart)]
+
+
+def met_in_blocks(batches: Iterator[pa.RecordBatch], part: int = PART, of: int = OF) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b), a > b, of entries (h, x, y, block, node, n, i, c, short) with equal h, x and y, by which they are sorted.
+
+    A group is a pair of blocks, x and y, of the list h; LIST_BLOCK bounds it, so that a group and a batch are held at once.
+    """
+    names = ("h", "x", "y", "block", "node", "n", "i", "c")
+    held: dict[str, np.ndarray] = {}
+
+    def read(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        cols = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+        data, _ = utf8(batch.column("short"))
+        return cols | {"short": data.view(np.uint64).reshape(-1, SHORT).copy() if len(data) else np.zeros((0, SHORT), np.uint64)}
+
+    def scan(cols: dict[str, np.ndarray], upto: int) -> pa.RecordBatch:
+        key = np.stack([cols[c][:upto] for c in ("h", "x", "y")])
+        first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))) if upto else np.zeros(0, np.int64)
+        ends = np.repeat(np.append(first[1:], upto), np.diff(np.append(first, upto))) if upto else first
+        many = ends - np.arange(upto) - 1
+        total, out, at = np.concatenate([[0], np.cumsum(many)]), [np.zeros((2, 0), np.int64)], 0
+        while at < upto:
+            end = max(at + 1, int(np.searchsorted(total, total[at] + AT_ONCE, "right")) - 1)
+            p = np.repeat(np.arange(at, end), many[at:end])
+            q = np.arange(len(p)) - np.repeat(total[at:end] - total[at], many[at:end]) + p + 1
+            ok = _allowed(cols, p, q, part, of)
+            a, b = cols["node"][p[ok]], cols["node"][q[ok]]
+            out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+            at = end
+        pairs = np.unique(np.concatenate(out, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+    for batch in batches:
+        now = read(batch)
+        cols = {c: np.concatenate([held[c], now[c]]) for c in now} if held else now
+        size = len(cols["h"])
+        same = (cols["h"] == cols["h"][-1]) & (cols["x"] == cols["x"][-1]) & (cols["y"] == cols["y"][-1]) if size else np.zeros(0, bool)
+        upto = int(np.flatnonzero(~same)[-1]) + 1 if size and not same.all() else 0
+        yield scan(cols, upto)
+        held = {c: v[upto:] for c, v in cols.items()}
+    if held:
+        yield scan(held, len(held["h"]))
+
+
+def _complete(open_: DataFrame, short: DataFrame, part: int, of: int) -> DataFrame:
+    """All pairs (a, b) of entries (h, node, n, i, c) of one list with different answers that aren't ruled out."""
+    every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sized = open_.withColumn("k", F.ceil(F.count("*").over(every) / LIST_BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    dealt = sized.join(short, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "n", "i", "c", "short")
+    dealt = dealt.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "x", "y").sortWithinPartitions("h", "x", "y")
+    return dealt.mapInArrow(lambda batches: met_in_blocks(batches, part, of), "a long, b long").distinct()
+
+
 def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFrame, DataFrame]:
     """For (id, t, text): the prefix table, and (node, s1, s2, least, c) of every different set that isn't empty: its key,
     its least id, and its component."""
@@ -262,20 +338,18 @@ def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFram
     del own
     lists = written(lists, "lists")
     width = float(np.log(of / part))
-    open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, False
+    open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, ROUNDS < 1
     while True:
         if known is not None:  # only lists with different answers are left
             open_ = lists.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             open_ = open_.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ")
-        here = F.struct("node", "n", "i", "c")
-        sized = open_.withColumn("s", F.floor(F.log("n") / width))
         if not last:
+            here, sized = F.struct("node", "n", "i", "c"), open_.withColumn("s", F.floor(F.log("n") / width))
             order = Window.partitionBy("h").orderBy("n", "node") if turn == 0 else Window.partitionBy("h").orderBy("s", F.xxhash64("node", F.lit(turn)))
             near = sized.withColumns({"last": F.lag(here).over(order), "head": F.first(here).over(order)})
             pairs = _met(near.select("node", "n", "i", "c", F.explode(F.array("last", "head")).alias("o")), part, of)
         else:
-            other = open_.select("h", here.alias("o"), F.explode(F.array(F.floor(F.log("n") / width), F.floor(F.log("n") / width) + 1)).alias("s"))
-            pairs = _met(sized.join(other, ["h", "s"]).where("o.n < n or (o.n = n and o.node < node)"), part, of)
+            pairs = _complete(open_, table.select(F.col("uid").alias("node"), "short"), part, of)
         pairs = written(plausible(pairs, marks, part, of), "pairs")
         if not last:  # of all that a set met, what it is least apart from
             both = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart")).toDF("x", "y", "apart")

@@ -327,6 +327,34 @@ def test_jaccard(spark, tmp_path):
     assert [(r.doc_id, r.component_id) for r in twice.orderBy("doc_id").collect()] == [(0, 0), (0, 0), (1, 0), (1, 0)]
 
 
+def test_jaccard_complete_round_alone(spark, monkeypatch):
+    """All links are found by the last round alone, with lists of many blocks."""
+    monkeypatch.setattr(jaccard, "ROUNDS", 0)
+    monkeypatch.setattr(jaccard, "LIST_BLOCK", 3)
+    rng = random.Random(12)
+    docs = []
+    for g in range(3):
+        base = [f"w{rng.randrange(400)}" for _ in range(60 + 40 * g)]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(0, 6)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(10_000)}"
+            docs.append((len(docs), " ".join(own)))
+    docs += [(len(docs), None), (len(docs) + 1, ""), (len(docs) + 2, "one two"), (len(docs) + 3, "ONE two")]
+    got = jaccard.linked(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(jaccard.brute_force(docs))
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Ids that repeat, or are null, take no other text with them; of equal rows one stays."""
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (5, b), (5, a), (None, " ".join(f"c{i}" for i in range(40))), (None, a + " more"), (7, b), (7, b), (9, ""), (9, ""), (8, None)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(kept.collect(), key=str) == sorted([(1, a), (5, b), rows[3], (9, ""), (9, ""), (8, None)], key=str)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard.keep_one(empty).count() == 0 and jaccard.linked(empty).count() == 0
+
+
 def test_jaccard_chains(spark):
     """Families whose members are linked only through others, and sets at the very threshold."""
     rng = random.Random(9)
