@@ -11,12 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Symbols of the reversed k-mer that name a bucket, and bytes of a stretch that is cut from a long sequence at once.
-BUCKET, STRETCH = 4, 256
+BUCKET, STRETCH = 4, 64
 
 
 def sequences(df: DataFrame, colour: str, text: str, alphabet: str = "ACGT") -> DataFrame:
     """(color, seq): upper-case texts, only symbols of the alphabet; rows without a colour go, null texts are empty."""
-    kept = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), f"[^{alphabet}]", "")
+    kept = F.regexp_replace(F.upper(F.coalesce(F.col(text), F.lit(""))), f"[^{alphabet}]+", "")
     return df.where(F.col(colour).isNotNull()).select(F.col(colour).cast("string").alias("color"), kept.alias("seq"))
 
 
@@ -29,15 +29,17 @@ def contexts(seqs: DataFrame, k: int, wide: bool = False) -> DataFrame:
         return _within(own.select("color", F.array_join(F.slice("x", F.col("at") + 1, F.lit(STRETCH + k)), "").alias("s"), (F.col("at") + STRETCH + k > F.col("n")).alias("last")), k)
     long = seqs.where(F.octet_length("seq") >= k).select("color", F.col("seq").cast("binary").alias("b"), F.octet_length("seq").alias("n"))
     cut = long.select("color", "b", "n", F.explode(F.sequence(F.lit(0), F.col("n") - k, F.lit(STRETCH))).alias("at"))
-    part = cut.select("color", F.expr(f"cast(substring(b, at + 1, {STRETCH + k}) as string)").alias("s"), (F.col("at") + STRETCH + k > F.col("n")).alias("last"))
+    part = cut.select("color", F.expr(f"substring(b, at + 1, {STRETCH + k})").alias("s"), (F.col("at") + STRETCH + k > F.col("n")).alias("last"))
     return _within(part, k)
 
 
 def _within(part: DataFrame, k: int) -> DataFrame:
     """The contexts of stretches (color, s, last: whether the sequence ends with it)."""
+    # a binary stretch is cut by byte, which needs no walk to the place
     starts = F.sequence(F.lit(1), F.least(F.length("s") - k + F.when(F.col("last"), 1).otherwise(0), F.lit(STRETCH)))
     place = part.where(F.length("s") >= k).select("color", "s", F.explode(starts).alias("p"))
-    return place.select("color", F.substr("s", F.col("p"), F.lit(k)).alias("kmer"), F.coalesce(F.nullif(F.substr("s", F.col("p") + k, F.lit(1)), F.lit("")), F.lit("$")).alias("W"))
+    follows = F.substr("s", F.col("p") + k, F.lit(1)).cast("string")
+    return place.select("color", F.substr("s", F.col("p"), F.lit(k)).cast("string").alias("kmer"), F.when(follows == "", "$").otherwise(follows).alias("W"))
 
 
 def edges(seqs: DataFrame, k: int, wide: bool = False) -> DataFrame:
