@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqweft.functions import numbers, strings, vectors
+from seqweft.functions import arrays, numbers, strings, vectors
 from seqweft.operators import bitvector, bwsd, graphs, trees
 from seqweft.operators import edges as ed
-from seqweft.sources import writers
+from seqweft.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,6 +198,50 @@ def edge_set_sizes(spark, d):
     return bwsd.set_sizes(_edges(spark, d))
 
 
+@query("edges_intersect", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' INTERSECT SELECT kmer, W FROM e WHERE color = 'en'")
+def edges_intersect(spark, d):
+    return bwsd.edge_sets(_edges(spark, d), "de", "en")[0]
+
+
+@query("edges_except", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' EXCEPT SELECT kmer, W FROM e WHERE color = 'en'")
+def edges_except(spark, d):
+    return bwsd.edge_sets(_edges(spark, d), "de", "en")[1]
+
+
+@query("edges_union", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' UNION SELECT kmer, W FROM e WHERE color = 'en'")
+def edges_union(spark, d):
+    return bwsd.edge_sets(_edges(spark, d), "de", "en")[2]
+
+
+@query("bwsd_pair", f"{_E}, {_RUNS}, {_HIST} SELECT * FROM ({_DISTANCES}) WHERE i = 'de' AND j = 'en'")
+def bwsd_pair(spark, d):
+    return bwsd.pair_similarity(_edges(spark, d), "de", "en")
+
+
+_SQL_RECORDS = "SELECT doc_id::VARCHAR AS id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM documents WHERE lang IS NOT NULL"
+
+
+def _records(spark, d):
+    t = table(spark, d, "documents").where("lang is not null")
+    return t.select(F.col("doc_id").alias("id"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]+", "").alias("seq"))
+
+
+@query("fastq_records", f"{_SQL_RECORDS} AND regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') <> ''")
+def fastq_records(spark, d):
+    """Documents as sequences, written as FASTQ and read again."""
+    path = graphs.shared_path(spark, "records.fastq")
+    writers.write_fastq(_records(spark, d).where("seq <> ''"), path)
+    return readers.read_fastq(spark, path, glob="*.txt").select("id", "seq")
+
+
+@query("fasta_records", _SQL_RECORDS)
+def fasta_records(spark, d):
+    """Documents as sequences, written as FASTA and read again."""
+    path = graphs.shared_path(spark, "records.fasta")
+    writers.write_fasta(_records(spark, d), path)
+    return readers.read_fasta(spark, path, glob="*.txt").select("id", "seq")
+
+
 @query("lcp_group_end", f"{_E} SELECT color, kmer, W, max(rn) OVER (PARTITION BY kmer, W) AS group_end FROM (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY W, color) - 1 AS rn FROM e)")
 def lcp_group_end(spark, d):
     w = Window.partitionBy("kmer").orderBy("W", "color")
@@ -241,6 +285,11 @@ def bit_gaps(spark, d):
     return bitvector.gaps(_bits(spark, d), "bit")
 
 
+@query("bit_access", f"WITH {_SQL_BITS}, wanted AS (SELECT range * 50 AS pos FROM range(0, (SELECT count(*) // 50 + 2 FROM lineitem))) SELECT wanted.pos, bit FROM wanted LEFT JOIN b ON b.pos = wanted.pos")
+def bit_access(spark, d):
+    return bitvector.access(_bits(spark, d), "bit", _wanted(spark, d).withColumnRenamed("x", "pos"))
+
+
 @query("bit_ones", "SELECT l_linestatus, sum((l_returnflag = 'R')::INT)::BIGINT AS ones, count(*) AS n FROM lineitem GROUP BY l_linestatus")
 def bit_ones(spark, d):
     return table(spark, d, "lineitem").groupBy("l_linestatus").agg(F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("ones"), F.count("*").alias("n"))
@@ -306,6 +355,12 @@ def remove_vertices(spark, d):
     return graphs.without(_supply_graph(spark, d), table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("u")))
 
 
+@query("remove_edges", f"WITH {_SQL_SUPPLY}, gone AS (SELECT l_suppkey AS u, l_partkey + 1000000 AS v FROM lineitem WHERE l_returnflag = 'R') SELECT u, v, w FROM g WHERE NOT EXISTS (SELECT 1 FROM gone WHERE (gone.u = g.u AND gone.v = g.v) OR (gone.u = g.v AND gone.v = g.u))")
+def remove_edges(spark, d):
+    gone = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("u"), (F.col("l_partkey") + 1_000_000).alias("v"))
+    return graphs.without_edges(_supply_graph(spark, d), gone)
+
+
 # Vertex 0 is the root, 1 + r a region, 100 + n a nation, 1000 + c a customer.
 _SQL_PLACES = """one AS (SELECT 0 AS u, 1 + r_regionkey AS v, 1.0 AS w FROM region UNION ALL SELECT 1 + n_regionkey, 100 + n_nationkey, 2.0 FROM nation),
 t AS (SELECT u::BIGINT AS u, v::BIGINT AS v, w::DOUBLE AS w FROM one UNION ALL SELECT v, u, w FROM one)"""
@@ -394,7 +449,10 @@ def triangles(spark, d):
     return graphs.triangles(_follow(spark, d))
 
 
-@query("max_cliques")
+@query("max_cliques", f"""WITH RECURSIVE {_SQL_FOLLOW}, adj AS (SELECT u, list(DISTINCT v) AS ns FROM g GROUP BY u),
+cl AS (SELECT [u] AS l, ns AS common FROM adj
+  UNION ALL SELECT list_append(l, v), list_intersect(common, ns) FROM (SELECT l, common, unnest(list_filter(common, lambda x: x > l[-1])) AS v FROM cl) JOIN adj ON adj.u = v)
+SELECT len(l)::INT AS size, array_to_string(l, ',') AS clique FROM cl WHERE len(common) = 0""")
 def max_cliques(spark, d):
     return graphs.maximal_cliques(_follow(spark, d))
 
@@ -489,6 +547,14 @@ def integer_functions(spark, d):
     )
 
 
+@query("time_differences", "SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros FROM events")
+def time_differences(spark, d):
+    """Microseconds since the user's event before."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", (at - F.lag(at).over(w)).alias("micros"))
+
+
 @query("mean_stddev", "SELECT round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS deviation FROM lineitem")
 def mean_stddev(spark, d):
     return numbers.mean_and_deviation(table(spark, d, "lineitem"), "l_quantity")
@@ -505,11 +571,13 @@ def topk_frequencies(spark, d):
 
 
 @query("array_functions", """WITH a AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS x FROM orders GROUP BY o_custkey)
-SELECT o_custkey, len(x) AS n, list_append(x, 0)[-1] AS pushed, list_prepend(0, x)[1] AS injected, x[-1] AS popped, x[1] AS ejected, len(x[2:]) AS n_left, list_reverse(x)[1] AS reversed_first, x = list_reverse(x) AS palindrome, coalesce(x[3], -1) AS third FROM a""")
+SELECT o_custkey, len(x) AS n, list_append(x, 0)[-1] AS pushed, list_prepend(0, x)[1] AS injected, x[-1] AS popped, x[1] AS ejected, len(x[2:]) AS n_left, list_reverse(x)[1] AS reversed_first, x = list_reverse(x) AS palindrome, coalesce(x[3], -1) AS third,
+ array_to_string(list_concat(list_append(x[:2], 0), x[3:]), ',') AS inserted, array_to_string(list_transform(x, lambda e, i: CASE WHEN i = 2 THEN 0 ELSE e END), ',') AS replaced FROM a""")
 def array_functions(spark, d):
     a = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("x"))
     x, zero = F.col("x"), F.lit(0).cast("long")
     return a.select(
         "o_custkey", F.size(x).cast("long").alias("n"), F.element_at(F.array_append(x, zero), -1).alias("pushed"), F.element_at(F.array_prepend(x, zero), 1).alias("injected"), F.element_at(x, -1).alias("popped"),
         F.element_at(x, 1).alias("ejected"), (F.size(x) - 1).cast("long").alias("n_left"), F.element_at(F.reverse(x), 1).alias("reversed_first"), (x == F.reverse(x)).alias("palindrome"), F.coalesce(F.get(x, F.lit(2)), F.lit(-1).cast("long")).alias("third"),
+        arrays.as_text(arrays.insert_at(x, 2, zero)).alias("inserted"), arrays.as_text(arrays.set_at(x, 1, zero)).alias("replaced"),
     )

@@ -35,7 +35,16 @@ def _short(names: list[str]) -> list[str]:
 
 def compare_directory(spark: SparkSession, path: str, k: int = 32, coverage: bool = False) -> Comparison:
     """Distance matrices and trees of the FASTA and FASTQ files of a directory; one row for each pair is collected."""
-    seqs = read_collections(spark, path).selectExpr("genome as color", "seq")
+    return _compared(read_collections(spark, path), k, coverage)
+
+
+def compare_files(spark: SparkSession, one: str, other: str, k: int = 32, coverage: bool = False) -> Comparison:
+    """As compare_directory, of two files."""
+    return _compared(read_collections(spark, [one, other]), k, coverage)
+
+
+def _compared(found: DataFrame, k: int, coverage: bool) -> Comparison:
+    seqs = found.selectExpr("genome as color", "seq")
     table, out = edges(seqs, k).persist(), []
     try:
         rows = bwsd.similarity(table, coverage).collect()

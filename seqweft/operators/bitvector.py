@@ -33,6 +33,11 @@ def select0(r: DataFrame, bit: str, wanted: DataFrame) -> DataFrame:
     return wanted.join(own, "x", "left").select("x", F.when(F.col("x") == 0, F.lit(0).cast("long")).otherwise(F.coalesce("pos", F.lit(-1).cast("long"))).alias("pos"))
 
 
+def access(r: DataFrame, bit: str, wanted: DataFrame) -> DataFrame:
+    """(pos, bit) for each wanted pos; null beyond the end."""
+    return wanted.join(r.select("pos", F.col(bit).alias("bit")), "pos", "left").select("pos", "bit")
+
+
 def gaps(r: DataFrame, bit: str) -> DataFrame:
     """(gap, n): how many bits lie between a set bit and the next one."""
     own = r.where(F.col(bit) == 1).select(F.col("rank1").alias("x"), F.col("pos").alias("p"))

@@ -95,6 +95,19 @@ def similarity(e: DataFrame, coverage: bool = False, pair: DataFrame | None = No
     return distances(coverage_histogram(e, pair) if coverage else histogram(e, pair), pair)
 
 
+def pair_similarity(e: DataFrame, i: str, j: str, coverage: bool = False) -> DataFrame:
+    """(i, j, s, expectation, entropy) of two named colours alone; edges of others are left out first."""
+    i, j = sorted((i, j))
+    pair = e.sparkSession.createDataFrame([(i, j)], "i string, j string")
+    return similarity(e.where(F.col("color").isin(i, j)), coverage, pair)
+
+
+def edge_sets(e: DataFrame, i: str, j: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (kmer, W) that both colours have, that only the first has, and that either has."""
+    a, b = (e.where(F.col("color") == c).select("kmer", "W") for c in (i, j))
+    return a.intersect(b), a.exceptAll(b), a.union(b).distinct()
+
+
 def owners(e: DataFrame, pair: DataFrame | None = None) -> DataFrame:
     """(i, j, len, has_i, has_j): whose runs have a length."""
     return runs(e, pair).groupBy("i", "j", "len").agg(F.bool_or(F.col("color") == F.col("i")).alias("has_i"), F.bool_or(F.col("color") == F.col("j")).alias("has_j"))

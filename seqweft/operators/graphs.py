@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The weight of an edge that doesn't exist.
@@ -47,6 +48,12 @@ def without(e: DataFrame, vertices: DataFrame) -> DataFrame:
     return e.join(vertices, "u", "left_anti").join(vertices.withColumnRenamed("u", "v"), "v", "left_anti").select(e.columns)
 
 
+def without_edges(e: DataFrame, gone: DataFrame) -> DataFrame:
+    """The graph without the edges (u, v) of gone, in both directions."""
+    out = gone.select("u", "v").union(gone.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    return e.join(out, ["u", "v"], "left_anti").select(e.columns)
+
+
 def exchanged(e: DataFrame, a: int, b: int) -> DataFrame:
     """The graph with two vertices' numbers exchanged."""
     swap = lambda c: F.when(F.col(c) == a, b).when(F.col(c) == b, a).otherwise(F.col(c)).cast(e.schema[c].dataType).alias(c)
@@ -54,12 +61,25 @@ def exchanged(e: DataFrame, a: int, b: int) -> DataFrame:
 
 
 def _checkpoints(df: DataFrame) -> None:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not where and sc.master.partition("[")[0] != "local":
+    spark = df.sparkSession
+    where = _shared(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(where)
+
+
+def _shared(spark: SparkSession) -> str:
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="spark-"))
+        where = tempfile.mkdtemp(prefix="spark-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that all executors share."""
+    return f"{_shared(spark).rstrip('/')}/seqweft-{uuid.uuid4().hex}-{name}"
 
 
 def hops(e: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:

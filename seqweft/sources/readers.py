@@ -11,33 +11,48 @@ def _genome() -> Column:
     return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
+def _numbered(part: DataFrame) -> DataFrame:
+    """Adds `line`, the number of each row within its file, from 0, to (genome, block, nr, ..).
+
+    Rows are numbered within the block of a file that one task reads; only one row for each block is ordered by file.
+    """
+    inner = Window.partitionBy("genome", "block").orderBy("nr")
+    sizes = part.groupBy("genome", "block").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("genome").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    skips = sizes.select("genome", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    return part.join(skips, ["genome", "block"]).withColumn("line", F.col("skip") + F.row_number().over(inner) - 1).drop("skip")
+
+
+def _pieces(spark: SparkSession, path: str | list[str], glob: str, **options) -> DataFrame:
+    """(genome, block, nr, value): pieces of files in the order of the file within each block."""
+    return spark.read.text(path, pathGlobFilter=glob, **options).select(_genome().alias("genome"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nr"), "value")
+
+
+def read_fastq(spark: SparkSession, path: str | list[str], glob: str = "*.fastq") -> DataFrame:
     """(genome, rec, id, desc, seq) of files with four lines a record; qualities may have any length.
 
-    Each file is one row while its lines are numbered: read large sets as many files.
+    Files are split over tasks; the lines of a record meet by their number.
     """
-    whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.fastq").select(_genome().alias("genome"), "value")
-    lines = whole.select("genome", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("p", "line")).where("p % 4 < 2")
-    head = lines.where("p % 4 = 0 and line like '@%'").select("genome", F.floor(F.col("p") / 4).alias("rec"), F.substr("line", F.lit(2)).alias("h"))
-    seq = lines.where("p % 4 = 1").select("genome", F.floor(F.col("p") / 4).alias("rec"), F.upper("line").alias("seq"))
-    return head.join(seq, ["genome", "rec"]).select("genome", "rec", F.substring_index("h", " ", 1).alias("id"), F.regexp_extract("h", " (.*)$", 1).alias("desc"), "seq")
+    lines = _numbered(_pieces(spark, path, glob)).select("genome", F.floor(F.col("line") / 4).alias("rec"), (F.col("line") % 4).alias("k"), F.regexp_replace("value", "\r", "").alias("value"))
+    own = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
+    recs = lines.where("k < 2").groupBy("genome", "rec").agg(own(0).alias("h"), own(1).alias("s")).where("h like '@%' and s is not null")
+    head = F.substr("h", F.lit(2))
+    return recs.select("genome", "rec", F.substring_index(head, " ", 1).alias("id"), F.regexp_extract(head, " (.*)$", 1).alias("desc"), F.upper("s").alias("seq"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str | list[str], glob: str = "*.fasta") -> DataFrame:
     """(genome, rec, id, desc, seq): records begin with `>` at the start of a line and may have many lines.
 
     Records are cut by Spark's reader, so files are split over tasks; rec counts them within a file.
     """
-    part = spark.read.text(path, lineSep="\n>", pathGlobFilter="*.fasta").select(_genome().alias("genome"), F.monotonically_increasing_id().alias("nr"), F.regexp_replace("value", "^>|\r", "").alias("value"))
-    part = part.where(F.length(F.trim("value")) > 0)
+    part = _numbered(_pieces(spark, path, glob, lineSep="\n>").withColumn("value", F.regexp_replace("value", "^>|\r", "")).where(F.length(F.trim("value")) > 0))
     head = F.substring_index("value", "\n", 1)
-    rec = F.row_number().over(Window.partitionBy("genome").orderBy("nr")) - 1
     seq = F.upper(F.regexp_replace(F.substr("value", F.length(head) + 1), r"\s", ""))
-    return part.select("genome", rec.cast("long").alias("rec"), F.substring_index(head, " ", 1).alias("id"), F.regexp_extract(head, " (.*)$", 1).alias("desc"), seq.alias("seq"))
+    return part.select("genome", F.col("line").alias("rec"), F.substring_index(head, " ", 1).alias("id"), F.regexp_extract(head, " (.*)$", 1).alias("desc"), seq.alias("seq"))
 
 
-def read_collections(spark: SparkSession, path: str) -> DataFrame:
-    """All FASTA and FASTQ files of a directory."""
+def read_collections(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """All FASTA and FASTQ files of a directory, or of a list of files."""
     return read_fasta(spark, path).unionByName(read_fastq(spark, path))
 
 

@@ -26,3 +26,13 @@ def dot(lines: list[str], directed: bool = False) -> str:
 def json_lines(e: DataFrame) -> DataFrame:
     """(line): each edge as JSON."""
     return e.select(F.to_json(F.struct(F.col("u").alias("source"), F.col("v").alias("target"), F.col("w").alias("value"))).alias("line"))
+
+
+def write_fastq(seqs: DataFrame, path: str) -> None:
+    """(id, seq) as FASTQ files with the quality that stands for none."""
+    seqs.select(F.concat(F.lit("@"), F.col("id").cast("string"), F.lit("\n"), F.col("seq"), F.lit("\n+\n"), F.repeat(F.lit("#"), F.length("seq"))).alias("value")).write.text(path)
+
+
+def write_fasta(seqs: DataFrame, path: str) -> None:
+    """(id, seq) as FASTA files with one line a sequence."""
+    seqs.select(F.concat(F.lit(">"), F.col("id").cast("string"), F.lit("\n"), F.col("seq")).alias("value")).write.text(path)
