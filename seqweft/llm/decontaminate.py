@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, utf8, words, written
+from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, small_batches, utf8, words
 
 WINDOW = 13
 #: Bytes of item texts in one block of patterns; larger benchmarks take one pass for each block.
@@ -112,9 +112,9 @@ def _search(p: Patterns, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, which
 
 
-def _scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[tuple[int, int]]], list[set[str]]]]:
-    for batch in slices(batches):
-        data, off = utf8(batch.column("text"))
+def _scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[tuple[int, int]]], list[set[str]]]]:
+    for batch in slices(batches, column):
+        data, off = utf8(batch.column(column))
         first, stop, ids, at = split_words(data, off)
         low = LOWER[data].tobytes()
         hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
@@ -145,24 +145,25 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of docs: id, n_words, n_hit, items (sorted list), spans (hit stretches of words, as first and past-last).
+#: Names of the columns that a search adds; nothing in a table is called so.
+_HITS, _ITEMS, _WORDS, _TEXT = "_seqweft_hits", "_seqweft_items", "_seqweft_words", "_seqweft_text"
 
-    A null or empty text has no words and is hit by nothing; rows with equal ids are judged one by one. Items with a null
-    id or text, or without words, have no windows. Other columns are left out, whatever their names.
-    """
+
+def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text_col: str, block_bytes: int) -> DataFrame:
+    """docs with the words of each text, its hit stretches and items: one pass for each block of the benchmark, no shuffle."""
     spark = docs.sparkSession
-    source = id_and_text(docs, id_col, text_col)
-    kind = source.schema["id"].dataType.simpleString()
-    state = source.withColumns({"n_words": F.lit(0).cast("long"), "hits": F.array().cast("array<int>"), "items": F.array().cast("array<string>")})
+    small_batches(spark)
+    none = {_TEXT: F.coalesce(F.col(text_col).cast("string"), F.lit("")), _WORDS: F.lit(0).cast("long"), _HITS: F.array().cast("array<int>"), _ITEMS: F.array().cast("array<string>")}
+    state = docs.withColumns(none)
+    schema = state.schema
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]:
         shared = spark.sparkContext.broadcast(block)
 
         def one_pass(batches, shared=shared):
             patterns = compile_patterns(shared.value)
-            for batch, n, hits, items in _scan(batches, patterns):
+            for batch, n, hits, items in _scan(batches, patterns, _TEXT):
                 flat, own = [], []
-                for old, new, before, now in zip(batch.column("hits").to_pylist(), hits, batch.column("items").to_pylist(), items, strict=True):
+                for old, new, before, now in zip(batch.column(_HITS).to_pylist(), hits, batch.column(_ITEMS).to_pylist(), items, strict=True):
                     runs: list[int] = []
                     for a, b in sorted([*zip(old[::2], old[1::2], strict=True), *new]):
                         if runs and a <= runs[-1]:
@@ -171,11 +172,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                             runs += [a, b]
                     flat.append(runs)
                     own.append(sorted(now.union(before)))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(n, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(own, pa.list_(pa.string()))], ["id", "text", "n_words", "hits", "items"])
+                cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+                cols |= {_WORDS: pa.array(n, pa.int64()), _HITS: pa.array(flat, pa.list_(pa.int32())), _ITEMS: pa.array(own, pa.list_(pa.string()))}
+                yield pa.RecordBatch.from_arrays([*cols.values()], [*cols])
+
+        state = state.mapInArrow(one_pass, schema)
+    return state.drop(_TEXT)
+
 
-        state = state.mapInArrow(one_pass, f"id {kind}, text string, n_words long, hits array<int>, items array<string>")
-    n_hit = F.aggregate(F.transform("hits", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    return state.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.col("items"), F.col("hits").alias("spans"))
+def _n_hit():
+    return F.aggregate(F.transform(_HITS, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per row of docs: id, n_words, n_hit, items (sorted list), spans (hit stretches of words, as first and past-last).
+
+    A null or empty text has no words and is hit by nothing; rows with equal ids are judged one by one. Items with a null
+    id or text, or without words, have no windows. Other columns are left out, whatever their names.
+    """
+    found = searched(id_and_text(docs, id_col, text_col), benchmark, "text", item_col, item_text_col, block_bytes)
+    return found.select(F.col("id").alias(id_col), F.col(_WORDS).alias("n_words"), _n_hit().alias("n_hit"), F.col(_ITEMS).alias("items"), F.col(_HITS).alias("spans"))
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
@@ -184,12 +200,10 @@ def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs that aren't contaminated, with their columns. The text alone decides, so a row is removed by its
-    text's hash, whatever rows share its id, null ones too."""
-    key = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    found = decontaminate(docs.select(key.alias("_key"), docs[text_col]), benchmark, "_key", text_col)
-    bad = written(found.where(contaminated()).select("_key").distinct(), "contaminated")
-    return docs.join(bad, key == bad["_key"], "left_anti")
+    """Rows of docs that aren't contaminated, with their columns. Each row is judged by its own text, whatever rows share
+    its id, null ones too; texts stay where they are."""
+    found = searched(docs, benchmark, text_col, "item_id", "text", BLOCK_BYTES).withColumn(_ITEMS, _n_hit())
+    return found.where(~contaminated(_ITEMS, _WORDS)).select(docs.columns)
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:

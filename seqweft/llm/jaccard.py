@@ -402,13 +402,28 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     same = F.col("id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t"))
     marked = rows.join(stays, "c").withColumn("first", same)
     marked = written(marked.groupBy("id", "t").agg(F.max("first").alias("first"), F.count("*").alias("rows")).where("not first or rows > 1"), "duplicates")
-    named_docs = docs.withColumn("_t", _text_key(F.col(text_col)))
-    alike = lambda x: named_docs[id_col].eqNullSafe(x["id"]) & (named_docs["_t"] == x["t"])
-    kept = named_docs.join(marked, alike(marked), "left_anti")
+    # a map of what goes keeps nearly all other texts out of the join
+    key = lambda x, t: F.xxhash64(x.cast("string"), t)
+    bits = map_bits(marked.count())
+    marks = docs.sparkSession.sparkContext.broadcast(bit_map(marked.select(key(F.col("id"), F.col("t")).alias("k")), lambda batch: _bit(batch.column("k").to_numpy(), bits), bits))
+    named_docs = docs.withColumn("_t", _text_key(F.col(text_col))).withColumn("_k", key(F.col(id_col), F.col("_t")))
+
+    def sifted(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(is_set(marks.value, _bit(batch.column("_k").to_numpy(), bits)) == wanted))
+                if own.num_rows:
+                    yield own
+
+        return named_docs.mapInArrow(run, named_docs.schema)
+
+    some = sifted(True)
+    alike = lambda x: some[id_col].eqNullSafe(x["id"]) & (some["_t"] == x["t"])
+    kept = sifted(False).union(some.join(marked, alike(marked), "left_anti"))
     again = marked.where("first")
     if not again.isEmpty():
-        kept = kept.union(named_docs.join(again, alike(again), "left_semi").dropDuplicates([id_col, "_t"]))
-    return kept.drop("_t")
+        kept = kept.union(some.join(again, alike(again), "left_semi").dropDuplicates([id_col, "_t"]))
+    return kept.drop("_t", "_k")
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
