@@ -5,8 +5,9 @@
    indexed under its prefix alone, the fewest first shingles of which similar sets must share one.
 3. Index lists are skipped by position: within a list, sets lie in blocks by size, only blocks of sizes that can reach
    the similarity meet, and a pair goes on only if what lies behind its positions can still make up the overlap.
-4. A set takes over the answers of a set that it is found highly similar to. In each of a few rounds a set meets its
-   neighbours in its lists, in another order each time, and is compared with the one that its parity is least apart from.
+4. A set takes over the answers of a set that it is found highly similar to. In the first round a set meets its neighbours
+   in its lists, in the next ones all sets of its lists with other answers, and it is compared with the one that its parity
+   is least apart from: one comparison a set, however many it meets.
    Linked sets share one answer (their component) and don't meet again, so that large groups of near copies become one
    component while only a few pairs a set were compared. The last round is complete: lists are dealt out by pairs of
    blocks, all sets of a list that still have different answers meet there, and only pairs that sizes, positions and short
@@ -259,8 +260,9 @@ def _met(pairs: DataFrame, part: int, of: int) -> DataFrame:
     return near.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
 
 
-def _allowed(cols: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, part: int, of: int) -> np.ndarray:
-    """Which pairs of entries of one group have different answers and aren't ruled out; cheap tests come first."""
+def _allowed(cols: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, part: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of entries of one group have different answers and aren't ruled out, and how far their short parities
+    are apart; cheap tests come first."""
     ok = np.flatnonzero((cols["c"][p] != cols["c"][q]) & ((cols["x"][p] == cols["y"][p]) | (cols["block"][p] != cols["block"][q])))
     p, q = p[ok], q[ok]
     n_p, n_q = cols["n"][p], cols["n"][q]
@@ -270,11 +272,19 @@ def _allowed(cols: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, part: in
     ok, p, q = ok[own], p[own], q[own]
     apart = np.bitwise_count(cols["short"][p] ^ cols["short"][q]).sum(1, dtype=np.int64)
     both = cols["n"][p] + cols["n"][q]
-    return ok[of * (both - apart) >= part * (both + apart)]
+    own = of * (both - apart) >= part * (both + apart)
+    return ok[own], apart[own]
 
 
-def met_in_blocks(batches: Iterator[pa.RecordBatch], part: int = PART, of: int = OF) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b), a > b, of entries (h, x, y, block, node, n, i, c, short) with equal h, x and y, by which they are sorted.
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of rows (a, b, apart) those with the least apart, then the least b, for each a."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[2], pairs[0]))]
+    return pairs[:, np.flatnonzero(np.append(True, pairs[0, 1:] != pairs[0, :-1])[: pairs.shape[1]])]
+
+
+def met_in_blocks(batches: Iterator[pa.RecordBatch], part: int = PART, of: int = OF, best: bool = False) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b, apart), a > b, of entries (h, x, y, block, node, n, i, c, short) with equal h, x and y, by which they are
+    sorted; with `best`, only the nearest b of each node a, in either direction.
 
     A group is a pair of blocks, x and y, of the list h; LIST_BLOCK bounds it, so that a group and a batch are held at once.
     """
@@ -291,17 +301,19 @@ def met_in_blocks(batches: Iterator[pa.RecordBatch], part: int = PART, of: int =
         first = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0))) if upto else np.zeros(0, np.int64)
         ends = np.repeat(np.append(first[1:], upto), np.diff(np.append(first, upto))) if upto else first
         many = ends - np.arange(upto) - 1
-        total, out, at = np.concatenate([[0], np.cumsum(many)]), [np.zeros((2, 0), np.int64)], 0
+        total, out, at = np.concatenate([[0], np.cumsum(many)]), [np.zeros((3, 0), np.int64)], 0
         while at < upto:
             end = max(at + 1, int(np.searchsorted(total, total[at] + AT_ONCE, "right")) - 1)
             p = np.repeat(np.arange(at, end), many[at:end])
             q = np.arange(len(p)) - np.repeat(total[at:end] - total[at], many[at:end]) + p + 1
-            ok = _allowed(cols, p, q, part, of)
+            ok, apart = _allowed(cols, p, q, part, of)
             a, b = cols["node"][p[ok]], cols["node"][q[ok]]
-            out.append(np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)]), axis=1))
+            high = np.stack([np.maximum(a, b), np.minimum(a, b), apart])
+            out.append(_nearest(np.concatenate([high, high[[1, 0, 2]]], 1)) if best else np.unique(high, axis=1))
             at = end
-        pairs = np.unique(np.concatenate(out, 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        pairs = np.concatenate(out, 1)
+        pairs = _nearest(pairs) if best else np.unique(pairs, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["a", "b", "apart"])
 
     for batch in batches:
         now = read(batch)
@@ -315,14 +327,19 @@ def met_in_blocks(batches: Iterator[pa.RecordBatch], part: int = PART, of: int =
         yield scan(held, len(held["h"]))
 
 
-def _complete(open_: DataFrame, short: DataFrame, part: int, of: int) -> DataFrame:
-    """All pairs (a, b) of entries (h, node, n, i, c) of one list with different answers that aren't ruled out."""
+def _scanned(open_: DataFrame, short: DataFrame, part: int, of: int, best: bool) -> DataFrame:
+    """Pairs (a, b, apart) of entries (h, node, n, i, c) of one list with different answers that aren't ruled out: all of
+    them, or the nearest b of each node a."""
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sized = open_.withColumn("k", F.ceil(F.count("*").over(every) / LIST_BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
     dealt = sized.join(short, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "n", "i", "c", "short")
     dealt = dealt.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return dealt.mapInArrow(lambda batches: met_in_blocks(batches, part, of), "a long, b long").distinct()
+    found = dealt.mapInArrow(lambda batches: met_in_blocks(batches, part, of, best), "a long, b long, apart long")
+    if not best:
+        return found.distinct()
+    found = found.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFrame, DataFrame]:
@@ -337,23 +354,21 @@ def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFram
     lists = lists.withColumn("many", F.count("*").over(every)).where("many > 1").select("h", "node", "n", "i")
     del own
     lists = written(lists, "lists")
-    width = float(np.log(of / part))
     open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, ROUNDS < 1
     while True:
         if known is not None:  # only lists with different answers are left
             open_ = lists.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             open_ = open_.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ")
-        if not last:
-            here, sized = F.struct("node", "n", "i", "c"), open_.withColumn("s", F.floor(F.log("n") / width))
-            order = Window.partitionBy("h").orderBy("n", "node") if turn == 0 else Window.partitionBy("h").orderBy("s", F.xxhash64("node", F.lit(turn)))
-            near = sized.withColumns({"last": F.lag(here).over(order), "head": F.first(here).over(order)})
-            pairs = _met(near.select("node", "n", "i", "c", F.explode(F.array("last", "head")).alias("o")), part, of)
+        if turn or last:
+            pairs = _scanned(open_, table.select(F.col("uid").alias("node"), "short"), part, of, not last)
+            pairs = written(plausible(pairs, marks, part, of), "pairs")
         else:
-            pairs = _complete(open_, table.select(F.col("uid").alias("node"), "short"), part, of)
-        pairs = written(plausible(pairs, marks, part, of), "pairs")
-        if not last:  # of all that a set met, what it is least apart from
+            here, order = F.struct("node", "n", "i", "c"), Window.partitionBy("h").orderBy("n", "node")
+            near = open_.withColumns({"last": F.lag(here).over(order), "head": F.first(here).over(order)})
+            pairs = _met(near.select("node", "n", "i", "c", F.explode(F.array("last", "head")).alias("o")), part, of)
+            pairs = written(plausible(pairs, marks, part, of), "pairs")
             both = pairs.select("a", "b", "apart").union(pairs.select("b", "a", "apart")).toDF("x", "y", "apart")
-            best = both.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+            best = both.groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))  # of all that a set met
             pairs = written(best.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "best")
         found = pairs.select("a", "b") if pairs.isEmpty() else written(verified(pairs, slim, source, part, of), "edges")
         edges = found if edges is None else edges.union(found)
