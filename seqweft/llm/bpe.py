@@ -168,7 +168,11 @@ def _spec(spark: SparkSession, path: str):
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ids (binary, little-endian unsigned 32-bit), n_tokens. Null and empty texts have no ids."""
+    """Per row: id, ids (binary, little-endian unsigned 32-bit), n_tokens. Null and empty texts have no ids.
+
+    Of pairs with equal ranks the leftmost is joined first. Rows are encoded one by one: repeated rows and null ids stay.
+    Other columns are left out, whatever their names.
+    """
     source = id_and_text(docs, id_col, text_col)
     spec = _spec(docs.sparkSession, tokenizer_path)
 
@@ -183,7 +187,8 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> DataFrame:
-    """All columns, and decoded (string). Null ids give null."""
+    """All columns, and decoded (string), which takes the place of a column with that name. Null ids give null."""
+    encoded = encoded.drop("decoded")
     spec = _spec(encoded.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
