@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -33,6 +34,15 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: several workers, which Spark uses again, share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut the batches so that each piece has about `most` bytes of text, whole rows only."""
     for batch in batches:
@@ -45,7 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(at, end - at)
             at = end
         del batch
-        pa.default_memory_pool().release_unused()  # several workers share an executor's memory
+        give_back()
 
 
 def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,12 +133,13 @@ PARTS, FAN_IN = 64, 16
 
 def combined(rows: DataFrame, partial, join, kind: type, parts: int = PARTS) -> np.ndarray:
     """An array of fixed size that each task makes part of: partial(batches) gives one array of `kind` for a partition,
-    join(list of arrays) combines them. They travel in so many parts and are combined FAN_IN at a time, however many."""
+    join(list of arrays) combines them. (A task may count in a smaller kind.) They travel in so many parts and are combined FAN_IN at a time, however many."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pieces = [zlib.compress(x.tobytes(), 1) for x in partial(batches).astype(kind, copy=False).reshape(parts, -1)]
+        pieces = [zlib.compress(x.astype(kind, copy=False).tobytes(), 1) for x in partial(batches).reshape(parts, -1)]
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()] * parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array(pieces, pa.binary())], ["task", "part", "data"])
 
     def add(table: pa.Table) -> pa.Table:

@@ -29,7 +29,7 @@ from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, is_set, lo
 
 #: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two, rounds before the last at most
 #: (they end once one finds less than a tenth of all links so far).
-SHINGLE, PART, OF, SKETCH_BITS, ROUNDS = 5, 80, 100, 24, 8
+SHINGLE, PART, OF, SKETCH_BITS, ROUNDS = 5, 80, 100, 23, 8
 #: Least bits of the parities that bound how far two sets differ, 64-bit numbers of the short ones that lists carry in the
 #: last round, sets of a list in one block, pairs that are looked at at once.
 PARITY_BITS, SHORT, LIST_BLOCK, AT_ONCE = 1024, 8, 1024, 1 << 18
@@ -130,10 +130,11 @@ def sketch(source: DataFrame, bits: int = SKETCH_BITS) -> Levels:
     width = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-        total = np.zeros(width, np.uint32)
+        total = np.zeros(width, np.uint16)  # of a task; what occurs more often stays at the end of the range
         for batch in slices(batches):
             h, _ = shingle_sets(batch.column("text"))
-            np.add.at(total, (h >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
+            own, n = np.unique((h >> np.uint64(64 - bits)).astype(np.int32), return_counts=True)
+            total[own] = np.minimum(total[own] + n, 0xFFFF)
         return total
 
     total = combined(source.select("text"), count, lambda xs: np.minimum(np.sum(xs, 0, dtype=np.uint64), 0xFFFFFFFF), np.uint32)
