@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqweft.functions import arrays, numbers, strings, vectors
-from seqweft.operators import bitvector, bwsd, graphs, trees
+from seqweft.operators import bitvector, bwsd, contexts, graphs, trees
 from seqweft.operators import edges as ed
 from seqweft.sources import readers, writers
 
@@ -121,9 +121,36 @@ def boss_edges_with_dummies(spark, d):
     return ed.contexts_with_short(_seqs(spark, d, "conversations", "role"), 3)
 
 
+_SQL_CONTEXTS = f"""WITH {_sql_seqs('conversations', 'role')},
+x AS (SELECT color, seq, unnest(range(0, length(seq) + 1)) AS p FROM seqs),
+ctx AS (SELECT color, substr(seq, greatest(p - {K}, 0) + 1, p - greatest(p - {K}, 0)) AS context, CASE WHEN p >= length(seq) THEN '$' ELSE substr(seq, p + 1, 1) END AS W, count(*) AS coverage FROM x GROUP BY ALL)"""
+
+
+@query("boss_table", f"""{_SQL_CONTEXTS},
+b AS (SELECT *, reverse(context) AS r FROM ctx),
+o AS (SELECT *, row_number() OVER (ORDER BY r, W, color) - 1 AS pos, lag(r) OVER (ORDER BY r, W, color) AS pr, lag(W) OVER (ORDER BY r, W, color) AS pw, lead(r) OVER (ORDER BY r, W, color) AS nr,
+ row_number() OVER (PARTITION BY left(r, {K - 1}), W ORDER BY r, color) AS nth FROM b)
+SELECT pos, context, W, color, coverage, (nr IS DISTINCT FROM r)::INT AS last, (nth = 1)::INT AS wm,
+ CASE WHEN pr IS DISTINCT FROM r THEN coalesce({" + ".join(f"(length(r) >= {i} AND left(r, {i}) = left(pr, {i}))::INT" for i in range(1, K + 1))}, 0) WHEN length(r) < {K} THEN length(r) WHEN pw = W THEN {K + 1} ELSE {K} END::INT AS lcp,
+ (length(context) + 1)::INT AS sl FROM o""")
+def boss_table(spark, d):
+    return ed.ordered(ed.contexts_with_short(_seqs(spark, d, "conversations", "role"), K), K)
+
+
+@query("context_order", """WITH seqs AS (SELECT role AS color, conv_id, turn, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM conversations WHERE role IS NOT NULL),
+x AS (SELECT color, conv_id, turn, seq, unnest(range(0, length(seq) + 1)) AS p FROM seqs),
+y AS (SELECT color, conv_id, turn, p, reverse(left(seq, p)) AS r, CASE WHEN p >= length(seq) THEN '$' ELSE substr(seq, p + 1, 1) END AS W FROM x),
+z AS (SELECT *, row_number() OVER o - 1 AS rank, lag(r) OVER o AS pr FROM y WINDOW o AS (ORDER BY r, color, conv_id, turn))
+SELECT rank, W, coalesce(list_sum(list_transform(range(1, least(length(r), length(pr)) + 1), lambda i: (left(r, i) = left(pr, i))::BIGINT)), 0)::BIGINT AS lcp, p + 1 AS sl, color FROM z""")
+def context_order(spark, d):
+    t = table(spark, d, "conversations")
+    kept = F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]+", "")
+    return contexts.context_order(t.where("role is not null").select(F.col("role").alias("color"), "conv_id", "turn", kept.alias("seq")), ["conv_id", "turn"])
+
+
 @query("bwsd_runs", f"{_E}, {_RUNS} SELECT i, j, color, len, count(*) AS n FROM runs GROUP BY ALL")
 def bwsd_runs(spark, d):
-    return bwsd.runs(_edges(spark, d)).groupBy("i", "j", "color", "len").agg(F.count("*").alias("n"))
+    return bwsd.runs(_edges(spark, d))
 
 
 @query("bwsd_histogram", f"{_E}, {_RUNS} SELECT i, j, len, count(*) AS n FROM runs GROUP BY ALL")
@@ -198,24 +225,36 @@ def edge_set_sizes(spark, d):
     return bwsd.set_sizes(_edges(spark, d))
 
 
-@query("edges_intersect", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' INTERSECT SELECT kmer, W FROM e WHERE color = 'en'")
+# The first two colours of the table.
+_FIRST, _SECOND = ("(SELECT color FROM (SELECT DISTINCT color FROM e) ORDER BY color LIMIT 1%s)" % x for x in ("", " OFFSET 1"))
+
+
+def _first_two(e: DataFrame) -> list[str]:
+    return [r[0] for r in e.select("color").distinct().orderBy("color").limit(2).collect()]
+
+
+@query("edges_intersect", f"{_E} SELECT kmer, W FROM e WHERE color = {_FIRST} INTERSECT SELECT kmer, W FROM e WHERE color = {_SECOND}")
 def edges_intersect(spark, d):
-    return bwsd.edge_sets(_edges(spark, d), "de", "en")[0]
+    e = _edges(spark, d)
+    return bwsd.edge_sets(e, *_first_two(e))[0]
 
 
-@query("edges_except", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' EXCEPT SELECT kmer, W FROM e WHERE color = 'en'")
+@query("edges_except", f"{_E} SELECT kmer, W FROM e WHERE color = {_FIRST} EXCEPT SELECT kmer, W FROM e WHERE color = {_SECOND}")
 def edges_except(spark, d):
-    return bwsd.edge_sets(_edges(spark, d), "de", "en")[1]
+    e = _edges(spark, d)
+    return bwsd.edge_sets(e, *_first_two(e))[1]
 
 
-@query("edges_union", f"{_E} SELECT kmer, W FROM e WHERE color = 'de' UNION SELECT kmer, W FROM e WHERE color = 'en'")
+@query("edges_union", f"{_E} SELECT kmer, W FROM e WHERE color = {_FIRST} UNION SELECT kmer, W FROM e WHERE color = {_SECOND}")
 def edges_union(spark, d):
-    return bwsd.edge_sets(_edges(spark, d), "de", "en")[2]
+    e = _edges(spark, d)
+    return bwsd.edge_sets(e, *_first_two(e))[2]
 
 
-@query("bwsd_pair", f"{_E}, {_RUNS}, {_HIST} SELECT * FROM ({_DISTANCES}) WHERE i = 'de' AND j = 'en'")
+@query("bwsd_pair", f"{_E}, {_RUNS}, {_HIST} SELECT * FROM ({_DISTANCES}) WHERE i = {_FIRST} AND j = {_SECOND}")
 def bwsd_pair(spark, d):
-    return bwsd.pair_similarity(_edges(spark, d), "de", "en")
+    e = _edges(spark, d)
+    return bwsd.pair_similarity(e, *_first_two(e))
 
 
 _SQL_RECORDS = "SELECT doc_id::VARCHAR AS id, regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') AS seq FROM documents WHERE lang IS NOT NULL"

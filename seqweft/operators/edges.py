@@ -2,16 +2,22 @@
 
 A colour is a collection; a context is what precedes a symbol; `$` follows the last symbol of a sequence. Rows are ordered
 by the reversed k-mer, then symbol, then colour. No step sorts all rows in one task: what needs the order runs within
-buckets, the first symbols of the reversed k-mer, and is joined over the few buckets afterwards.
+ranges of it, and what reaches over their borders is joined over one row for each range.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Symbols of the reversed k-mer that name a bucket, and bytes of a stretch that is cut from a long sequence at once.
-BUCKET, STRETCH = 4, 64
+from seqweft.operators.order import in_ranges, numbered, starts
+
+#: Bytes of a stretch that is cut from a long sequence at once.
+STRETCH = 64
 
 
 def sequences(df: DataFrame, colour: str, text: str, alphabet: str = "ACGT") -> DataFrame:
@@ -72,22 +78,77 @@ def common_prefix(a: Column, b: Column, most: int) -> Column:
     total = same[0]
     for x in same[1:]:
         total = total + x
-    return F.coalesce(total, F.lit(0))
+    return F.coalesce(F.least(total, F.length(a), F.length(b)), F.lit(0))
+
+
+#: Rows whose flags a task works out at once, whole ranges of the first k - 1 symbols.
+_BLOCK = 1 << 16
+
+
+def _marked(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Adds last, wm and lcp to sorted rows (r, W, ..). The lcp of a task's first row, whose neighbour another task has, is
+    null. A symbol is one 32-bit code, so contexts compare as rows of numbers."""
+    held: list[pa.RecordBatch] = []
+    before: np.ndarray | None = None
+
+    def made(table: pa.Table) -> pa.RecordBatch:
+        nonlocal before
+        n = table.num_rows
+        codes = np.array(table["r"].to_pylist(), f"<U{k}").view(np.uint32).reshape(n, k)
+        near = np.concatenate([np.zeros((1, k), np.uint32) if before is None else before[None], codes[:-1]])
+        common = np.cumprod((codes == near) & (codes != 0), axis=1).sum(1)
+        size = (codes != 0).sum(1)
+        new = (codes != near).any(1)
+        stem = np.cumsum((codes[:, : k - 1] != near[:, : k - 1]).any(1)) if k > 1 else np.zeros(n, np.int64)
+        _, symbol = np.unique(np.array(table["W"].to_pylist()), return_inverse=True)
+        again = np.append(False, symbol[1:] == symbol[:-1])
+        lcp = np.where(new, common, np.where(size < k, size, k + again))
+        new[0] = True
+        first = np.zeros(n, np.int32)
+        first[np.unique(stem * (int(symbol.max()) + 1) + symbol, return_index=True)[1]] = 1
+        out = dict(zip(table.schema.names, table.combine_chunks().to_batches()[0].columns, strict=True))
+        unknown = np.zeros(n, bool)
+        unknown[0] = before is None
+        before = codes[-1]
+        out |= {"last": pa.array(np.append(new[1:], True).astype(np.int32)), "wm": pa.array(first), "lcp": pa.array(lcp.astype(np.int32), mask=unknown)}
+        return pa.RecordBatch.from_arrays([*out.values()], [*out])
+
+    def stems(batch: pa.RecordBatch) -> list[str]:
+        return [x[: k - 1] for x in batch.column("r").to_pylist()]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _BLOCK:
+            own = stems(batch)
+            cut = next((i for i in range(len(own) - 1, 0, -1) if own[i] != own[i - 1]), 0)
+            if cut:  # the last stem's rows may go on in the next batch
+                yield made(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+    if held:
+        yield made(pa.Table.from_batches(held))
+
+
+def ordered(rows: DataFrame, k: int) -> DataFrame:
+    """The whole edge table of distinct edges (color, context, W, coverage), contexts of fewer than k symbols among them:
+    adds pos, last, wm, lcp and sl.
+
+    Rows are ordered by the reversed context (a shorter one before those that begin with it), then symbol, then colour.
+    last: the final edge of its context. wm: the first edge with its symbol among contexts that share their last k - 1
+    symbols. lcp: what a context has in common with the one before; for further edges of a context k, or k + 1 after an edge
+    with the same symbol, or its own length where that is below k. sl: the context's length and one.
+    """
+    r = F.reverse("context")
+    dealt = in_ranges(rows.select("color", "context", "W", "coverage", r.alias("r"), F.substring(r, 1, k - 1).alias("stem")), ["stem"], ["r", "W", "color"]).drop("stem")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", last int, wm int, lcp int"
+    table = numbered(dealt.mapInArrow(lambda batches: _marked(batches, k), schema), "edges")
+    ends = starts(table, None, F.max_by("r", "at").alias("top"))
+    ends = ends.withColumn("near", F.lag("top").over(Window.orderBy("part"))).drop("top")  # one row for each task
+    lcp = F.coalesce("lcp", common_prefix(F.col("r"), F.col("near"), k)).cast("int")
+    return table.join(F.broadcast(ends), "part").select((F.col("before") + F.col("at")).alias("pos"), "context", "W", "color", "coverage", "last", "wm", lcp.alias("lcp"), (F.length("context") + 1).alias("sl"))
 
 
 def flags(e: DataFrame, k: int) -> DataFrame:
-    """Adds last (the final edge of its node), wm (the first edge with its symbol among nodes that share the last k - 1
-    symbols) and lcp (k + 1 after an edge with the same symbol in the node, k after another, else what the node has in
-    common with the one before)."""
-    node = Window.partitionBy("kmer").orderBy("W", "color")
-    e = e.withColumns({
-        "last": F.when(F.row_number().over(Window.partitionBy("kmer").orderBy(F.desc("W"), F.desc("color"))) == 1, 1).otherwise(0),
-        "wm": F.when(F.row_number().over(Window.partitionBy(F.substring("kmer", 2, k - 1), "W").orderBy(F.reverse("kmer"), "color")) == 1, 1).otherwise(0),
-        "before": F.lag("W").over(node),
-    })
-    nodes = e.select("kmer").distinct().select("kmer", F.reverse("kmer").alias("r")).withColumn("bucket", F.substring("r", 1, BUCKET))
-    inner = nodes.withColumn("near", F.lag("r").over(Window.partitionBy("bucket").orderBy("r")))
-    tops = nodes.groupBy("bucket").agg(F.max("r").alias("top")).withColumn("far", F.lag("top").over(Window.orderBy("bucket"))).drop("top")
-    raw = inner.join(F.broadcast(tops), "bucket").select("kmer", common_prefix(F.col("r"), F.coalesce("near", "far"), k).alias("raw"))
-    lcp = F.when(F.col("before").isNull(), F.col("raw")).when(F.col("before") == F.col("W"), k + 1).otherwise(k)
-    return e.join(raw, "kmer").select("color", "kmer", "W", "coverage", "last", "wm", lcp.cast("int").alias("lcp"))
+    """Full edges (color, kmer, W, coverage) with last, wm and lcp; see ordered()."""
+    return ordered(e.withColumnRenamed("kmer", "context"), k).select("color", F.col("context").alias("kmer"), "W", "coverage", "last", "wm", "lcp")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqweft.operators.shared import ready_checkpoints, shared_path  # noqa: F401
+
 #: The weight of an edge that doesn't exist.
 NO_EDGE = 2.2250738585072014e-308
 
@@ -60,34 +60,12 @@ def exchanged(e: DataFrame, a: int, b: int) -> DataFrame:
     return e.select(swap("u"), swap("v"), *[c for c in e.columns if c not in "uv"])
 
 
-def _checkpoints(df: DataFrame) -> None:
-    spark = df.sparkSession
-    where = _shared(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(where)
-
-
-def _shared(spark: SparkSession) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if spark.sparkContext.master.partition("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share."""
-    return f"{_shared(spark).rstrip('/')}/seqweft-{uuid.uuid4().hex}-{name}"
-
-
 def hops(e: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
     """(source, u, dist[, weight sum]) of all vertices that each source (u) reaches: breadth first, all sources at once.
 
     With `weight`, the sum along the path by which a vertex was first reached (in a tree, the only one).
     """
-    _checkpoints(e)
+    ready_checkpoints(e)
     cost = F.col(weight) if weight else F.lit(0.0)
     links = e.select("u", F.col("v").alias("to"), cost.alias("c")).groupBy("u", "to").agg(F.min("c").alias("c"))
     seen = sources.select(F.col("u").alias("source"), "u", F.lit(0).alias("dist"), F.lit(0.0).alias("far")).checkpoint()
@@ -128,7 +106,7 @@ def shortest(e: DataFrame) -> DataFrame:
 
     For graphs whose all-pairs table is affordable; negative weights are allowed, negative cycles are not.
     """
-    _checkpoints(e)
+    ready_checkpoints(e)
     v = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
     now = e.select("u", "v", F.col("w").alias("d")).union(v.select("u", F.col("u").alias("v"), F.lit(0.0))).groupBy("u", "v").agg(F.min("d").alias("d")).checkpoint()
     state = None
@@ -193,7 +171,7 @@ def maximal_cliques(e: DataFrame) -> DataFrame:
 def nearest_leaf(e: DataFrame) -> DataFrame:
     """(u, leaf, dist): the nearest vertex of degree 1, itself included, the least of several; vertices that reach none
     are left out. All leaves are searched from at once, and each vertex takes over the least leaf of what reaches it first."""
-    _checkpoints(e)
+    ready_checkpoints(e)
     links = e.select("u", F.col("v").alias("to")).distinct()
     seen = degrees(e).where("degree = 1").select("u", F.col("u").alias("leaf"), F.lit(0).alias("dist")).checkpoint()
     front, d = seen, 0
