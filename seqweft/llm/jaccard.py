@@ -3,7 +3,7 @@
 1. Equal sets collapse into one class first, so copies never meet as pairs.
 2. Shingles are ordered by how often they occur (levels of a counting sketch over all documents), then by hash; a set is
    indexed under its prefix alone, the fewest first shingles of which similar sets must share one.
-3. Index lists are skipped by position: within a list, sets lie in blocks by size, only blocks of sizes that can reach
+3. Lists of the same sets are one list. Index lists are skipped by position: within a list, sets lie in blocks by size, only blocks of sizes that can reach
    the similarity meet, and a pair goes on only if what lies behind its positions can still make up the overlap.
 4. A set takes over the answers of a set that it is found highly similar to. In the first round a set meets its neighbours
    in its lists, in the next ones all sets of its lists with other answers, and it is compared with the one that its parity
@@ -352,9 +352,14 @@ def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFram
     own = table.select(F.col("uid").alias("node"), "n", "prefix").join(slim.select("node"), "node", "left_semi")
     lists = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lists = lists.withColumn("many", F.count("*").over(every)).where("many > 1").select("h", "node", "n", "i")
+    who = [F.bit_xor(F.xxhash64("node", F.lit(seed))).over(every).alias(f"who{seed}") for seed in (1, 2)]
+    lists = lists.select("h", "node", "n", "i", F.count("*").over(every).alias("many"), *who).where("many > 1")
     del own
-    lists = written(lists, "lists")
+    lists = written(lists, "members")
+    # lists of the same sets (shingles of one passage) allow the same pairs: any of a pair's common shingles has a position
+    # that doesn't rule it out, so one list stands for all of them
+    one = lists.groupBy("many", "who1", "who2").agg(F.min("h").alias("h")).select("h")
+    lists = written(lists.select("h", "node", "n", "i").join(one, "h", "left_semi"), "lists")
     open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, ROUNDS < 1
     while True:
         if known is not None:  # only lists with different answers are left
