@@ -22,10 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, slices, small_batches, utf8, words, written
+from seqweft.llm._arrow import LOWER, give_back, id_and_text, slices, small_batches, utf8, words, written
 
 #: Results for an item; documents and postings of a segment at most (one slice of texts may exceed them); postings of a block.
-TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 20, 128
+TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 19, 128
 #: Bytes of items that are searched for in one pass, and parts into which heaps are dealt before the last merge.
 ITEM_BYTES, HEAP_PARTS = 4 << 20, 64
 
@@ -80,17 +80,22 @@ _SEGMENT = "ids binary, lengths binary, terms binary, counts binary, widths bina
 
 
 def segment(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, corpus: Corpus) -> list[bytes]:
-    """The row of documents (ids, lengths) with postings (doc, term, tf)."""
-    order = np.lexsort((doc, term))
-    doc, term, tf = doc[order], term[order], tf[order]
-    terms, first, counts = np.unique(term, return_index=True, return_counts=True)
-    give = part(tf, lengths[doc], corpus)
+    """The row of documents (ids, lengths) with postings (doc, term, tf) by ascending document."""
+    order = np.argsort(term, kind="stable")
+    term = term[order]
+    first = np.flatnonzero(np.append(True, term[1:] != term[:-1])[: len(term)])
+    terms, counts = term[first], np.diff(np.append(first, len(term)))
+    del term
+    doc, tf = doc[order].astype(np.int32), tf[order].astype(np.int32)
+    del order
+    give = part(tf.astype(np.int64), lengths[doc], corpus).astype(np.int32)
     blocks = -(-counts // BLOCK)
     starts = np.cumsum(blocks) - blocks
-    within = np.arange(len(doc)) - np.repeat(first, counts)
+    within = (np.arange(len(doc)) - np.repeat(first, counts)).astype(np.int32)
     opens = np.flatnonzero(within % BLOCK == 0)
     maxima, firsts = (np.maximum.reduceat(give, opens), doc[opens]) if len(opens) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    gap = np.append(0, np.diff(doc)) if len(doc) else doc
+    del give
+    gap = np.append(np.int32(0), np.diff(doc)) if len(doc) else doc
     gap[opens] = 0
     bits = lambda x: np.ceil(np.log2(np.maximum(x, 1) + 1)).astype(np.int64)
     gap_width = bits(np.maximum.reduceat(gap, first)) if len(first) else counts
@@ -106,10 +111,10 @@ def segment(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndar
         at = np.repeat(first[own], counts[own]) + np.arange(len(rows)) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
         block_of = np.repeat(np.cumsum(blocks[own]) - blocks[own], counts[own]) + within[at] // BLOCK
         for values, width, skip in ((gap, w // 64, 0), (tf, w % 64, 1)):
-            grid = np.zeros((int(blocks[own].sum()), BLOCK), np.int64)
+            grid = np.zeros((int(blocks[own].sum()), BLOCK), np.int32)
             grid[block_of, within[at] % BLOCK] = values[at]
-            for a in range(0, len(grid), 4096):
-                packed = np.packbits(((grid[a : a + 4096, :, None] >> np.arange(width)) & 1).astype(np.uint8).reshape(-1, BLOCK * width), axis=1)
+            for a in range(0, len(grid), 1024):
+                packed = np.packbits(((grid[a : a + 1024, :, None] >> np.arange(width, dtype=np.int32)) & 1).astype(np.uint8).reshape(-1, BLOCK * width), axis=1)
                 k = np.arange(a, a + len(packed))
                 owner = np.searchsorted(np.cumsum(blocks[own]), k, "right")
                 inner = k - (np.cumsum(blocks[own]) - blocks[own])[owner]
@@ -217,7 +222,10 @@ def index(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
 
         def made() -> pa.RecordBatch:
             ids, lengths, doc, term, tf = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             row = segment(ids, lengths, doc, term, tf, corpus)
+            del ids, lengths, doc, term, tf
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names)
 
         for batch in slices(batches):
@@ -233,9 +241,9 @@ def index(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))
             if docs_held and (docs_held + len(some) > SEGMENT_DOCS or postings_held + len(first) > SEGMENT_POSTINGS):
                 yield made()
-                held, docs_held, postings_held = [], 0, 0
+                docs_held = postings_held = 0
             ids = batch.column("id").fill_null(_NO_ID).to_numpy()[some]
-            held.append((ids, n[some], doc[first] + docs_held, term[first], np.diff(np.append(first, len(doc)))))
+            held.append((ids, n[some], (doc[first] + docs_held).astype(np.int32), term[first], np.diff(np.append(first, len(doc))).astype(np.int32)))
             docs_held, postings_held = docs_held + len(some), postings_held + len(first)
         if held:
             yield made()
@@ -301,6 +309,8 @@ def _heaps(table: DataFrame, items: Items, corpus: Corpus, top: int) -> DataFram
                     ok = (list_of[which] >= 0) & (w > 0)
                     if ok.any():
                         heaps[q] = own.search(list_of[which][ok], w[ok], heaps[q], top)
+                del own, row
+                give_back()
         n = [len(s) for s, _ in heaps]
         ids = np.concatenate([i for _, i in heaps]) if heaps else np.zeros(0, np.int64)
         scores = np.concatenate([s for s, _ in heaps]) if heaps else ids
