@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from seqweft.llm._arrow import LOWER, give_back, id_and_text, slices, small_batches, utf8, words, written
 
 #: Results for an item; documents and postings of a segment at most (one slice of texts may exceed them); postings of a block.
-TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 19, 128
+TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 18, 128
 #: Bytes of items that are searched for in one pass, and parts into which heaps are dealt before the last merge.
 ITEM_BYTES, HEAP_PARTS = 4 << 20, 64
 
