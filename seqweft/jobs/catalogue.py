@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seqweft.functions import arrays, numbers, strings, vectors
 from seqweft.operators import bitvector, bwsd, contexts, graphs, trees
 from seqweft.operators import edges as ed
+from seqweft.operators.shared import shared_path
 from seqweft.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,7 +269,7 @@ def _records(spark, d):
 @query("fastq_records", f"{_SQL_RECORDS} AND regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') <> ''")
 def fastq_records(spark, d):
     """Documents as sequences, written as FASTQ and read again."""
-    path = graphs.shared_path(spark, "records.fastq")
+    path = shared_path(spark, "records.fastq")
     writers.write_fastq(_records(spark, d).where("seq <> ''"), path)
     return readers.read_fastq(spark, path, glob="*.txt").select("id", "seq")
 
@@ -276,7 +277,7 @@ def fastq_records(spark, d):
 @query("fasta_records", _SQL_RECORDS)
 def fasta_records(spark, d):
     """Documents as sequences, written as FASTA and read again."""
-    path = graphs.shared_path(spark, "records.fasta")
+    path = shared_path(spark, "records.fasta")
     writers.write_fasta(_records(spark, d), path)
     return readers.read_fasta(spark, path, glob="*.txt").select("id", "seq")
 
@@ -299,34 +300,54 @@ def _wanted(spark, d):
     return spark.range(table(spark, d, "lineitem").count() // 50 + 2).select((F.col("id") * 50).alias("x"))
 
 
+_BIT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]
+
+
 def _bits(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("bit"), F.floor(F.col("l_orderkey") / 1024).alias("bucket"))
-    return bitvector.ranked(li, "bit", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], "bucket")
+    return table(spark, d, "lineitem").select(*_BIT_ORDER, F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("bit"))
+
+
+def _packed(spark, d):
+    return bitvector.packed(bitvector.positions(_bits(spark, d), _BIT_ORDER), "bit")
 
 
 @query("bit_rank", f"WITH {_SQL_BITS} SELECT l_orderkey, l_linenumber, bit, pos, rank1, pos + 1 - rank1 AS rank0 FROM rk")
 def bit_rank(spark, d):
-    return _bits(spark, d).select("l_orderkey", "l_linenumber", "bit", "pos", "rank1", "rank0")
+    return bitvector.ranked(_bits(spark, d), "bit", _BIT_ORDER).select("l_orderkey", "l_linenumber", "bit", "pos", "rank1", "rank0")
+
+
+@query("bit_words", f"WITH {_SQL_BITS}, w AS (SELECT pos // 512 AS block, (pos // 64) % 8 AS k, string_agg(bit::VARCHAR, '' ORDER BY pos DESC) AS bits FROM b GROUP BY ALL), sb AS (SELECT pos // 512 AS block, count(*) AS size, sum(bit)::BIGINT AS ones FROM b GROUP BY ALL) SELECT w.block, k::INT AS k, lpad(bits, 64, '0') AS bits, size, (SELECT coalesce(sum(ones), 0)::BIGINT FROM sb x WHERE x.block < w.block) AS before FROM w JOIN sb ON sb.block = w.block")
+def bit_words(spark, d):
+    """The packed form itself: each word as binary digits, with its superblock's size and the bits set before it."""
+    words = _packed(spark, d).select("block", "size", "before", F.posexplode("words").alias("k", "w")).where(F.col("k") * 64 < F.col("size"))
+    return words.select("block", "k", F.lpad(F.bin("w"), 64, "0").alias("bits"), "size", "before")
 
 
 @query("bit_select1", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, coalesce(pos, -1) AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 1) ON rank1 = x")
 def bit_select1(spark, d):
-    return bitvector.select1(_bits(spark, d), "bit", _wanted(spark, d))
+    return bitvector.select1(_packed(spark, d), _wanted(spark, d))
 
 
 @query("bit_select0", f"WITH {_SQL_BITS}, {_SQL_WANTED} SELECT x, CASE WHEN x = 0 THEN 0 ELSE coalesce(pos, -1) END AS pos FROM wanted LEFT JOIN (SELECT * FROM rk WHERE bit = 0) ON pos + 1 - rank1 = x")
 def bit_select0(spark, d):
-    return bitvector.select0(_bits(spark, d), "bit", _wanted(spark, d))
+    return bitvector.select0(_packed(spark, d), _wanted(spark, d))
 
 
 @query("bit_gaps", f"WITH {_SQL_BITS} SELECT gap, count(*) AS n FROM (SELECT lead(pos) OVER (ORDER BY pos) - pos - 1 AS gap FROM rk WHERE bit = 1) WHERE gap IS NOT NULL GROUP BY gap")
 def bit_gaps(spark, d):
-    return bitvector.gaps(_bits(spark, d), "bit")
+    return bitvector.gaps(_packed(spark, d))
 
 
 @query("bit_access", f"WITH {_SQL_BITS}, wanted AS (SELECT range * 50 AS pos FROM range(0, (SELECT count(*) // 50 + 2 FROM lineitem))) SELECT wanted.pos, bit FROM wanted LEFT JOIN b ON b.pos = wanted.pos")
 def bit_access(spark, d):
-    return bitvector.access(_bits(spark, d), "bit", _wanted(spark, d).withColumnRenamed("x", "pos"))
+    return bitvector.access(_packed(spark, d), _wanted(spark, d).withColumnRenamed("x", "pos"))
+
+
+@query("bit_set", f"WITH {_SQL_BITS}, {_SQL_WANTED}, s AS (SELECT pos, (bit = 1 OR pos % 50 = 0)::INT AS bit FROM b) SELECT x AS pos, rank1 FROM wanted LEFT JOIN (SELECT pos, (sum(bit) OVER (ORDER BY pos))::BIGINT AS rank1 FROM s) t ON t.pos = x")
+def bit_set(spark, d):
+    """Ranks after every fiftieth bit was set."""
+    places = _wanted(spark, d).withColumnRenamed("x", "pos")
+    return bitvector.rank1(bitvector.with_bits(_packed(spark, d), places), places)
 
 
 @query("bit_ones", "SELECT l_linestatus, sum((l_returnflag = 'R')::INT)::BIGINT AS ones, count(*) AS n FROM lineitem GROUP BY l_linestatus")
@@ -447,7 +468,29 @@ _SQL_ALL = f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT DISTINCT u FROM t),
 
 @query("diameter", f"{_SQL_ALL} SELECT max(dist) AS diameter FROM walk")
 def diameter(spark, d):
-    return graphs.tree_diameter(_tree(spark, d))
+    """Of the tree, and with a second component as a forest."""
+    return graphs.diameter(_tree(spark, d))
+
+
+@query("diameter_forest", f"""WITH RECURSIVE {_SQL_TREE.replace('t AS (SELECT u, v, w FROM places', 't AS (SELECT u, v, w FROM places WHERE u > 0 AND v > 0')}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK}, ecc AS (SELECT source, max(dist) AS ecc, min(u) AS component FROM walk GROUP BY source)
+SELECT component, max(ecc) AS diameter FROM ecc GROUP BY component""")
+def diameter_forest(spark, d):
+    """Each region's tree on its own."""
+    return graphs.diameters(_tree(spark, d).where("u > 0 and v > 0"))
+
+
+@query("tree_parents", f"WITH RECURSIVE {_SQL_TREE}, sources AS (SELECT 100::BIGINT + n_nationkey AS u FROM nation), {_SQL_WALK} SELECT source, u, nullif(came, -1) AS parent, dist, round(far, 6) AS far FROM walk")
+def tree_parents(spark, d):
+    n = table(spark, d, "nation").select((F.col("n_nationkey") + 100).cast("long").alias("u"))
+    return graphs.hops(_tree(spark, d), n, "w", parents=True).withColumn("far", F.round("far", 6))
+
+
+@query("tree_newick", """WITH c AS (SELECT c_nationkey, string_agg((1000 + c_custkey) || ':0.5', ',' ORDER BY c_custkey) AS t FROM customer GROUP BY c_nationkey),
+n AS (SELECT n_regionkey, string_agg(CASE WHEN t IS NULL THEN '' ELSE '(' || t || ')' END || (100 + n_nationkey) || ':2.0', ',' ORDER BY n_nationkey) AS t FROM nation LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY n_regionkey),
+r AS (SELECT string_agg(CASE WHEN t IS NULL THEN '' ELSE '(' || t || ')' END || (1 + r_regionkey) || ':1.0', ',' ORDER BY r_regionkey) AS t FROM region LEFT JOIN n ON n_regionkey = r_regionkey)
+SELECT 0::BIGINT AS source, '(' || t || ')0:0.0;' AS newick FROM r""")
+def tree_newick(spark, d):
+    return trees.folded(_tree(spark, d), spark.range(1).select(F.col("id").alias("u")))
 
 
 @query("tree_center", f"{_SQL_ALL}, ecc AS (SELECT source, max(dist) AS ecc FROM walk GROUP BY source) SELECT source AS u, ecc FROM ecc WHERE ecc = (SELECT min(ecc) FROM ecc)")
@@ -483,6 +526,20 @@ def _follow(spark, d):
     return graphs.both_ways(n.join(F.broadcast(n.agg(F.avg("w").alias("m"))), F.col("w") >= 1.6 * F.col("m")).drop("m"))
 
 
+_SQL_APART = """walk(source, u, dist) USING KEY (source, u) AS (SELECT DISTINCT u, u, 0 FROM g UNION SELECT DISTINCT w.source, g.v, w.dist + 1 FROM walk w JOIN g ON g.u = w.u LEFT JOIN recurring.walk r ON r.source = w.source AND r.u = g.v WHERE r.u IS NULL)
+SELECT max(dist) AS diameter FROM walk"""
+
+
+@query("diameter_follow", f"WITH RECURSIVE {_SQL_FOLLOW}, {_SQL_APART}")
+def diameter_follow(spark, d):
+    return graphs.diameter(_follow(spark, d))
+
+
+@query("diameter_supply", f"WITH RECURSIVE {_SQL_SUPPLY}, {_SQL_APART}")
+def diameter_supply(spark, d):
+    return graphs.diameter(_supply_graph(spark, d))
+
+
 @query("triangles", f"WITH {_SQL_FOLLOW} SELECT x.u AS a, x.v AS b, y.v AS c FROM g x JOIN g y ON x.v = y.u JOIN g z ON z.u = x.u AND z.v = y.v WHERE x.u < x.v AND y.u < y.v")
 def triangles(spark, d):
     return graphs.triangles(_follow(spark, d))
@@ -509,9 +566,35 @@ def nj_newick(spark, d):
     return trees.neighbour_joining(_both_distances(spark, d), "measure", "d")
 
 
-@query("nj_edges")
+# Four taxa: one round, in which the pair (i, j) is joined and the last place moves to i, and the closing step of three.
+_SQL_JOINED = f"""{_E}, {_RUNS}, {_HIST}, s AS ({_DISTANCES}),
+m AS (SELECT 'expectation' AS measure, i, j, expectation AS d FROM s UNION ALL SELECT 'entropy', i, j, entropy FROM s),
+lab AS (SELECT measure, label, (row_number() OVER (PARTITION BY measure ORDER BY label) - 1)::INT AS slot FROM (SELECT measure, i AS label FROM m UNION SELECT measure, j FROM m)),
+half AS (SELECT m.measure, x.slot AS a, y.slot AS b, d FROM m JOIN lab x ON x.measure = m.measure AND x.label = i JOIN lab y ON y.measure = m.measure AND y.label = j),
+d0 AS (SELECT * FROM half UNION ALL SELECT measure, b, a, d FROM half),
+r0 AS (SELECT measure, a, sum(d) AS r FROM d0 GROUP BY ALL),
+best AS (SELECT d0.measure, d0.a AS i, d0.b AS j, d, x.r, y.r AS t FROM d0 JOIN r0 x ON x.measure = d0.measure AND x.a = d0.a JOIN r0 y ON y.measure = d0.measure AND y.a = d0.b WHERE d0.a > d0.b
+ QUALIFY row_number() OVER (PARTITION BY d0.measure ORDER BY round(2 * d - x.r - y.r, 9), d0.a, d0.b) = 1),
+pair AS (SELECT measure, 4 AS u, i AS v, d / 2 + (r - t) / 4 AS w FROM best UNION ALL SELECT measure, 4, j, d - (d / 2 + (r - t) / 4) FROM best),
+d1 AS (SELECT d0.measure, CASE WHEN d0.a = 3 THEN best.i ELSE d0.a END AS a, CASE WHEN d0.b = 3 THEN best.i ELSE d0.b END AS b,
+ CASE WHEN d0.a = j THEN (d0.d + y.d - best.d) / 2 WHEN d0.b = j THEN (d0.d + x.d - best.d) / 2 ELSE d0.d END AS d
+ FROM d0 JOIN best ON best.measure = d0.measure LEFT JOIN d0 x ON x.measure = d0.measure AND x.a = best.i AND x.b = d0.a LEFT JOIN d0 y ON y.measure = d0.measure AND y.a = best.i AND y.b = d0.b WHERE d0.a <> best.i AND d0.b <> best.i),
+names AS (SELECT lab.measure, CASE WHEN slot = 3 THEN i ELSE slot END AS slot, CASE WHEN slot = j THEN 4 ELSE slot END AS vertex FROM lab JOIN best ON best.measure = lab.measure WHERE slot <> i),
+star AS (SELECT n.measure, 5 AS u, n.vertex AS v, (max(CASE WHEN d1.a = n.slot OR d1.b = n.slot THEN 0 END) + sum(CASE WHEN d1.a = n.slot OR d1.b = n.slot THEN d1.d ELSE -d1.d END)) / 2 AS w FROM names n JOIN d1 ON d1.measure = n.measure AND d1.a < d1.b GROUP BY n.measure, n.slot, n.vertex),
+tree AS (SELECT * FROM pair UNION ALL SELECT * FROM star)"""
+
+
+@query("nj_edges", f"{_SQL_JOINED} SELECT tree.measure, u, v, round(w, 6) AS w, label FROM tree LEFT JOIN lab ON lab.measure = tree.measure AND lab.slot = v")
 def nj_edges(spark, d):
-    return trees.branches_table(_both_distances(spark, d), "measure", "d")
+    return trees.joined(_both_distances(spark, d), "measure", "d").withColumn("w", F.round("w", 6))
+
+
+@query("nj_path_lengths", f"""{_SQL_JOINED.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT measure, u, v, w FROM tree UNION ALL SELECT measure, v, u, w FROM tree),
+walk AS (SELECT measure, slot AS source, slot AS u, -1 AS came, 0.0::DOUBLE AS far FROM lab UNION ALL SELECT g.measure, source, g.v, walk.u, far + w FROM walk JOIN g ON g.measure = walk.measure AND g.u = walk.u AND g.v <> came)
+SELECT measure, source AS i, u AS j, abs(round(far, 6)) AS d FROM walk WHERE u < 4""")
+def nj_path_lengths(spark, d):
+    """Sums of lengths between the taxa of each joined tree."""
+    return trees.paths_between(trees.joined(_both_distances(spark, d), "measure", "d"), "measure").withColumn("d", F.abs(F.round("d", 6)))
 
 
 @query("dot_lines", f"""WITH {_SQL_SUPPLY} SELECT '"' || u || '" -- "' || v || '" [label="' || format('{{:.3f}}', w) || '"];' AS line FROM g WHERE u < v""")

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.operators.shared import ready_checkpoints, shared_path  # noqa: F401
+from seqweft.operators.shared import ready_checkpoints, stored
 
 #: The weight of an edge that doesn't exist.
 NO_EDGE = 2.2250738585072014e-308
@@ -60,22 +60,95 @@ def exchanged(e: DataFrame, a: int, b: int) -> DataFrame:
     return e.select(swap("u"), swap("v"), *[c for c in e.columns if c not in "uv"])
 
 
-def hops(e: DataFrame, sources: DataFrame, weight: str | None = None) -> DataFrame:
-    """(source, u, dist[, weight sum]) of all vertices that each source (u) reaches: breadth first, all sources at once.
+def hops(e: DataFrame, sources: DataFrame, weight: str | None = None, parents: bool = False) -> DataFrame:
+    """(source, u, dist[, far][, parent]) of all vertices that each source (u) reaches: breadth first, all sources at once.
 
-    With `weight`, the sum along the path by which a vertex was first reached (in a tree, the only one).
+    With `weight`, far is the sum along the path by which a vertex was first reached (in a tree, the only one); of paths
+    that reach it at once the lightest counts. parent is the vertex before on that path (the least of several), null at a
+    source.
     """
     ready_checkpoints(e)
     cost = F.col(weight) if weight else F.lit(0.0)
     links = e.select("u", F.col("v").alias("to"), cost.alias("c")).groupBy("u", "to").agg(F.min("c").alias("c"))
-    seen = sources.select(F.col("u").alias("source"), "u", F.lit(0).alias("dist"), F.lit(0.0).alias("far")).checkpoint()
+    kind = e.schema["u"].dataType
+    seen = sources.select(F.col("u").alias("source"), "u", F.lit(0).alias("dist"), F.lit(0.0).alias("far"), F.lit(None).cast(kind).alias("parent")).checkpoint()
     front, d = seen, 0
     while not front.isEmpty():
         d += 1
-        step = front.join(links, "u").groupBy("source", F.col("to").alias("u")).agg(F.min(F.col("far") + F.col("c")).alias("far"))
-        front = step.join(seen, ["source", "u"], "left_anti").select("source", "u", F.lit(d).alias("dist"), "far").checkpoint()
+        way = F.min(F.struct((F.col("far") + F.col("c")).alias("far"), F.col("u").alias("parent"))).alias("way")
+        step = front.select("source", "u", "far").join(links, "u").groupBy("source", F.col("to").alias("u")).agg(way)
+        front = step.join(seen, ["source", "u"], "left_anti").select("source", "u", F.lit(d).alias("dist"), "way.far", "way.parent").checkpoint()
         seen = seen.unionByName(front)  # each front is stored once
-    return seen if weight else seen.drop("far")
+    return seen.drop(*([] if weight else ["far"]), *([] if parents else ["parent"]))
+
+
+def components(e: DataFrame) -> DataFrame:
+    """(u, component) of all vertices of an undirected graph; component is its least vertex. Links move to the least
+    neighbour, from larger and from smaller vertices in turn, until none moves."""
+    ready_checkpoints(e)
+    now = e.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct().checkpoint()
+    before = None
+    while True:
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        if state == before:
+            break
+        before = state
+        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(least.select("a", F.col("m").alias("b")))
+        now = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct().checkpoint()
+    found = now.select(F.col("a").alias("u"), F.col("b").alias("component"))
+    every = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
+    return every.join(found.groupBy("u").agg(F.min("component").alias("component")), "u", "left").select("u", F.coalesce("component", "u").alias("component"))
+
+
+def diameters(e: DataFrame) -> DataFrame:
+    """(component, diameter) of every component of an undirected graph, in hops: the fringe method.
+
+    Searches from a vertex of the largest degree, from what lies farthest from it (a), what lies farthest from that (b) and
+    the middle between give a lower bound, the distance of a and b; in a component that is a tree it is the diameter. Of
+    the four, the root is the vertex with the fewest others beyond half the bound. Two vertices within i hops of the root
+    are at most 2 * i apart, so levels are searched from the outermost inwards until the bound reaches that. There are as
+    many searches as vertices beyond half the bound, at most.
+    """
+    edges = stored(e.where("u <> v").select("u", "v").distinct(), "graph")
+    part = stored(components(edges.unionByName(e.where("u = v").select("u", "v").distinct())), "components")
+    size = edges.join(part, "u").groupBy("component").agg((F.count("*") / 2).alias("m")).join(part.groupBy("component").agg(F.count("*").alias("n")), "component", "right")
+    trees = size.where("coalesce(m, 0) <= n - 1").select("component")
+
+    def search(sources: DataFrame) -> DataFrame:
+        return stored(hops(edges, sources.select("u")).join(part, "u"), "hops")
+
+    def farthest(found: DataFrame) -> DataFrame:
+        return found.groupBy("component").agg(F.max(F.struct(F.col("dist"), (-F.col("u")).alias("m"))).alias("x")).select("component", (-F.col("x.m")).alias("u"), F.col("x.dist").alias("far"))
+
+    degree = part.join(degrees(edges).withColumnRenamed("degree", "d"), "u", "left")
+    start = degree.groupBy("component").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), (-F.col("u")).alias("m"))).alias("x")).select((-F.col("x.m")).alias("u"))
+    first = search(start)
+    one = search(farthest(first))
+    other = farthest(one)
+    bound = stored(other.select("component", F.col("far").alias("low")), "bounds")
+    two = search(other)
+    half = F.floor(F.col("low") / 2)
+    between = one.select("component", "u", F.col("dist").alias("x")).join(two.select("u", F.col("dist").alias("y")), "u").join(bound, "component")
+    middle = search(between.where((F.col("x") == half) & (F.col("x") + F.col("y") == F.col("low"))).groupBy("component").agg(F.min("u").alias("u")))
+    roots = first.unionByName(one).unionByName(two).unionByName(middle).join(trees, "component", "left_anti").distinct()
+    beyond = roots.join(bound, "component").groupBy("component", "source").agg(F.count_if(2 * F.col("dist") > F.col("low")).alias("many"))
+    best = beyond.groupBy("component").agg(F.min(F.struct("many", "source")).alias("x")).where("x.many > 0").select("component", "x.source")
+    levels = stored(roots.join(best, ["component", "source"]).select("component", "u", "dist"), "levels")
+    for level in range(levels.agg(F.max("dist")).first()[0] or 0, 0, -1):
+        open_ = levels.where(F.col("dist") == level).join(bound.where(2 * level > F.col("low")), "component").select("u")
+        if not open_.isEmpty():
+            found = search(open_).groupBy("component").agg(F.max("dist").alias("most"))
+            bound = stored(bound.join(found, "component", "left").select("component", F.greatest("low", F.coalesce("most", "low")).alias("low")), "bounds")
+    return bound.withColumnRenamed("low", "diameter")
+
+
+def diameter(e: DataFrame) -> DataFrame:
+    """(diameter): the largest finite distance of an undirected graph, in hops; null without vertices."""
+    return diameters(e).agg(F.max("diameter").alias("diameter"))
 
 
 def _ends(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,11 +161,6 @@ def _ends(tree: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out[1], out[2]
 
 
-def tree_diameter(tree: DataFrame) -> DataFrame:
-    """(diameter): hops of the longest path of a tree, by searches from two vertices. Without edges it is null."""
-    return _ends(tree)[0].agg(F.max("dist").alias("diameter"))
-
-
 def tree_centers(tree: DataFrame) -> DataFrame:
     """(u, ecc): the vertices of a tree whose largest distance is least, one or two. In a tree the vertex that is farthest
     away is an end of a longest path, so searches from its two ends give all largest distances."""
@@ -102,21 +170,22 @@ def tree_centers(tree: DataFrame) -> DataFrame:
 
 
 def shortest(e: DataFrame) -> DataFrame:
-    """(u, v, d) for all pairs that are joined by a path: min-plus products of the graph with itself until nothing changes.
+    """(u, v, d) for all pairs that are joined by a path: min-plus products of the graph with itself until none is smaller
+    than before, or paths of as many edges as there are vertices are covered.
 
     For graphs whose all-pairs table is affordable; negative weights are allowed, negative cycles are not.
     """
     ready_checkpoints(e)
     v = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
     now = e.select("u", "v", F.col("w").alias("d")).union(v.select("u", F.col("u").alias("v"), F.lit(0.0))).groupBy("u", "v").agg(F.min("d").alias("d")).checkpoint()
-    state = None
-    while True:
-        new = now.agg(F.count("*"), F.round(F.sum("d"), 6)).first()
-        if new == state:
-            return now
-        state = new
+    for _ in range(max(1, v.count() - 1).bit_length()):
         a, b = now.select("u", F.col("v").alias("m"), F.col("d").alias("a")), now.select(F.col("u").alias("m"), "v", F.col("d").alias("b"))
-        now = a.join(b, "m").groupBy("u", "v").agg(F.min(F.col("a") + F.col("b")).alias("d")).checkpoint()
+        new = a.join(b, "m").groupBy("u", "v").agg(F.min(F.col("a") + F.col("b")).alias("d")).checkpoint()
+        smaller = new.join(now.withColumnRenamed("d", "old"), ["u", "v"], "left").where("old is null or d < old")
+        if smaller.isEmpty():
+            break
+        now = new
+    return now
 
 
 def triangles(e: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
-"""Neighbour joining and its outputs. A distance matrix has one row for each pair of collections, so it is small; many
-matrices (one for each key) are joined side by side with `neighbour_joining`."""
+"""Neighbour joining and its outputs. A distance matrix has one row for each pair of collections. `joined` works by rounds of
+relations, whatever its size; `neighbour_joining` holds a matrix (n * n numbers, n ** 3 steps; some thousand collections)
+in the task of its key, side by side with others, and gives the text of the tree."""
 
 from __future__ import annotations
 
@@ -7,7 +8,11 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from seqweft.operators.graphs import hops
+from seqweft.operators.shared import stored
 
 #: (parent vertex, child vertex, length)
 Branch = tuple[int, int, float]
@@ -136,12 +141,84 @@ def neighbour_joining(distances: DataFrame, key: str, value: str) -> DataFrame:
     return distances.groupBy(key).applyInPandas(tree, f"{key} string, newick string, n_branches int")
 
 
-def branches_table(distances: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, u, v, w, label): the branches, with the taxon's label where v is one."""
+def joined(distances: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, u, v, w, label): the branches of the tree of each key's distances (key, i, j, value), by rounds of relations;
+    label names a taxon where v is one. Gives the tree of join_neighbours.
 
-    def tree(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels, d = matrix(list(pdf[["i", "j", value]].itertuples(index=False, name=None)))
-        rows = [(pdf[key].iloc[0], u, v, w, labels[v] if v < len(labels) else None) for u, v, w in join_neighbours(d)]
-        return pd.DataFrame(rows, columns=[key, "u", "v", "w", "label"]).astype({key: object, "label": object})
-
-    return distances.groupBy(key).applyInPandas(tree, f"{key} string, u int, v int, w double, label string")
+    In each round, for all keys at once, sums of the rows and the least corrected distance (rounded to 9 places, so that no
+    order of summing decides; the first pair by larger and then smaller place of several) name the pair to be joined, and the
+    distances are derived anew. There are as many rounds as the largest matrix has taxa, less three; each is stored.
+    """
+    both = distances.select(key, "i", "j", F.col(value).cast("double").alias("d"))
+    both = both.unionByName(both.select(key, F.col("j").alias("i"), F.col("i").alias("j"), "d"))
+    taxa = both.select(key, F.col("i").alias("label")).distinct()
+    taxa = stored(taxa.withColumn("slot", F.row_number().over(Window.partitionBy(key).orderBy("label")) - 1), "taxa")  # a row for each taxon of a matrix
+    slot = lambda name, out: taxa.select(key, F.col("label").alias(name), F.col("slot").alias(out))
+    d = stored(both.join(slot("i", "a"), [key, "i"]).join(slot("j", "b"), [key, "j"]).select(key, "a", "b", "d"), "distances")
+    names = taxa.select(key, "slot", F.col("slot").alias("vertex"))
+    size = taxa.groupBy(key).agg(F.count("*").cast("int").alias("n")).withColumn("m", F.col("n"))
+    most, out = size.agg(F.max("n")).first()[0] or 0, None
+    size, names = stored(size, "sizes"), stored(names, "names")
+    for _ in range(most - 3):
+        open_ = size.where("m > 3")
+        sums = d.join(open_, key).groupBy(key, "a").agg(F.sum("d").alias("r"))
+        pairs = d.where("a > b").join(open_, key).join(sums, [key, "a"]).join(sums.select(key, F.col("a").alias("b"), F.col("r").alias("s")), [key, "b"])
+        q = F.round((F.col("m") - 2) * F.col("d") - F.col("r") - F.col("s"), 9)
+        best = pairs.groupBy(key).agg(F.min(F.struct(q.alias("q"), F.col("a").alias("i"), F.col("b").alias("j"), F.col("d").alias("d_ij"), "r", "s", "m", "n")).alias("x"))
+        best = stored(best.select(key, "x.*").withColumns({"left": F.col("d_ij") / 2 + (F.col("r") - F.col("s")) / (2 * (F.col("m") - 2)), "new": 2 * F.col("n") - F.col("m")}), "pairs")
+        ends = best.select(key, "new", F.explode(F.array(F.struct(F.col("i").alias("slot"), F.col("left").alias("w")), F.struct(F.col("j").alias("slot"), (F.col("d_ij") - F.col("left")).alias("w")))).alias("x"))
+        made = ends.select(key, "new", "x.*").join(names, [key, "slot"]).select(key, F.col("new").alias("u"), F.col("vertex").alias("v"), "w")
+        out = made if out is None else out.unionByName(made)
+        last = F.col("m") - 1
+        moved = lambda c: F.when(F.col("i").isNotNull() & (F.col(c) == last), F.col("i")).otherwise(F.col(c)).alias(c)
+        # the distances to the pair's first member, which both ends of a row need
+        gone = d.join(best.select(key, "i"), key).where(F.col("a") == F.col("i"))
+        to = lambda c, name: gone.select(key, F.col("b").alias(c), F.col("d").alias(name))
+        rest = d.join(best.select(key, "i", "j", "d_ij", "m"), key, "left").where("i is null or (a <> i and b <> i)").join(to("a", "x"), [key, "a"], "left").join(to("b", "y"), [key, "b"], "left")
+        far = F.when(F.col("a") == F.col("j"), (F.col("d") + F.col("y") - F.col("d_ij")) / 2).when(F.col("b") == F.col("j"), (F.col("d") + F.col("x") - F.col("d_ij")) / 2).otherwise(F.col("d"))
+        d = stored(rest.select(key, moved("a"), moved("b"), far.alias("d")), "distances")
+        own = names.join(best.select(key, "i", "j", "new", "m"), key, "left").where("i is null or slot <> i")
+        names = stored(own.select(key, moved("slot"), F.when(F.col("slot") == F.col("j"), F.col("new")).otherwise(F.col("vertex")).alias("vertex")), "names")
+        size = stored(size.withColumn("m", F.when(F.col("m") > 3, F.col("m") - 1).otherwise(F.col("m"))), "sizes")
+    at = F.map_from_entries(F.collect_list(F.struct((10 * F.col("a") + F.col("b")).alias("k"), "d")))
+    three = d.where("a < b").join(size, key).groupBy(key, "n", "m").agg(at.alias("x"))
+    x = lambda k: F.try_element_at("x", F.lit(k))
+    length = F.when(F.col("slot") == 0, (x(1) + x(2) - x(12)) / 2).when(F.col("slot") == 1, (x(1) + x(12) - x(2)) / 2).otherwise((x(2) + x(12) - x(1)) / 2)
+    star = three.where("m = 3").join(names, key).select(key, (2 * F.col("n") - 3).alias("u"), F.col("vertex").alias("v"), length.alias("w"))
+    two = three.where("m = 2").select(key, F.lit(0).alias("u"), F.lit(1).alias("v"), x(1).alias("w"))
+    out = star.unionByName(two) if out is None else out.unionByName(star).unionByName(two)
+    return out.join(taxa.select(key, F.col("slot").alias("v"), "label"), [key, "v"], "left").select(key, F.col("u").cast("int"), F.col("v").cast("int"), "w", "label")
+
+
+def paths_between(branches: DataFrame, key: str) -> DataFrame:
+    """(key, i, j, d): sums of lengths between the taxa (branches' v with a label) of each key's tree, each to itself too."""
+    named = F.struct(F.col(key), "x")
+    flat = stored(branches.select(key, "u", "v", "w", "label"), "branches")
+    e = flat.select(named_vertex(key, "u"), named_vertex(key, "v"), "w")
+    e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    two = flat.where("u = 0 and label is not null").select(key, F.col("u").alias("x"))  # of two taxa the first is no child
+    taxa = flat.where("label is not null").select(key, F.col("v").alias("x")).union(two).distinct().select(named.alias("u"))
+    found = hops(e, taxa, "w").join(taxa, "u", "left_semi")
+    return found.select(F.col("source")[key].alias(key), F.col("source")["x"].alias("i"), F.col("u")["x"].alias("j"), F.col("far").alias("d"))
+
+
+def named_vertex(key: str, c: str):
+    return F.struct(F.col(key), F.col(c).alias("x")).alias(c)
+
+
+def folded(tree: DataFrame, root: DataFrame, places: int = 1) -> DataFrame:
+    """(source, newick) of a tree (u, v, w both ways) for each root (u): numbered vertices, children in ascending order,
+    lengths with `places` decimals. Texts are folded from the leaves upwards, one aggregation for each level."""
+    walk = stored(hops(tree.select("u", "v", "w"), root, "w", parents=True).join(tree.select(F.col("u").alias("parent"), F.col("v").alias("u"), "w"), ["parent", "u"], "left"), "walk")
+    below = None
+    for level in range(walk.agg(F.max("dist")).first()[0] or 0, -1, -1):
+        own = walk.where(F.col("dist") == level).select("source", "parent", "u", "w")
+        text = F.col("u").cast("string")
+        if below is not None:
+            own = own.join(below, ["source", "u"], "left")
+            text = F.when(F.col("inner").isNotNull(), F.concat(F.lit("("), "inner", F.lit(")"), text)).otherwise(text)
+        if not level:
+            return own.select("source", F.concat(text, F.lit(f":{0:.{places}f};")).alias("newick"))
+        entry = F.struct("u", F.concat(text, F.format_string(f":%.{places}f", "w")).alias("t"))
+        inner = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), ",")
+        below = stored(own.groupBy("source", F.col("parent").alias("u")).agg(inner.alias("inner")), "texts")

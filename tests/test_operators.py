@@ -53,16 +53,27 @@ def test_cliques_and_triangles(spark):
     assert tri == {(a, b, c) for a, b in e for c in near[a] & near[b] if a < b < c}
 
 
-def test_bits(spark):
-    rng = random.Random(2)
-    bits = [int(rng.random() < 0.3) for _ in range(300)]
-    df = spark.createDataFrame([(i, b, i // 17) for i, b in enumerate(bits)], "o int, bit int, bucket int")
-    r = bitvector.ranked(df, "bit", ["o"], "bucket")
-    assert [(x.pos, x.rank1) for x in r.orderBy("o").collect()] == [(i, sum(bits[: i + 1])) for i in range(300)]
-    wanted = spark.createDataFrame([(0,), (1,), (5,), (299,)], "x long")
+@pytest.mark.parametrize(("n", "share"), [(300, 0.3), (2600, 0.01), (2600, 0.9), (512, 0.0), (64, 1.0)])
+def test_bits(spark, n, share):
+    rng = random.Random(n)
+    bits = [int(rng.random() < share) for _ in range(n)]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bits)], "o int, bit int")
+    assert [(x.pos, x.rank1, x.rank0) for x in bitvector.ranked(df, "bit", ["o"]).orderBy("o").collect()] == [(i, sum(bits[: i + 1]), i + 1 - sum(bits[: i + 1])) for i in range(n)]
+    p = bitvector.packed(bitvector.positions(df, ["o"]), "bit")
+    asked = [0, 1, 2, 5, 63, 64, 65, 511, 512, 513, n - 1, n, n + 1]
+    wanted = spark.createDataFrame([(x,) for x in asked], "x long")
     ones, zeros = ([i for i, b in enumerate(bits) if b == v] for v in (1, 0))
-    assert {x.x: x.pos for x in bitvector.select1(r, "bit", wanted).collect()} == {0: -1, 1: ones[0], 5: ones[4], 299: -1}
-    assert {x.x: x.pos for x in bitvector.select0(r, "bit", wanted).collect()} == {0: 0, 1: zeros[0], 5: zeros[4], 299: -1}
+    place = lambda own, x: own[x - 1] if 0 < x <= len(own) else -1
+    assert {x.x: x.pos for x in bitvector.select1(p, wanted).collect()} == {x: place(ones, x) for x in asked}
+    assert {x.x: x.pos for x in bitvector.select0(p, wanted).collect()} == {x: place(zeros, x) if x else 0 for x in asked}
+    at = wanted.withColumnRenamed("x", "pos")
+    assert {x.pos: x.bit for x in bitvector.access(p, at).collect()} == {x: bits[x] if x < n else None for x in asked}
+    new = [b or i in asked for i, b in enumerate(bits)]
+    assert {x.pos: x.rank1 for x in bitvector.rank1(bitvector.with_bits(p, at), at).collect()} == {x: sum(new[: x + 1]) if x < n else None for x in asked}
+    want = {}
+    for a, b in zip(ones, ones[1:]):
+        want[b - a - 1] = want.get(b - a - 1, 0) + 1
+    assert {r.gap: r.n for r in bitvector.gaps(p).collect()} == want
 
 
 def test_strings(spark):
@@ -118,10 +129,10 @@ def test_trees(spark):
     dist = {(r.source, r.u): r.dist for r in graphs.hops(df, df.select("u").distinct()).collect()}
     ecc = {u: max(dist[u, v] for v in range(40)) for u in range(40)}
     leaves = [u for u in range(40) if sum(u in x[:2] for x in e) == 1]
-    assert graphs.tree_diameter(df).first()[0] == max(ecc.values())
+    assert graphs.diameter(df).first()[0] == max(ecc.values())
     assert {(r.u, r.ecc) for r in graphs.tree_centers(df).collect()} == {(u, x) for u, x in ecc.items() if x == min(ecc.values())}
     assert {r.u: (r.dist, r.leaf) for r in graphs.nearest_leaf(df).collect()} == {u: min((dist[u, v], v) for v in leaves) for u in range(40)}
-    assert graphs.tree_diameter(df.limit(0)).first()[0] is None
+    assert graphs.diameter(df.limit(0)).first()[0] is None
 
 
 def test_readers(spark, tmp_path):
