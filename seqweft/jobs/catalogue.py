@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from seqweft.functions import arrays, numbers, strings, vectors
 from seqweft.operators import bitvector, bwsd, contexts, graphs, trees
 from seqweft.operators import edges as ed
-from seqweft.operators.shared import shared_path
-from seqweft.sources import readers, writers
+from seqweft.operators.shared import shared_path, stored
+from seqweft.sources import readers, store, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -97,6 +97,30 @@ def color_totals(spark, d):
     return ed.colour_totals(_edges(spark, d))
 
 
+@query("edge_report", f"{_E} SELECT color, count(*) AS n_edges, coalesce(sum(coverage), 0)::BIGINT AS n_cov FROM e GROUP BY ROLLUP (color)")
+def edge_report(spark, d):
+    return ed.report(_edges(spark, d))
+
+
+@query("stored_edges", f"{_E} SELECT color, kmer, W, (2 * coverage)::BIGINT AS coverage FROM e WHERE color <> (SELECT max(color) FROM e)")
+def stored_edges(spark, d):
+    """All colours but the last, read from a store to which the edges were added twice."""
+    e, path = stored(_edges(spark, d), "edges"), shared_path(spark, "store")
+    for _ in range(2):
+        store.add(path, e, K)
+    last = e.agg(F.max("color")).first()[0]
+    return store.read(spark, path, K, [r[0] for r in e.select("color").distinct().collect() if r[0] != last])
+
+
+@query("bwsd_with_store", f"{_E}, {_RUNS}, {_HIST} SELECT * FROM ({_DISTANCES}) WHERE i = {{_FIRST}} OR j = {{_FIRST}}".replace("{_FIRST}", "(SELECT min(color) FROM e)"))
+def bwsd_with_store(spark, d):
+    """The first colour as a new one, compared with the others, which are stored."""
+    seqs, path = _seqs(spark, d), shared_path(spark, "store")
+    first = seqs.agg(F.min("color")).first()[0]
+    store.add(path, ed.edges(seqs.where(F.col("color") != first), K), K)
+    return store.compare_with(spark, path, seqs.where(F.col("color") == first), K)
+
+
 @query("c_array", f"{_E} SELECT W, n, coalesce(sum(n) OVER (ORDER BY W ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM (SELECT W, count(*) AS n FROM e GROUP BY W)")
 def c_array(spark, d):
     return ed.symbol_counts(_edges(spark, d))
@@ -266,11 +290,11 @@ def _records(spark, d):
     return t.select(F.col("doc_id").alias("id"), F.regexp_replace(F.upper(F.coalesce("text", F.lit(""))), "[^ACGT]+", "").alias("seq"))
 
 
-@query("fastq_records", f"{_SQL_RECORDS} AND regexp_replace(upper(coalesce(text, '')), '[^ACGT]', '', 'g') <> ''")
+@query("fastq_records", _SQL_RECORDS)
 def fastq_records(spark, d):
     """Documents as sequences, written as FASTQ and read again."""
     path = shared_path(spark, "records.fastq")
-    writers.write_fastq(_records(spark, d).where("seq <> ''"), path)
+    writers.write_fastq(_records(spark, d), path)
     return readers.read_fastq(spark, path, glob="*.txt").select("id", "seq")
 
 

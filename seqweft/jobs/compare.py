@@ -21,6 +21,11 @@ class Comparison:
     expectation_tree: str
     entropy_tree: str
 
+    def write(self, spark: SparkSession, path: str) -> None:
+        """Two matrices and two trees below `path`, each a text: expectation.dmat, entropy.dmat and the same as .nhx."""
+        for name, text in (("expectation.dmat", self.expectation), ("entropy.dmat", self.entropy), ("expectation.nhx", self.expectation_tree), ("entropy.nhx", self.entropy_tree)):
+            spark.createDataFrame([(text.rstrip("\n"),)], "value string").coalesce(1).write.text(f"{path.rstrip('/')}/{name}")
+
 
 def compare_sequences(seqs: DataFrame, k: int = 32, coverage: bool = False) -> DataFrame:
     """(i, j, s, expectation, entropy) of all pairs of colours of (color, seq)."""

@@ -66,6 +66,11 @@ def colour_totals(e: DataFrame) -> DataFrame:
     return e.groupBy("color").agg(F.count("*").alias("n_edges"), F.sum("coverage").alias("n_cov"))
 
 
+def report(e: DataFrame) -> DataFrame:
+    """(color, n_edges, n_cov) of each colour, and of all together under a null colour."""
+    return e.rollup("color").agg(F.count("*").alias("n_edges"), F.coalesce(F.sum("coverage"), F.lit(0).cast("long")).alias("n_cov"))
+
+
 def symbol_counts(e: DataFrame) -> DataFrame:
     """(W, n, before): edges with a symbol, and with a smaller one. One row for each symbol enters the window."""
     n = e.groupBy("W").agg(F.count("*").alias("n"))
