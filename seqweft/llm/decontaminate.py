@@ -3,12 +3,14 @@
 The patterns are the windows of 13 consecutive words of the benchmark's items. A shift table over blocks of two words
 tells how far a search may move on; where it says 0, the bucket of the last block's hash gives the patterns to test,
 and a direct comparison, word by word and then byte by byte, confirms each occurrence. Searches of many stretches of
-text move on together as numpy arrays. Nothing is shuffled: the patterns go to the tasks in blocks of bounded size.
+text move on together as numpy arrays. Nothing is shuffled: the patterns go to the tasks in blocks of bounded size, as the
+items' texts, and a worker compiles each block once; a pattern is a place in the block's words, not a copy of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, small_batches, utf8, words
+from seqweft.llm._arrow import LOWER, id_and_text, mix, slices, small_batches, utf8, words, written
 
 WINDOW = 13
 #: Bytes of item texts in one block of patterns; larger benchmarks take one pass for each block.
-BLOCK_BYTES = 16 << 20
-_TABLE_BITS = 20
+BLOCK_BYTES = 8 << 20
+#: Bits of the tables, as a power of two that grows with the windows, within these bounds.
+_LEAST_BITS, _MOST_BITS = 16, 24
 #: Words a search covers before the next one takes over.
 _STRETCH = 512
 
@@ -31,65 +34,109 @@ _INSIDE[0x00:0x30] = _INSIDE[0x3A:0x61] = _INSIDE[0x7B:0x80] = False
 _INSIDE[0x41:0x5B] = True  # upper case, folded below
 
 
+class Items(NamedTuple):
+    """The words of a block of items, one after the other: hashes, where each begins and ends in the folded bytes; and the
+    items' ids."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    stop: np.ndarray
+    low: bytes
+    names: list[str]
+
+
 class Patterns(NamedTuple):
-    """The patterns of one length: hashes of their words, their words, the items that have them, and the tables."""
+    """The different windows of one length: the word of the block that each begins with, the items that have it (numbers
+    owner[owner_start[k] : owner_start[k + 1]]), and the tables."""
 
     length: int
-    ids: np.ndarray
-    texts: list[tuple[bytes, ...]]
-    items: list[list[str]]
+    begin: np.ndarray
+    owner: np.ndarray
+    owner_start: np.ndarray
+    bits: int
     shift: np.ndarray
     bucket_of: np.ndarray
     bucket_start: np.ndarray
     bucket: np.ndarray
 
 
-def _block_hash(ids: np.ndarray, length: int) -> np.ndarray:
+def _block_hash(ids: np.ndarray, length: int, bits: int) -> np.ndarray:
     """Hash of the block that ends at each word, as a place in the tables."""
     h = ids.copy()
     if length > 1:
         h[1:] = mix(ids[1:] + ids[:-1] * np.uint64(0x9E3779B97F4A7C15))
-    return (h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def split_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return words(data, off, LOWER, _INSIDE)
 
 
-def compile_patterns(items: list[tuple[str, str]]) -> list[Patterns]:
-    """Tables for the windows of (item id, text) pairs, one set for each length that occurs."""
-    array = pa.array([t for _, t in items], pa.string())
-    data, off = utf8(array)
-    first, stop, ids, at = split_words(data, off)
-    low = LOWER[data].tobytes()
-    found: dict[int, dict[tuple[bytes, ...], tuple[np.ndarray, set[str]]]] = {}
-    for i, (item, _) in enumerate(items):
-        n = at[i + 1] - at[i]
-        length = min(int(n), WINDOW)
-        for k in range(at[i], at[i + 1] - length + 1) if n else ():
-            text = tuple(low[first[j] : stop[j]] for j in range(k, k + length))
-            found.setdefault(length, {}).setdefault(text, (ids[k : k + length], set()))[1].add(item)
+def _windows(words_: Items, begin: np.ndarray, owner: np.ndarray, length: int) -> Patterns:
+    """Tables for the windows of `length` words that begin at the words `begin` of the items `owner`."""
+    h = np.zeros(len(begin), np.uint64)
+    for j in range(length):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + words_.ids[begin + j]
+    order = np.lexsort((owner, h))
+    begin, owner = begin[order].astype(np.int32), owner[order].astype(np.int32)
+    same = np.append(False, h[order[1:]] == h[order[:-1]])
+    del h, order
+    for j in range(length):  # equal in all words, not in the sum alone
+        at = np.flatnonzero(same)
+        same[at] = words_.ids[begin[at] + j] == words_.ids[begin[at - 1] + j]
+    new = np.flatnonzero(~same)
+    group = np.cumsum(~same) - 1
+    first = np.append(True, (group[1:] != group[:-1]) | (owner[1:] != owner[:-1]))  # an item once
+    begin, owner, start = begin[new], owner[first], np.searchsorted(group[first], np.arange(len(new) + 1))
+    size = 2 if length > 1 else 1
+    bits = min(_MOST_BITS, max(_LEAST_BITS, (len(begin) * length).bit_length() + 2))
+    shift = np.full(1 << bits, length - size + 1, np.uint8)
+    place = _block_hash(words_.ids, length, bits)
+    for j in range(size - 1, length):
+        np.minimum.at(shift, place[begin + j], np.uint8(length - 1 - j))
+    last = place[begin + length - 1]
+    by_last = np.argsort(last, kind="stable").astype(np.int32)
+    bucket_of, bucket_start = np.unique(last[by_last], return_index=True)
+    return Patterns(length, begin, owner, start, bits, shift, bucket_of, np.append(bucket_start, len(by_last)), by_last)
+
+
+def compile_patterns(items: list[tuple[str, str]]) -> tuple[Items, list[Patterns]]:
+    """The words of (item id, text) pairs, and tables for their windows, one set for each length that occurs."""
+    parts: list[tuple[np.ndarray, ...]] = []
+    low = bytearray()
+    for batch in slices(iter([pa.RecordBatch.from_arrays([pa.array([t for _, t in items], pa.string())], ["text"])])):
+        data, off = utf8(batch.column("text"))
+        first, stop, ids, at = split_words(data, off)
+        parts.append((ids, (first + len(low)).astype(np.int32), (stop + len(low)).astype(np.int32), np.diff(at)))
+        low += LOWER[data].tobytes()
+    ids, first, stop, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
+    own, at = Items(ids, first, stop, bytes(low), [k for k, _ in items]), np.cumsum(n) - n
     out = []
-    for length, own in sorted(found.items()):
-        table = np.stack([v[0] for v in own.values()])
-        size = 2 if length > 1 else 1
-        shift = np.full(1 << _TABLE_BITS, length - size + 1, np.uint8)
-        ends = _block_hash(table.ravel(), length).reshape(table.shape)
-        for j in range(size - 1, length):
-            np.minimum.at(shift, ends[:, j], np.uint8(length - 1 - j))
-        last = ends[:, -1]
-        order = np.argsort(last, kind="stable")
-        bucket_of, start = np.unique(last[order], return_index=True)
-        out.append(Patterns(length, table, list(own), [sorted(v[1]) for v in own.values()], shift, bucket_of, np.append(start, len(order)), order))
-    return out
+    for length in np.unique(np.minimum(n[n > 0], WINDOW)).tolist():
+        which = np.flatnonzero(np.minimum(n, WINDOW) == length)
+        many = n[which] - length + 1
+        begin = np.repeat(at[which] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        out.append(_windows(own, begin, np.repeat(which, many), length))
+    return own, out
+
+
+#: The block that a worker has compiled last, under its name.
+_COMPILED: dict[str, tuple[Items, list[Patterns]]] = {}
 
 
-def _search(p: Patterns, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _compiled(name: str, items: list[tuple[str, str]]) -> tuple[Items, list[Patterns]]:
+    if name not in _COMPILED:
+        _COMPILED.clear()
+        _COMPILED[name] = compile_patterns(items)
+    return _COMPILED[name]
+
+
+def _search(p: Patterns, words_: Items, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Last words of windows that agree with a pattern in all word hashes, and the patterns."""
     n = len(ids)
     if n < p.length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    block = _block_hash(ids, p.length)
+    block = _block_hash(ids, p.length, p.bits)
     move = p.shift[block]
     pos = np.arange(p.length - 1, n, _STRETCH)
     end = np.minimum(pos + _STRETCH, n)
@@ -107,12 +154,13 @@ def _search(p: Patterns, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     inner = np.arange(len(place)) - np.repeat(np.cumsum(counts) - counts, counts)
     which = p.bucket[np.repeat(p.bucket_start[b], counts) + inner]
     for j in range(p.length):
-        same = p.ids[which, j] == ids[place - p.length + 1 + j]
+        same = words_.ids[p.begin[which] + j] == ids[place - p.length + 1 + j]
         place, which = place[same], which[same]
     return place, which
 
 
-def _scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[tuple[int, int]]], list[set[str]]]]:
+def _scan(batches: Iterator[pa.RecordBatch], compiled: tuple[Items, list[Patterns]], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, list[list[tuple[int, int]]], list[set[str]]]]:
+    own, patterns = compiled
     for batch in slices(batches, column):
         data, off = utf8(batch.column(column))
         first, stop, ids, at = split_words(data, off)
@@ -120,29 +168,29 @@ def _scan(batches: Iterator[pa.RecordBatch], patterns: list[Patterns], column: s
         hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
         items: list[set[str]] = [set() for _ in range(batch.num_rows)]
         for p in patterns:
-            place, which = _search(p, ids)
+            place, which = _search(p, own, ids)
             doc = np.searchsorted(at, place, "right") - 1
             whole = place - p.length + 1 >= at[doc]
             for d, last, k in zip(doc[whole].tolist(), place[whole].tolist(), which[whole].tolist(), strict=True):
-                begin = last - p.length + 1
-                if all(low[first[begin + j] : stop[begin + j]] == w for j, w in enumerate(p.texts[k])):
+                begin, b = last - p.length + 1, int(p.begin[k])
+                if all(low[first[begin + j] : stop[begin + j]] == own.low[own.first[b + j] : own.stop[b + j]] for j in range(p.length)):
                     hits[d].append((begin - int(at[d]), last + 1 - int(at[d])))
-                    items[d].update(p.items[k])
+                    items[d].update(own.names[i] for i in p.owner[p.owner_start[k] : p.owner_start[k + 1]].tolist())
         yield batch, np.diff(at), hits, items
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size. What is broadcast is one block; their number grows with the benchmark."""
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of bounded size, of which the driver holds one at a time; at least one, which may be empty."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
-    out: list[list[tuple[str, str]]] = []
-    size = block_bytes
+    held: list[tuple[str, str]] = []
+    size = 0
     for item, text in rows.toLocalIterator():
-        if size + len(text) >= block_bytes:
-            out.append([])
-            size = 0
-        out[-1].append((item, text))
+        if held and size + len(text) > block_bytes:
+            yield held
+            held, size = [], 0
+        held.append((item, text))
         size += len(text)
-    return out
+    yield held
 
 
 #: Names of the columns that a search adds; nothing in a table is called so.
@@ -156,12 +204,14 @@ def searched(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str
     none = {_TEXT: F.coalesce(F.col(text_col).cast("string"), F.lit("")), _WORDS: F.lit(0).cast("long"), _HITS: F.array().cast("array<int>"), _ITEMS: F.array().cast("array<string>")}
     state = docs.withColumns(none)
     schema = state.schema
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes) or [[]]:
-        shared = spark.sparkContext.broadcast(block)
+    shared = None
+    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
+        if shared is not None:  # what the block before found is written, and its patterns leave all memory
+            state = written(state, "searched", (shared,))
+        shared = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
 
         def one_pass(batches, shared=shared):
-            patterns = compile_patterns(shared.value)
-            for batch, n, hits, items in _scan(batches, patterns, _TEXT):
+            for batch, n, hits, items in _scan(batches, _compiled(*shared.value), _TEXT):
                 flat, own = [], []
                 for old, new, before, now in zip(batch.column(_HITS).to_pylist(), hits, batch.column(_ITEMS).to_pylist(), items, strict=True):
                     runs: list[int] = []
