@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,6 +188,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{_shared(spark).rstrip('/')}/seqweft-{uuid.uuid4().hex}"
 
 
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system that holds a shared folder, and the folder's path in it, for files that tasks write themselves."""
+    return fs.FileSystem.from_uri(folder)
+
+
 def _shared(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
@@ -213,6 +219,18 @@ def written(df: DataFrame, name: str = "part", used: tuple = ()) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def forget(table: DataFrame) -> None:
+    """Delete a written table that nothing needs any more. Where its folder can't be reached from here, it stays."""
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        if not folder.rpartition("/")[2].startswith("seqweft-"):
+            raise ValueError(f"{folder} is no table of these operators")
+        try:
+            system, path = opened(folder)
+            system.delete_dir(path)
+        except (OSError, ValueError, pa.ArrowException):
+            pass
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps now: it does so once the driver's objects for them are
     collected, which a driver with free memory puts off while the files fill the executors' disks."""

@@ -1,6 +1,6 @@
 """Ranked lexical search with Block-Max MaxScore over a written index.
 
-The index is a table of segments, each an inverted index of some thousand documents: terms as 64-bit hashes, and for each
+The index is a folder of segments, each an inverted index of some thousand documents: terms as 64-bit hashes, and for each
 term its postings in blocks of 128, packed to as many bits as they need, with the block's first document and the largest
 part that a posting of it can give to a score. A search takes the lists of an item's terms by falling bound. As long as
 the bounds of the lists left could lift a document over the threshold, the tenth best score so far, a list is essential
@@ -14,6 +14,7 @@ Scores are whole numbers, exact and the same however documents are dealt to segm
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, give_back, id_and_text, slices, small_batches, utf8, words, written
+from seqweft.llm._arrow import LOWER, give_back, id_and_text, opened, shared_folder, slices, small_batches, utf8, words, written
 
 #: Results for an item; documents and postings of a segment at most (one slice of texts may exceed them); postings of a block.
-TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 18, 128
+TOP, SEGMENT_DOCS, SEGMENT_POSTINGS, BLOCK = 10, 8192, 1 << 19, 128
 #: Bytes of items that are searched for in one pass, and parts into which heaps are dealt before the last merge.
 ITEM_BYTES, HEAP_PARTS = 4 << 20, 64
 
@@ -128,7 +129,7 @@ def segment(ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndar
 class Segment:
     """An inverted index of some documents."""
 
-    def __init__(self, row: dict[str, bytes], corpus: Corpus):
+    def __init__(self, row: dict[str, bytes | pa.Buffer], corpus: Corpus):
         kinds = {"ids": "<i8", "lengths": "<i4", "terms": "<u8", "counts": "<i4", "widths": "<u2", "places": "<i8", "bounds": "<i4", "firsts": "<i4", "maxima": "<i4", "postings": "u1"}
         self.__dict__.update({c: np.frombuffer(row[c], k) for c, k in kinds.items()})
         self.corpus, self.lengths = corpus, self.lengths.astype(np.int64)
@@ -210,23 +211,37 @@ def _best(scores: np.ndarray, ids: np.ndarray, top: int) -> tuple[np.ndarray, np
     return scores[order], ids[order]
 
 
-def index(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A written table of segments of all documents that have a term. Each task makes segments of its own rows, which
-    bounds what it holds; nothing is shuffled."""
+def index(docs: DataFrame, corpus: Corpus, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(name): the files of an index of all documents that have a term, below `folder`, which executors share.
+
+    Each task makes segments of its own rows, which bounds what it holds, and writes them to a file of its attempt, a
+    record batch each; nothing is shuffled, and segments don't pass through the JVM. The names of files that count are
+    written last; one row for each task goes through the driver.
+    """
+    spark = docs.sparkSession
+    system, path = opened(folder)
+    system.create_dir(path, recursive=True)
     source = id_and_text(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
     names = [c.split()[0] for c in _SEGMENT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         docs_held = postings_held = 0
+        name, file, out = f"{uuid.uuid4().hex}.arrow", None, None
 
-        def made() -> pa.RecordBatch:
+        def add() -> None:
+            nonlocal file, out
             ids, lengths, doc, term, tf = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             row = segment(ids, lengths, doc, term, tf, corpus)
             del ids, lengths, doc, term, tf
+            batch = pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names)
+            if out is None:
+                store, place = opened(folder)
+                file = store.open_output_stream(f"{place}/{name}", compression=None)
+                out = pa.ipc.new_file(file, batch.schema)
+            out.write_batch(batch)
             give_back()
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names)
 
         for batch in slices(batches):
             data, off = utf8(batch.column("text"))
@@ -240,15 +255,34 @@ def index(docs: DataFrame, corpus: Corpus, id_col: str = "doc_id", text_col: str
             doc, term = doc[order], term[order]
             first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])))
             if docs_held and (docs_held + len(some) > SEGMENT_DOCS or postings_held + len(first) > SEGMENT_POSTINGS):
-                yield made()
+                add()
                 docs_held = postings_held = 0
             ids = batch.column("id").fill_null(_NO_ID).to_numpy()[some]
             held.append((ids, n[some], (doc[first] + docs_held).astype(np.int32), term[first], np.diff(np.append(first, len(doc))).astype(np.int32)))
             docs_held, postings_held = docs_held + len(some), postings_held + len(first)
         if held:
-            yield made()
+            add()
+        if out is not None:
+            out.close()
+            file.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
 
-    return written(source.mapInArrow(run, _SEGMENT), "index")
+    made = written(source.mapInArrow(run, "name string"), "index").collect()
+    return spark.createDataFrame(made, "name string").repartition(max(1, len(made)))
+
+
+def _segments(folder: str, batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, pa.Buffer]]:
+    """The segments of the files named, one after the other, with some of their columns."""
+    store, place = opened(folder)
+    names = [c.split()[0] for c in _SEGMENT.split(", ")]
+    wanted = pa.ipc.IpcReadOptions(included_fields=[names.index(c) for c in columns])
+    for batch in batches:
+        for name in batch.column("name").to_pylist():
+            with store.open_input_file(f"{place}/{name}") as f:
+                reader = pa.ipc.open_file(f, options=wanted)
+                for k in range(reader.num_record_batches):
+                    own = reader.get_batch(k)
+                    yield {c: own.column(c)[0].as_buffer() for c in columns}
 
 
 class Items(NamedTuple):
@@ -268,55 +302,53 @@ def _parsed(rows: list[tuple[int, str]]) -> Items:
     return Items([k for k, _ in rows], terms, [w for w, _ in own], [n for _, n in own])
 
 
-def _frequencies(table: DataFrame, terms: np.ndarray) -> np.ndarray:
+def _frequencies(files: DataFrame, folder: str, terms: np.ndarray) -> np.ndarray:
     """How many documents hold each term, from two columns of the index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(terms), np.int64)
-        for batch in batches:
-            for known, counts in zip(batch.column("terms").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                known, counts = np.frombuffer(known, "<u8"), np.frombuffer(counts, "<i4")
-                at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-                total += np.where(known[at] == terms, counts[at], 0)
+        for row in _segments(folder, batches, ["terms", "counts"]):
+            known, counts = np.frombuffer(row["terms"], "<u8"), np.frombuffer(row["counts"], "<i4")
+            at = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+            total += np.where(known[at] == terms, counts[at], 0)
         own = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["term", "df"])
 
     out = np.zeros(len(terms), np.int64)
-    for r in table.select("terms", "counts").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in files.mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         out[r["term"]] = r["df"]  # no more rows than the pass has terms
     return out
 
 
-def _heaps(table: DataFrame, items: Items, corpus: Corpus, top: int) -> DataFrame:
+def _heaps(files: DataFrame, folder: str, items: Items, corpus: Corpus, top: int) -> DataFrame:
     """(item, part, id, score): the best documents of each task for each item of one pass."""
-    df = _frequencies(table, items.terms)
+    df = _frequencies(files, folder, items.terms)
     weights = np.array([weight(corpus, d) if d else 0 for d in df.tolist()], np.int64)
-    shared = table.sparkSession.sparkContext.broadcast((items, weights))
+    shared = files.sparkSession.sparkContext.broadcast((items, weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         items, weights = shared.value
         heaps = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(items.numbers)
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Segment(row, corpus)
-                known, lists = own.find(items.terms)
-                list_of = np.full(len(items.terms), -1)
-                list_of[known] = lists
-                for q, (which, times) in enumerate(zip(items.which, items.times, strict=True)):
-                    w = weights[which] * times
-                    ok = (list_of[which] >= 0) & (w > 0)
-                    if ok.any():
-                        heaps[q] = own.search(list_of[which][ok], w[ok], heaps[q], top)
-                del own, row
-                give_back()
+        for row in _segments(folder, batches, [c.split()[0] for c in _SEGMENT.split(", ")]):
+            own = Segment(row, corpus)
+            known, lists = own.find(items.terms)
+            list_of = np.full(len(items.terms), -1)
+            list_of[known] = lists
+            for q, (which, times) in enumerate(zip(items.which, items.times, strict=True)):
+                w = weights[which] * times
+                ok = (list_of[which] >= 0) & (w > 0)
+                if ok.any():
+                    heaps[q] = own.search(list_of[which][ok], w[ok], heaps[q], top)
+            del own, row
+            give_back()
         n = [len(s) for s, _ in heaps]
         ids = np.concatenate([i for _, i in heaps]) if heaps else np.zeros(0, np.int64)
         scores = np.concatenate([s for s, _ in heaps]) if heaps else ids
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(items.numbers, np.int64), n)), pa.array(np.full(len(ids), TaskContext.get().partitionId() % HEAP_PARTS)), pa.array(ids, mask=ids == _NO_ID), pa.array(scores)], ["item", "part", "id", "score"])
 
-    return table.mapInArrow(run, "item long, part long, id long, score long")
+    return files.mapInArrow(run, "item long, part long, id long, score long")
 
 
 def _passes(items: DataFrame, text_col: str, item_bytes: int) -> Iterator[list[tuple[int, str]]]:
@@ -342,16 +374,19 @@ def search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     small_batches(spark)
     corpus = counted(docs, id_col, text_col)
-    table = index(docs, corpus, id_col, text_col)
+    folder = f"{shared_folder(spark)}-index"
+    files = index(docs, corpus, folder, id_col, text_col)
     numbered = written(items.select(F.col(item_col).alias("_item"), F.col(item_text_col).cast("string").alias("_text")).withColumn("_number", F.monotonically_increasing_id()), "items")
     found = None
     for rows in _passes(numbered, "_text", item_bytes):
-        heaps = _heaps(table, _parsed(rows), corpus, top)
+        heaps = _heaps(files, folder, _parsed(rows), corpus, top)
         for keys in (["item", "part"], ["item"]):
             best = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("id"))
             heaps = heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
         own = written(heaps.select("item", "rank", "id", "score"), "found")
         found = own if found is None else found.unionByName(own)
+    system, path = opened(folder)
+    system.delete_dir(path)  # what was found is written
     kinds = f"`{item_col}` {items.schema[item_col].dataType.simpleString()}, rank int, `{id_col}` long, score long"
     if found is None:
         return spark.createDataFrame([], kinds)

@@ -25,11 +25,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import BASE, id_and_text, mix, powers, release, shared_folder, slices, utf8
+from seqweft.llm._arrow import BASE, id_and_text, mix, opened, powers, release, shared_folder, slices, utf8
 from seqweft.llm.bpe import byte_symbols
 
 #: The id that ends a document, most bytes of a tokenizer file (it is sent to all executors), places for the pieces that a
@@ -207,10 +206,6 @@ def _encoder(spec: str) -> PieceEncoder:
     return _LOADED[key]
 
 
-def _opened(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith(("/", "file:")) else (pafs.LocalFileSystem(), folder)
-
-
 class FrameWriter:
     """A file of frames: add() documents, then close()."""
 
@@ -289,7 +284,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     spec = _spec(spark, tokenizer_path)
-    system, path = _opened(folder)
+    system, path = opened(folder)
     system.create_dir(path, recursive=True)
     source = id_and_text(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text").withColumn("h", F.xxhash64("text"))
     dealt = source.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
@@ -300,7 +295,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, id_col: str = "doc_
         encoder, out, total = _encoder(spec.value), None, 0
         for batch in slices(batches):
             if out is None:
-                store, place = _opened(folder)
+                store, place = opened(folder)
                 part = TaskContext.get().partitionId()
                 name = f"ids-{part:06d}-{uuid.uuid4().hex}.zst"  # an attempt's own
                 file = store.open_output_stream(f"{place}/{name}", compression=None)
@@ -337,7 +332,7 @@ def read(spark: SparkSession, folder: str, wanted: DataFrame | None = None, want
     some = files(spark, folder).select("part", "name", "start")
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, place = _opened(folder)
+        store, place = opened(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{place}/{row['name']}") as f:
@@ -356,7 +351,7 @@ def read(spark: SparkSession, folder: str, wanted: DataFrame | None = None, want
         some = some.select("name", "start", F.lit(None).cast("array<long>").alias("ks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, place = _opened(folder)
+        store, place = opened(folder)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{place}/{row['name']}") as f:
