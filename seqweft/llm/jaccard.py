@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import LOWER, bit_map, combined, id_and_text, is_set, look_up, map_bits, mix, ready_checkpoints, slices, utf8, words, written
+from seqweft.llm._arrow import LOWER, bit_map, combined, forget, id_and_text, is_set, look_up, map_bits, mix, ready_checkpoints, slices, utf8, words, written
 
 #: Words of a shingle, least similarity as a fraction, counters of the sketch as a power of two, rounds before the last at most
 #: (they end once one finds less than a tenth of all links so far).
@@ -33,6 +33,8 @@ SHINGLE, PART, OF, SKETCH_BITS, ROUNDS = 5, 80, 100, 23, 8
 #: Least bits of the parities that bound how far two sets differ, 64-bit numbers of the short ones that lists carry in the
 #: last round, sets of a list in one block, pairs that are looked at at once.
 PARITY_BITS, SHORT, LIST_BLOCK, AT_ONCE = 1024, 8, 1024, 1 << 18
+#: Nodes (numbers of 8 bytes) that are broadcast at most.
+FEW_NODES = 1 << 17
 
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, 9, 10, 11, 12, 13]] = False
@@ -202,9 +204,17 @@ def whole_sets(source: DataFrame, own: DataFrame) -> DataFrame:
     return written(found, "sets", (shared,))
 
 
+def _only(table: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of table (node, ..) whose node is among nodes, where these are few enough to be sent to all tasks: then
+    nothing else of the table is shuffled by what comes next. Else the table as it is."""
+    different = nodes.distinct()
+    return table.join(F.broadcast(different), "node", "left_semi") if different.count() <= FEW_NODES else table
+
+
 def plausible(pairs: DataFrame, classes: DataFrame, part: int = PART, of: int = OF) -> DataFrame:
     """(a, b, apart) of the pairs whose parities, which are apart in so many bits, don't rule the similarity out."""
-    own = classes.select("node", "n", "parity")
+    pairs = written(pairs, "met")
+    own = _only(classes.select("node", "n", "parity"), pairs.select(F.explode(F.array("a", "b")).alias("node")))
     left = own.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("parity").alias("x"))
     right = own.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("parity").alias("y"))
     half = lambda c: (F.size(c) / 2).cast("int")
@@ -333,7 +343,7 @@ def _scanned(open_: DataFrame, short: DataFrame, part: int, of: int, best: bool)
     them, or the nearest b of each node a."""
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sized = open_.withColumn("k", F.ceil(F.count("*").over(every) / LIST_BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
-    dealt = sized.join(short, "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = sized.join(_only(short, open_.select("node")), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = dealt.select("h", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "n", "i", "c", "short")
     dealt = dealt.repartition(int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h", "x", "y").sortWithinPartitions("h", "x", "y")
     found = dealt.mapInArrow(lambda batches: met_in_blocks(batches, part, of, best), "a long, b long, apart long")
@@ -359,12 +369,13 @@ def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFram
     # lists of the same sets (shingles of one passage) allow the same pairs: any of a pair's common shingles has a position
     # that doesn't rule it out, so one list stands for all of them
     one = lists.groupBy("many", "who1", "who2").agg(F.min("h").alias("h")).select("h")
-    lists = written(lists.select("h", "node", "n", "i").join(one, "h", "left_semi"), "lists")
+    members, lists = lists, written(lists.select("h", "node", "n", "i").join(one, "h", "left_semi"), "lists")
+    forget(members)
     open_, edges, known, turn, last = lists.withColumn("c", F.col("node")), None, None, 0, ROUNDS < 1
     while True:
         if known is not None:  # only lists with different answers are left
             open_ = lists.join(known, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-            open_ = open_.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ")
+            open_ = written(open_.withColumn("differ", F.min("c").over(every) < F.max("c").over(every)).where("differ").drop("differ"), "open")
         if turn or last:
             pairs = _scanned(open_, table.select(F.col("uid").alias("node"), "short"), part, of, not last)
             pairs = written(plausible(pairs, marks, part, of), "pairs")
