@@ -14,7 +14,7 @@ import tempfile
 import numpy as np
 
 #: Tuples that a queue holds in memory, tuples taken at once, symbols up to which recursion ends in memory.
-IN_MEMORY, BLOCK, BASE_CASE = 1 << 21, 1 << 16, 1 << 21
+IN_MEMORY, BLOCK, BASE_CASE = 1 << 16, 1 << 16, 1 << 21
 
 
 def mapped(n: int, kind: type) -> np.ndarray:
