@@ -239,7 +239,7 @@ def index(docs: DataFrame, corpus: Corpus, folder: str, id_col: str = "doc_id",
             if out is None:
                 store, place = opened(folder)
                 file = store.open_output_stream(f"{place}/{name}", compression=None)
-                out = pa.ipc.new_file(file, batch.schema)
+                out = pa.ipc.new_file(file, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
             out.write_batch(batch)
             give_back()
 
