@@ -29,17 +29,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated documents go. Null and empty texts stay; rows that repeat an id are judged one by one."""
     return decontaminate.keep(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; findings in their texts are replaced by MASK, and n_chars follows."""
+    """All documents stay; findings in their texts are replaced by MASK, and n_chars follows. Null and empty texts stay as
+    they are; rows that repeat an id or a text are masked one by one."""
     return secrets.mask(docs, MASK)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document left."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document left, one row each, repeated ones too. Null and
+    empty texts have no tokens; of pairs with equal ranks the leftmost is joined first."""
     return bpe.digests(docs, bpe.default_path())
 
 
