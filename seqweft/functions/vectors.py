@@ -20,13 +20,21 @@ def euclidean_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda s, x: s + x))
 
 
-def to_queries(vectors: DataFrame, every: int = 50, block: int = 256) -> DataFrame:
+def to_queries(vectors: DataFrame, every: int = 50, block: int = 4096) -> DataFrame:
     """(q, v, cosine, euclidean) from the stated queries, the rows whose id `every` divides, to all rows.
 
-    Queries travel in blocks of `block` vectors, and each row meets each block once.
+    Queries go to the tasks in blocks of about half of `block` vectors, one pass over the rows for each block, so what is
+    sent doesn't grow with the table; a block of more than `block` is an error.
     """
-    queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding", F.floor(F.col("vec_id") / (every * block)).alias("b"))
-    blocks = queries.groupBy("b").agg(F.collect_list(F.struct("vec_id", "embedding")).alias("qs"))
-    met = vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("y")).join(blocks, F.size("qs") > 0)
-    one = met.select("v", "y", F.explode("qs").alias("q")).where(F.col("q.vec_id") != F.col("v"))
-    return one.select(F.col("q.vec_id").alias("q"), "v", F.round(cosine_distance(F.col("q.embedding"), F.col("y")), 6).alias("cosine"), F.round(euclidean_distance(F.col("q.embedding"), F.col("y")), 6).alias("euclidean"))
+    queries = vectors.where(F.col("vec_id") % every == 0).select("vec_id", "embedding")
+    blocks = max(1, -(-2 * queries.count() // block))
+    named = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        qs = named.where(F.col("b") == b).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("qs"))
+        sound = qs.where(F.when(F.size("qs") > block, F.raise_error(F.lit("too many queries in a block")).cast("boolean")).otherwise(True))
+        met = vectors.select(F.col("vec_id").alias("v"), F.col("embedding").alias("y")).crossJoin(F.broadcast(sound))  # one row
+        one = met.select("v", "y", F.explode("qs").alias("q")).where(F.col("q.vec_id") != F.col("v"))
+        own = one.select(F.col("q.vec_id").alias("q"), "v", F.round(cosine_distance(F.col("q.embedding"), F.col("y")), 6).alias("cosine"), F.round(euclidean_distance(F.col("q.embedding"), F.col("y")), 6).alias("euclidean"))
+        found = own if found is None else found.unionByName(own)
+    return found
