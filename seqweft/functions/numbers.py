@@ -18,16 +18,42 @@ def power_of_two_from(c: Column) -> Column:
     return F.when(c > 1 << 62, F.lit(0).cast("long")).otherwise(x + 1)
 
 
-def prime_from(c: Column, most_gap: int = 400) -> Column:
-    """The least prime of at least c; below 2**40 no gap between primes reaches 400."""
-    low = F.greatest(c.cast("long"), F.lit(2).cast("long"))
+#: Trial divisors, of which those up to 13 are bases that decide every number below 3.4e14.
+_SMALL = [2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47]
+_BASES = _SMALL[:6]
+
+
+def is_prime(n: Column) -> Column:
+    """Whether n (from 2 to 2**40) is prime: trial division by small primes, then the strong test by six bases."""
+    wide = "decimal(20,0)"
+    top = n.cast(wide)
+    bits = F.filter(F.split(F.bin(n - 1), ""), lambda b: b != "")
+
+    def passes(base: int) -> Column:
+        def square(state: Column, bit: Column) -> Column:
+            x = state["x"]
+            y = ((x * x) % top).cast(wide)
+            sound = state["sound"] & ~((y == 1) & (x != 1) & (x != top - 1))
+            return F.struct(F.when(bit == "1", (y * base) % top).otherwise(y).cast(wide).alias("x"), sound.alias("sound"))
 
-    def prime(n: Column) -> Column:
-        root = F.floor(F.sqrt(n.cast("double"))).cast("long") + 1
-        odd = F.when(root >= 3, F.sequence(F.lit(3).cast("long"), root, F.lit(2).cast("long"))).otherwise(F.array().cast("array<long>"))
-        return (n == 2) | (n == 3) | ((n % 2 != 0) & ~F.exists(odd, lambda d: (d < n) & (n % d == 0)))
+        first = F.struct(F.lit(1).cast(wide).alias("x"), F.lit(True).alias("sound"))
+        return F.aggregate(bits, first, square, lambda state: state["sound"] & (state["x"] == 1))
 
-    return F.element_at(F.filter(F.sequence(low, low + most_gap), prime), 1)
+    small = n.isin(_SMALL)
+    divided = ~small
+    for p in _SMALL:
+        divided = divided & (n % p != 0)
+    proved = F.lit(True)
+    for base in _BASES:
+        proved = proved & passes(base)
+    return small | (divided & ((n < _SMALL[-1] ** 2) | proved))
+
+
+def prime_from(c: Column, most_gap: int = 400) -> Column:
+    """The least prime of at least c; below 2**40 no gap between primes reaches 400. Nothing is tested after it."""
+    low = F.greatest(c.cast("long"), F.lit(2).cast("long"))
+    step = lambda found, n: F.when(found.isNotNull(), found).when(is_prime(n), n)
+    return F.aggregate(F.sequence(low, low + most_gap), F.lit(None).cast("long"), step)
 
 
 def mean_and_deviation(df: DataFrame, c: str) -> DataFrame:

@@ -527,14 +527,10 @@ def nearest_leaf(spark, d):
     return graphs.nearest_leaf(_tree(spark, d))
 
 
-_SQL_FEW = _SQL_TREE.replace("FROM customer)", "FROM customer WHERE c_custkey % 50 = 0)")
-
-
-@query("apsp", f"WITH RECURSIVE {_SQL_FEW}, sources AS (SELECT DISTINCT u FROM t), {_SQL_WALK} SELECT source AS u, u AS v, round(far, 6) AS d FROM walk")
+@query("apsp", f"WITH RECURSIVE {_SQL_TREE}, {_SQL_SOME}, {_SQL_WALK} SELECT source AS u, u AS v, round(far, 6) AS d FROM walk")
 def apsp(spark, d):
-    """All pairs of the tree with every fiftieth customer."""
-    c = table(spark, d, "customer").where("c_custkey % 50 = 0").select((F.col("c_nationkey") + 100).cast("long").alias("u"), (F.col("c_custkey") + 1000).cast("long").alias("v"), F.lit(0.5).alias("w"))
-    return graphs.shortest(_places(spark, d).unionByName(graphs.both_ways(c))).withColumn("d", F.round("d", 6))
+    """Shortest paths of the whole tree, from the customers whose id is divisible by 50 to every vertex."""
+    return graphs.shortest(_tree(spark, d), _some(spark, d)).withColumn("d", F.round("d", 6))
 
 
 _SQL_FOLLOW = """pairs AS (SELECT l_suppkey AS a, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem),

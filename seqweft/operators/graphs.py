@@ -169,22 +169,25 @@ def tree_centers(tree: DataFrame) -> DataFrame:
     return ecc.join(F.broadcast(ecc.agg(F.min("ecc").alias("ecc"))), "ecc").select("u", "ecc")
 
 
-def shortest(e: DataFrame) -> DataFrame:
-    """(u, v, d) for all pairs that are joined by a path: min-plus products of the graph with itself until none is smaller
-    than before, or paths of as many edges as there are vertices are covered.
+def shortest(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(u, v, d): the length of the shortest path from each source u (a column u; all vertices if none are given) to every
+    v that it reaches. Each round extends only distances that the round before made smaller, by one edge, until none is
+    or paths of as many edges as there are vertices are covered: as many rounds as shortest paths have edges.
 
-    For graphs whose all-pairs table is affordable; negative weights are allowed, negative cycles are not.
+    Negative weights are allowed, negative cycles are not. Repeated edges count once, at their least weight; a source
+    without edges reaches itself.
     """
     ready_checkpoints(e)
     v = e.select("u").union(e.select(F.col("v").alias("u"))).distinct()
-    now = e.select("u", "v", F.col("w").alias("d")).union(v.select("u", F.col("u").alias("v"), F.lit(0.0))).groupBy("u", "v").agg(F.min("d").alias("d")).checkpoint()
-    for _ in range(max(1, v.count() - 1).bit_length()):
-        a, b = now.select("u", F.col("v").alias("m"), F.col("d").alias("a")), now.select(F.col("u").alias("m"), "v", F.col("d").alias("b"))
-        new = a.join(b, "m").groupBy("u", "v").agg(F.min(F.col("a") + F.col("b")).alias("d")).checkpoint()
-        smaller = new.join(now.withColumnRenamed("d", "old"), ["u", "v"], "left").where("old is null or d < old")
-        if smaller.isEmpty():
+    links = e.groupBy(F.col("u").alias("m"), F.col("v").alias("to")).agg(F.min("w").alias("w"))
+    now = (v if sources is None else sources.select("u").distinct()).select("u", F.col("u").alias("v"), F.lit(0.0).alias("d")).checkpoint()
+    front = now
+    for _ in range(v.count()):
+        step = front.select("u", F.col("v").alias("m"), "d").join(links, "m").groupBy("u", F.col("to").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("d"))
+        front = step.join(now.withColumnRenamed("d", "old"), ["u", "v"], "left").where("old is null or d < old").select("u", "v", "d").checkpoint()
+        if front.isEmpty():
             break
-        now = new
+        now = now.join(front, ["u", "v"], "left_anti").unionByName(front).checkpoint()
     return now
 
 
@@ -215,13 +218,13 @@ def _cliques(around: dict[int, set[int]], r: list[int], p: set[int], x: set[int]
 
 def maximal_cliques(e: DataFrame) -> DataFrame:
     """(size, clique as text) of all maximal cliques. Each vertex is searched with its neighbours of greater degree only;
-    a task holds the edges between the neighbours of one vertex."""
+    a task holds the edges between the neighbours of one vertex, which come from the triangles of the graph."""
     d = degrees(e)
     plain = e.select("u", "v").distinct()
     own = plain.join(d, "u").join(d.select(F.col("u").alias("v"), F.col("degree").alias("dv")), "v").select("u", "v", F.when(F.struct("degree", "u") < F.struct("dv", "v"), 1).otherwise(0).alias("later"))
-    # for each vertex: its neighbours, and the edges between them
-    a, b = own.select("u", "v"), plain.select(F.col("u").alias("v"), F.col("v").alias("t"))
-    inside = a.join(b, "v").join(own.select("u", F.col("v").alias("t")), ["u", "t"]).where("v < t").select("u", F.col("v").alias("a"), F.col("t").alias("b"), F.lit(2).alias("later"))
+    # for each vertex: its neighbours, and the edges between them, which are the triangles it belongs to
+    turns = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("a"), F.col(z).alias("b")) for x, y, z in ("abc", "bac", "cab")])
+    inside = triangles(plain).select(F.explode(turns).alias("t")).select("t.*", F.lit(2).alias("later"))
     rows = own.select("u", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "later").unionByName(inside.select("u", "a", F.col("b").cast("long").alias("b"), "later"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -102,6 +102,14 @@ def test_numbers(spark):
         assert r.q == next(1 << k for k in range(20) if 1 << k >= r.id) and r.b == (r.id != 0 and r.id & (r.id - 1) == 0)
 
 
+def test_large_primes(spark):
+    # numbers that pass the strong test for the first bases, squares of primes, and ends of the range
+    ns = [2047, 1373653, 25326001, 3215031751, 999983**2, 1009 * 1013, 999_999_999_961, 2**31 - 1, 2**40 - 87, 2**40 - 200]
+    prime = lambda n: n > 1 and n % 2 > 0 and all(n % d for d in range(3, int(n**0.5) + 1, 2))
+    got = spark.createDataFrame([(n,) for n in ns], "n long").select("n", numbers.prime_from(F.col("n")).alias("p")).collect()
+    assert [r.p for r in got] == [next(m for m in range(n, n + 400) if prime(m)) for n in ns]
+
+
 def test_hops(spark):
     rng = random.Random(8)
     e = [(rng.randrange(15), rng.randrange(15), float(rng.randrange(1, 5))) for _ in range(22)]
@@ -156,3 +164,10 @@ def test_shortest(spark, weights):
     df = spark.createDataFrame([(u, v, w) for (u, v), w in weights.items()], "u long, v long, w double")
     got = {(r.u, r.v): r.d for r in graphs.shortest(df).collect()}
     assert got[0, 3] == 2.5 and got[0, 2] == 0.5 and (3, 0) not in got
+
+
+def test_shortest_from_sources_only(spark):
+    e = graphs.both_ways(spark.createDataFrame([(0, 1, 1.0), (0, 1, 0.25), (1, 2, 1.0), (0, 2, 3.0), (7, 8, 1.0)], "u long, v long, w double"))
+    some = spark.createDataFrame([(2,), (2,), (99,)], "u long")
+    assert {tuple(r) for r in graphs.shortest(e, some).collect()} == {(2, 2, 0.0), (2, 1, 1.0), (2, 0, 1.25), (99, 99, 0.0)}
+    assert graphs.shortest(e.where("u < 0")).count() == 0
