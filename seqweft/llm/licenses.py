@@ -1,7 +1,10 @@
 """License scans with DataFrame functions only: Dice coefficient over word bigrams between lines and licence templates.
 
 Every line of a text, and a text of several lines as a whole, is a unit. A unit's set of word bigrams is compared only
-with templates whose size allows the least Dice coefficient; all of it happens within the row, without a shuffle.
+with templates whose size allows the least Dice coefficient. Notices within a longer line or wrapped over lines are found by
+windows: of a text's words, line breaks or not, as many as a template has, from every place where one of its bigrams
+stands. Only templates of which the text holds enough bigrams at all are looked for. All of it happens within the row,
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -54,22 +57,65 @@ def bounds(n: int, least: float) -> tuple[int, int]:
     return math.ceil(round(least * n / (2 - least), 9)), math.floor(round((2 - least) * n / least, 9))
 
 
+def n_bigrams(text: str) -> int:
+    """Word bigrams of a template with repeats: the places of its window."""
+    import re
+
+    return max(0, len(re.sub(_BETWEEN, " ", text.lower()).split()) - 1)
+
+
+def needed(n: int, least: float) -> int:
+    """Elements of a set of n that any other set must hold to reach the coefficient."""
+    import math
+
+    return math.ceil(round(least * n / (2 - least), 9))
+
+
 def _table(templates: list[tuple[str, str]], least: float) -> Column:
     rows = []
     for name, text in templates:
         own = bigrams(text)
         low, high = bounds(len(own), least)
-        rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("own"), F.lit(len(own)).alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high")))
+        numbers = {"n": len(own), "low": low, "high": high, "places": n_bigrams(text), "need": needed(len(own), least)}
+        rows.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("own"), *[F.lit(v).alias(k) for k, v in numbers.items()]))
     return F.array(*rows)
 
 
+def _windows(least: float) -> Column:
+    """The best window of each template in the array `grams` (the text's bigrams by place), as an array of (dice, name,
+    start, end); of equal ones the first. A window's set counts repeated strange bigrams each, so its coefficient is never
+    too large. `shared` holds the bigrams of the text that any template has."""
+
+    def best(t: Column) -> Column:
+        hits = F.filter(F.sequence(F.lit(1), F.size("grams")), lambda i: F.array_contains(t["own"], F.element_at(F.col("grams"), i)))
+
+        def at(j: Column, hits: Column) -> Column:
+            start = F.element_at(hits, j)
+            own = F.filter(F.slice(hits, j, t["places"]), lambda i: i < start + t["places"])
+            distinct = F.size(F.array_distinct(F.transform(own, lambda i: F.element_at(F.col("grams"), i))))
+            dice = 2.0 * distinct / (t["places"] - F.size(own) + distinct + t["n"])
+            return F.struct(dice.alias("dice"), (-start).alias("before"))
+
+        # a window that holds enough places holds the one that is `need` - 1 places after its first
+        dense = lambda h: F.filter(F.sequence(F.lit(1), F.size(h) - t["need"] + 1), lambda j: F.element_at(h, j + t["need"] - 1) < F.element_at(h, j) + t["places"])
+        found = lambda h: F.when(F.size(h) >= t["need"], F.array_max(F.transform(dense(h), lambda j: at(j, h))))
+        top = F.element_at(F.transform(F.array(hits), found), 1)
+        return F.transform(F.array(top), lambda x: F.struct(x["dice"].alias("dice"), t["name"].alias("name"), (-x["before"]).alias("start"), (t["places"] - x["before"]).alias("end")))[0]
+
+    likely = F.filter(F.col("templates"), lambda t: F.size(F.array_intersect(t["own"], F.col("shared"))) >= t["need"])
+    return F.filter(F.transform(likely, best), lambda x: x["dice"] >= least)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, least: float = LEAST) -> DataFrame:
-    """Per row: id and matches, an array of (dice, name), the best template of every unit that reaches `least`.
+    """Per row: id and matches, an array of (dice, name): the best template of every unit that reaches `least`, and then,
+    for each name that no unit has, the best window.
 
-    Null and empty texts, and units of fewer than two words, match nothing. Of templates with equal coefficients the last
-    name counts. Repeated rows are scanned one by one; other columns are left out.
+    A template's window counts if no window of another template that overlaps it is better (by dice, then name); of one
+    template the best window is looked at, the first of equal ones. Null and empty texts, and units of fewer than two
+    words, match nothing. Of templates with equal coefficients the last name counts. Templates of fewer than two words
+    match nothing. Repeated rows are scanned one by one; other columns are left out.
     """
-    templates = TEMPLATES if templates is None else templates
+    templates = [t for t in (TEMPLATES if templates is None else templates) if n_bigrams(t[1])]
     table = _table(templates, least)
     sizes = [bounds(len(bigrams(t)), least) for _, t in templates]
     low, high = min(a for a, _ in sizes), max(b for _, b in sizes)
@@ -84,7 +130,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     dice = lambda s, t: 2.0 * F.size(F.array_intersect(s, t["own"])) / (F.size(s) + t["n"])
     best = lambda s: F.array_max(F.transform(F.filter(F.col("templates"), lambda t: (F.size(s) >= t["low"]) & (F.size(s) <= t["high"])), lambda t: F.struct(dice(s, t).alias("dice"), t["name"].alias("name"))))
     found = F.filter(F.transform("sets", best), lambda m: m.isNotNull() & (m["dice"] >= least))
-    return docs.select(F.col(id_col).alias("id"), clean.alias("clean")).select("id", sets.alias("sets"), table.alias("templates")).select(F.col("id").alias(id_col), found.alias("matches"))
+    whole = F.split(F.trim(F.regexp_replace("clean", "[ \n]+", " ")), " ")
+    grams = F.zip_with(F.slice("whole", 1, F.size("whole") - 1), F.slice("whole", 2, F.size("whole") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    known = F.array(*map(F.lit, sorted({g for _, t in templates for g in bigrams(t)})))
+    worse = lambda x: F.exists("windows", lambda y: (F.struct(y["dice"], y["name"]) > F.struct(x["dice"], x["name"])) & (y["start"] < x["end"]) & (x["start"] < y["end"]))
+    own = F.filter("windows", lambda x: ~worse(x))
+    plain = lambda x: F.struct(x["dice"].alias("dice"), x["name"].alias("name"))
+    more = F.filter(F.transform("own", plain), lambda x: ~F.exists("found", lambda y: y["name"] == x["name"]))
+    one = F.filter("more", lambda x: ~F.exists("more", lambda y: (y["name"] == x["name"]) & (y["dice"] > x["dice"])))
+    cleaned = docs.select(F.col(id_col).alias("id"), clean.alias("clean"))
+    worded = cleaned.select("id", sets.alias("sets"), whole.alias("whole"), table.alias("templates")).withColumn("grams", grams)
+    seen = worded.withColumn("shared", F.array_intersect("grams", known)).withColumns({"found": found, "windows": _windows(least)})
+    return seen.withColumn("own", own).withColumn("more", more).select(F.col("id").alias(id_col), F.concat("found", F.array_distinct(one)).alias("matches"))
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
@@ -113,7 +170,22 @@ dice AS (
   SELECT doc_id, k, name, 2.0 * len(list_intersect(s, own)) / (len(s) + len(own)) AS dice
   FROM sets, templates WHERE len(s) >= ceil(round({LEAST} * len(own) / {2 - LEAST}, 9)) AND len(s) <= floor(round({2 - LEAST} * len(own) / {LEAST}, 9)) AND len(s) > 0),
 best AS (SELECT doc_id, k, max({{'dice': dice, 'name': name}}) AS m FROM dice WHERE dice >= {LEAST} GROUP BY doc_id, k),
-found AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(list(m.name))) AS names, max(m) AS top FROM best GROUP BY doc_id)
+wholes AS (SELECT doc_id, string_split(trim(regexp_replace(c, '[ \\n]+', ' ', 'g')), ' ') AS w FROM cleaned),
+grams AS (SELECT doc_id, unnest(range(1, len(w))) AS p, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM wholes),
+known AS (SELECT row_number() OVER () AS t, name, len(own) AS n, len(string_split(trim({clean('body')}), ' ')) - 1 AS places, own FROM (SELECT name, body, {sets('w')} AS own FROM (SELECT name, body, string_split(trim({clean('body')}), ' ') AS w FROM raw_templates))),
+hits AS (SELECT doc_id, t, n, places, p, g FROM grams JOIN (SELECT t, n, places, unnest(own) AS g FROM known) USING (g)),
+spans AS (
+  SELECT a.doc_id, a.t, a.p, 2.0 * count(DISTINCT b.g) / (a.places - count(*) + count(DISTINCT b.g) + a.n) AS dice
+  FROM hits a JOIN hits b ON a.doc_id = b.doc_id AND a.t = b.t AND b.p >= a.p AND b.p < a.p + a.places GROUP BY a.doc_id, a.t, a.p, a.places, a.n),
+windows AS (SELECT doc_id, t, max(dice) AS dice, arg_max(p, {{'dice': dice, 'before': -p}}) AS p FROM spans WHERE dice >= {LEAST} GROUP BY doc_id, t),
+placed AS (SELECT doc_id, t, name, dice, p, p + places AS e FROM windows JOIN known USING (t)),
+inside AS (
+  SELECT doc_id, name, max(dice) AS dice FROM placed x
+  WHERE NOT EXISTS (SELECT 1 FROM placed y WHERE y.doc_id = x.doc_id AND (y.dice > x.dice OR (y.dice = x.dice AND y.name > x.name)) AND y.p < x.e AND x.p < y.e)
+    AND NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = x.doc_id AND b.m.name = x.name)
+  GROUP BY doc_id, name),
+merged AS (SELECT doc_id, m FROM best UNION ALL SELECT doc_id, {{'dice': dice, 'name': name}} FROM inside),
+found AS (SELECT doc_id, count(*) AS n, list_sort(list_distinct(list(m.name))) AS names, max(m) AS top FROM merged GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(array_to_string(names, ','), '') AS licenses, top.name AS best, round(top.dice::DOUBLE, 6) AS best_dice
 FROM documents d LEFT JOIN found USING (doc_id)
 """

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import re
 import struct
 import zlib
 
@@ -502,11 +503,55 @@ def test_licenses(spark, tmp_path):
             both = [(2 * len(set(own) & set(licenses.bigrams(x))) / (len(own) + len(licenses.bigrams(x))), n) for n, x in licenses.TEMPLATES]
             if own and max(both)[0] >= licenses.LEAST:
                 found.append(max(both))
+        found += [(dice, n) for n, dice in windows_by_force(t).items() if n not in {x for _, x in found}]
         assert got[i].n_matches == len(found)
         assert (got[i].best, got[i].best_dice) == ((max(found)[1], pytest.approx(max(found)[0], abs=1e-6)) if found else (None, None))
     assert sum(r.n_matches > 0 for r in got.values()) >= 3
 
 
+def windows_by_force(text):
+    """The best window of each template, none that a better one overlaps, by looking at every place."""
+    words = re.sub(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ", "".join(c.lower() if c.isascii() else c for c in text)).split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    tops = []
+    for name, body in licenses.TEMPLATES:
+        own, places = set(licenses.bigrams(body)), licenses.n_bigrams(body)
+        best = None
+        for p in range(len(grams)):
+            hits = [g for g in grams[p : p + places] if g in own]
+            dice = 2 * len(set(hits)) / (places - len(hits) + len(set(hits)) + len(own))
+            if grams[p] in own and dice >= licenses.LEAST and (best is None or dice > best[0]):
+                best = (dice, name, p, p + places)
+        tops += [best] if best else []
+    return {n: d for d, n, *_ in sorted(x for x in tops if not any(y[:2] > x[:2] and y[2] < x[3] and x[2] < y[3] for y in tops))}
+
+
+def test_licences_within_texts(spark):
+    import textwrap
+
+    rng = random.Random(4)
+    mit, apache, bsd = (licenses.TEMPLATES[k][1] for k in (15, 1, 2))
+    wrapped = "\n".join(" * " + x for x in textwrap.wrap(mit, 72)) + "\n" + "\n".join(prose(rng, 9) for _ in range(60))
+    header = "\n".join("# " + x for x in textwrap.wrap(apache, 60))
+    inline = prose(rng, 50) + " " + licenses.TEMPLATES[14][1] + " " + prose(rng, 50)
+    edited = prose(rng, 40) + " " + mit.replace("copies of", "some copies of").replace("substantial", "large") + " " + prose(rng, 40)
+    two = prose(rng, 20) + " " + licenses.TEMPLATES[9][1] + " " + prose(rng, 20) + " " + bsd + "\n" + prose(rng, 20)
+    nothing = prose(rng, 30) + " under the license of the copies or the software and this permission notice " + prose(rng, 30)
+    rows = [wrapped, header + "\n\n" + prose(rng, 80) + "\n" + prose(rng, 40), inline, edited, two, nothing, inline, inline + " " + inline, (prose(rng, 3000) + " of the software or the use ") * 8 + apache, mit[: len(mit) // 4] + prose(rng, 60), None, "", "one"]
+    got = {r.doc_id: r.matches for r in licenses.scan(docs(spark, rows)).collect()}
+    want = {0: "MIT", 1: "Apache-2.0", 2: "MIT", 3: "MIT", 6: "MIT", 7: "MIT", 8: "Apache-2.0"}
+    for i, t in enumerate(rows):
+        if i == 1:  # the first line alone is a notice already
+            assert [m.name for m in got[i]] == ["Apache-2.0"]
+            continue
+        assert {m.name: m.dice for m in got[i]} == pytest.approx(windows_by_force(t or ""))
+        if i in want:
+            assert {m.name for m in got[i]} == {want[i]}
+    assert {m.name for m in got[4]} == {"GPL-2.0", "BSD-2-Clause"} and not got[5] and not got[9]
+    assert licenses.scan(docs(spark, rows).where("doc_id < 0")).count() == 0
+    assert [len(r.matches) for r in licenses.scan(docs(spark, rows), templates=[("short", "one"), ("pair", "one two")]).collect()] == [0] * len(rows)
+
+
 def test_bpe(spark, tmp_path):
     from tokenizers import Tokenizer
 
