@@ -112,3 +112,28 @@ def test_folded_newick(spark):
     assert got[3].count("(") == 3 and got[3].endswith(")3:0.0;")
     alone = trees.folded(spark.createDataFrame([], "u long, v long, w double"), root).collect()
     assert {r.source: r.newick for r in alone} == {0: "0:0.0;", 3: "3:0.0;"}
+
+
+def test_diameters_search_from_few_vertices_where_many_lie_on_the_fringe(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = sorted({(s, 100 + p) for p in range(300) for s in rng.sample(range(20), 4)})
+    searched = []
+    for name in ("hops", "eccentricities"):
+        monkeypatch.setattr(graphs, name, lambda e, sources, *more, of=getattr(graphs, name): (searched.append(sources.count()), of(e, sources, *more))[1])
+    assert graphs.diameter(_graph(spark, edges)).first()[0] == max(_want(edges).values())
+    assert sum(searched) <= 4 + 20
+
+
+def test_eccentricities(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "_PASS", 1100)
+    rng = random.Random(8)
+    edges = [(rng.randrange(i), i) for i in range(1, 90)] + [(1000 + i, 1001 + i) for i in range(3)]
+    away = [(5000 + i, 5001 + i) for i in range(0, 4000, 2)]  # more sources than a pass and a row hold
+    links = _graph(spark, edges + away).select("u", "v")
+    sources = [7, 50, 61, 1001, *(a for a, _ in away)]
+    got = {r.u: r.far for r in graphs.eccentricities(links, spark.createDataFrame([(u,) for u in sources], "u long")).collect()}
+    want = {}
+    for s, to in _all_hops(edges + away).items():
+        own = [to[x] for x in sources if x in to]
+        want |= {s: max(own)} if own else {}
+    assert got == want
