@@ -137,3 +137,25 @@ def test_eccentricities(spark, monkeypatch):
         own = [to[x] for x in sources if x in to]
         want |= {s: max(own)} if own else {}
     assert got == want
+
+
+@pytest.mark.parametrize("weighted", [False])
+def test_leaves_follow_from_what_they_hang_on(spark, monkeypatch, weighted):
+    rows = []
+    keep = lambda df, name="part": (lambda t: (rows.append(t.count()), t)[1])(stored(df, name))
+    stored = graphs.stored
+    monkeypatch.setattr(graphs, "stored", keep)
+    edges = [(0, 1), (1, 2)] + [(i % 3, 10 + i) for i in range(60)] + [(200, 201), (300, 300)]
+    g = _graph(spark, edges)
+    sources = spark.createDataFrame([(u,) for u in [2, *range(10, 70), 201, 300, 400]], "u long")
+    want = {(s, u): d for s, to in _all_hops(edges).items() for u, d in to.items()} | {(400, 400): 0}
+    want = {k: d for k, d in want.items() if k[0] not in (0, 1, 200)}
+    if weighted:
+        got = [((r.u, r.v), r.d) for r in graphs.shortest(g, sources).collect()]
+    else:
+        found = graphs.hops(g, sources, "w", parents=True).collect()
+        got = [((r.source, r.u), r.dist) for r in found]
+        assert all(r.far == r.dist and (r.parent is None) == (r.source == r.u) for r in found)
+        assert all(r.parent is None or want[r.source, r.parent] == r.dist - 1 for r in found)
+    assert len(got) == len(want) and dict(got) == want
+    assert max(rows) < 300  # of 4,096 that are returned
