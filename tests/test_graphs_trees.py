@@ -139,7 +139,7 @@ def test_eccentricities(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("weighted", [False])
+@pytest.mark.parametrize("weighted", [False, True])
 def test_leaves_follow_from_what_they_hang_on(spark, monkeypatch, weighted):
     rows = []
     keep = lambda df, name="part": (lambda t: (rows.append(t.count()), t)[1])(stored(df, name))
