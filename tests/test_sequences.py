@@ -143,3 +143,22 @@ def test_more_event_types_than_letters(spark, tmp_path):
     rows = [(u * 40 + i, start + datetime.timedelta(seconds=i), u, f"t{(i * 7 + u) % 40:02d}") for u in range(8) for i in range(40)]
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
     assert _event_edges(spark, str(tmp_path), 3).agg({"coverage": "sum"}).first()[0] == 8 * 38
+
+
+def test_vector_distances_by_packed_rows(spark):
+    import math
+
+    from seqweft.functions import vectors
+
+    rows = [(i, [math.sin(i * (k + 1)) for k in range(5)]) for i in range(0, 60)]
+    rows += [(100, [0.0] * 5), (101, None), (102, [1.0, None, 0.0, 0.0, 0.0]), (150, [1.0, 2.0]), (None, [1.0] * 5), (103, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    plain = df.alias("q").crossJoin(df.alias("v")).where("q.vec_id % 50 = 0 and q.vec_id <> v.vec_id")
+    want = plain.selectExpr("q.vec_id", "v.vec_id", "q.embedding", "v.embedding").toDF("q", "v", "x", "y")
+    from pyspark.sql import functions as F
+
+    want = want.select("q", "v", F.round(vectors.cosine_distance(F.col("x"), F.col("y")), 6), F.round(vectors.euclidean_distance(F.col("x"), F.col("y")), 6))
+    found = vectors.to_queries(df, block=7)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    # a pair of vectors is no row before it is one of the result
+    assert "explode" not in found._jdf.queryExecution().toString().lower()
