@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,23 @@ def test_suffix_dedup(spark, tmp_path):
     assert suffix_dedup.dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_suffix_dedup_sorts_only_what_may_match(monkeypatch):
+    """Contexts that share 250 or 384 bytes have no string of 400 in common and aren't sorted; those that share 420 are."""
+    rng = np.random.default_rng(3)
+
+    def shard(shared):
+        core = bytes(rng.integers(97, 122, shared, dtype=np.uint8))
+        made = [bytes([65 + i]) * 40 + core + bytes([65 + i]) * (528 - shared) for i in range(5)]
+        names = pa.array(range(5), pa.int64())
+        return pa.RecordBatch.from_arrays([names, names, pa.array([100] * 5, pa.int32()), pa.array(made, pa.binary())], ["c1", "c2", "back", "context"])
+
+    sizes, plain = [], induced.suffixes
+    monkeypatch.setattr(induced, "suffixes", lambda text, *more: sizes.append(len(text)) or plain(text, *more))
+    assert [list(suffix_dedup.repeated_starts(iter([shard(n)]))) for n in (250, 384)] == [[], []] and sizes == []
+    (out,) = suffix_dedup.repeated_starts(iter([shard(420)]))
+    assert out.column("runs").to_pylist() == [[40, 61]] * 5 and sizes[0] < 5 * 450
+
+
 def test_decontaminate(spark, tmp_path):
     rng = random.Random(4)
     items = [prose(rng, n) for n in (1, 2, 12, 13, 14, 40)] + [None, "", "..."]
