@@ -481,6 +481,25 @@ def test_secrets(spark, tmp_path):
     assert all(r.n_chars == len(r.text) for r in masked.values() if r.text is not None)
 
 
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    """Every different window of a text is learnt or calibrates, however many there are; several learners share them, and
+    the result doesn't depend on how rows lie."""
+    rng = random.Random(4)
+    text = lambda i: " ".join(f'{prose(rng, 3)} token = "{rng.getrandbits(160):040x}" {prose(rng, 3)} abcdefghij {i + 10**9}' for _ in range(10))
+    rows = [text(i) for i in range(60)]
+    assert len(secrets.examples(rows[0], secrets.base_spans(rows[0]))) > 10
+    found = secrets.candidates(docs(spark, rows), "doc_id", "text")
+    seen, plain, scored = [], secrets.trained, secrets.calibrated
+    monkeypatch.setattr(secrets, "LEARNER", 400)
+    monkeypatch.setattr(secrets, "trained", lambda known, sizes: seen.append(sum(sizes.values())) or plain(known, sizes))
+    monkeypatch.setattr(secrets, "calibrated", lambda net, held, recall: seen.append(held.count()) or scored(net, held, recall))
+    one = secrets.fit(found)
+    total = len({(w, y) for t in rows for w, y in secrets.examples(t, secrets.base_spans(t))})
+    assert sum(seen) == total > 2 * 400 and 0 < one.threshold < 1
+    other = secrets.fit(found.repartition(7))
+    assert all((a == b).all() for a, b in zip(one[:6], other[:6], strict=True)) and abs(one.threshold - other.threshold) < 1e-6
+
+
 def test_network_finds_secrets_without_a_name(spark):
     """Tokens that no pattern tells, among numbers, names and addresses; the network learns from other texts' findings."""
     import random
