@@ -18,6 +18,8 @@ from seqweft.operators.order import in_ranges, numbered, starts
 
 #: Bytes of a stretch that is cut from a long sequence at once.
 STRETCH = 64
+#: Places, and different contexts, that a task counts at once; what follows a sequence's last symbol.
+COUNTED, _END = 1 << 18, ord("$")
 
 
 def sequences(df: DataFrame, colour: str, text: str, alphabet: str = "ACGT") -> DataFrame:
@@ -48,9 +50,87 @@ def _within(part: DataFrame, k: int) -> DataFrame:
     return place.select("color", F.substr("s", F.col("p"), F.lit(k)).cast("string").alias("kmer"), F.when(follows == "", "$").otherwise(follows).alias("W"))
 
 
+def _blocks(data: np.ndarray, off: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(k symbols as a number of 8 bits each, the symbol after them) of each full context of the sequences that lie in data
+    one after the other, COUNTED places at a time. `$` follows a sequence's last symbol."""
+    ends, inside = off[1:], np.ones(len(data), bool)
+    for back in range(1, k):
+        at = ends - back
+        inside[at[at >= off[:-1]]] = False
+    final = np.zeros(len(data), bool)
+    final[(ends - k)[ends - off[:-1] >= k]] = True
+    for a in range(0, len(data), COUNTED):
+        here = a + np.flatnonzero(inside[a : a + COUNTED])
+        if not len(here):
+            continue
+        code = np.zeros(len(here), np.uint64)
+        for i in range(k):
+            code = code << np.uint64(8) | data[here + i]
+        yield code, np.where(final[here], np.uint8(_END), data[np.minimum(here + k, len(data) - 1)])
+
+
+def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    code, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    return code[first], np.add.reduceat(n, first)
+
+
+def counted_windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(color, kmer, W, n): how often each full context of the batches' sequences (color, seq) occurs, k <= 8; one row for
+    each while a task's different ones are fewer than COUNTED, else several that add up."""
+    held: dict[tuple, list[list[np.ndarray]]] = {}
+    size = 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for (color, w), (codes, counts) in held.items():
+            code, n = codes[0], counts[0]
+            raw = np.ascontiguousarray(code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - k :])
+            at = np.arange(len(code) + 1, dtype=np.int32) * np.int32(k)
+            kmer = pa.Array.from_buffers(pa.string(), len(code), [None, pa.py_buffer(at), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.repeat(color, len(code)), kmer, pa.repeat(pa.scalar(chr(w)), len(code)), pa.array(n)], ["color", "kmer", "W", "n"])
+
+    def merge() -> int:
+        for pair in held.values():
+            if len(pair[0]) > 1:
+                pair[:] = [[x] for x in _merged(*pair)]
+        return sum(len(codes[0]) for codes, _ in held.values())
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        colours = batch.column("color").dictionary_encode("encode")
+        own = colours.indices.to_numpy()
+        for c, color in enumerate(colours.dictionary):
+            seq = batch.column("seq").filter(pa.array(own == c)).cast(pa.large_binary())
+            _, offsets, raw = seq.buffers()
+            off = np.frombuffer(offsets, np.int64)[seq.offset : seq.offset + len(seq) + 1]
+            data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.zeros(0, np.uint8)
+            for code, follows in _blocks(data, off - off[0], k):
+                for w in np.flatnonzero(np.bincount(follows, minlength=256)).tolist():
+                    found, n = np.unique(code[follows == w], return_counts=True)
+                    pair = held.setdefault((color, w), [[], []])
+                    pair[0].append(found)
+                    pair[1].append(n.astype(np.int64))
+                    size += len(found)
+                if size >= 4 * COUNTED:
+                    size = merge()
+                    if size >= COUNTED:
+                        yield from rows()
+                        held, size = {}, 0
+    merge()
+    yield from rows()
+
+
 def edges(seqs: DataFrame, k: int, wide: bool = False) -> DataFrame:
-    """(color, kmer, W, coverage): distinct edges with how often each occurs; partial counts before the shuffle."""
-    return contexts(seqs, k, wide).groupBy("color", "kmer", "W").agg(F.count("*").alias("coverage"))
+    """(color, kmer, W, coverage): distinct edges with how often each occurs; partial counts before the shuffle. Contexts of
+    up to 8 bytes are counted as numbers, so no row is made of an occurrence."""
+    if wide or not 1 <= k <= 8:
+        return contexts(seqs, k, wide).groupBy("color", "kmer", "W").agg(F.count("*").alias("coverage"))
+    whole = seqs.where(F.octet_length("seq") >= k).select("color", "seq")
+    parts = whole.mapInArrow(lambda batches: counted_windows(batches, k), f"color {whole.schema['color'].dataType.simpleString()}, kmer string, W string, n long")
+    return parts.groupBy("color", "kmer", "W").agg(F.sum("n").alias("coverage"))
 
 
 def contexts_with_short(seqs: DataFrame, k: int) -> DataFrame:
