@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -288,53 +289,86 @@ def shortest(e: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     return inner.unionByName(outer).unionByName(own)
 
 
-def triangles(e: DataFrame) -> DataFrame:
-    """(a, b, c) with a < b < c, all joined: edges point from the lesser degree to the greater, which bounds the lists."""
+def _closed(e: DataFrame) -> DataFrame:
+    """(u, v, t, dv, dt) of every triangle: u has the least degree (of equal ones the least number), v < t, and dv and dt
+    are their degrees. Edges point from the lesser degree to the greater, which bounds the lists."""
     d = degrees(e)
     one = e.where("u < v").select("u", "v").distinct().join(d, "u").withColumnRenamed("degree", "du").join(d.select(F.col("u").alias("v"), F.col("degree").alias("dv")), "v")
-    up = one.select(F.when(F.struct("du", "u") < F.struct("dv", "v"), F.struct("u", "v")).otherwise(F.struct(F.col("v").alias("u"), F.col("u").alias("v"))).alias("x")).select("x.u", "x.v")
-    two = up.join(up.select("u", F.col("v").alias("t")), "u").where("v < t")
-    closed = two.join(one.select(F.col("u").alias("v"), F.col("v").alias("t")), ["v", "t"])
+    ahead, back = F.struct("u", "v", "dv"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("du").alias("dv"))
+    up = one.select(F.when(F.struct("du", "u") < F.struct("dv", "v"), ahead).otherwise(back).alias("x")).select("x.*")
+    two = up.join(up.select("u", F.col("v").alias("t"), F.col("dv").alias("dt")), "u").where("v < t")
+    return two.join(one.select(F.col("u").alias("v"), F.col("v").alias("t")), ["v", "t"])
+
+
+def triangles(e: DataFrame) -> DataFrame:
+    """(a, b, c) with a < b < c, all joined."""
     t = F.array_sort(F.array("u", "v", "t"))
-    return closed.select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
+    return _closed(stored(e.select("u", "v"), "graph")).select(t[0].alias("a"), t[1].alias("b"), t[2].alias("c"))
 
 
-def _cliques(around: dict[int, set[int]], r: list[int], p: set[int], x: set[int]) -> Iterator[list[int]]:
-    """Bron-Kerbosch with a pivot, within one vertex's later neighbours."""
+def _bits(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+def _cliques(near: list[int], r: list[int], p: int, x: int) -> Iterator[list[int]]:
+    """Bron-Kerbosch with a pivot, within one vertex's later neighbours. Sets are bits by place; near[v] has the places that
+    v is joined with, of a place that is in x from the start only those that are in p."""
     if not p:
         if not x:
             yield r
         return
-    pivot = max(p | x, key=lambda v: len(p & around.get(v, set())))
-    for v in sorted(p - around.get(pivot, set())):
-        own = around.get(v, set())
-        yield from _cliques(around, [*r, v], p & own, x & own)
-        p = p - {v}
-        x = x | {v}
+    pivot = max((near[v] & p for v in _bits(p | x)), key=int.bit_count)
+    for v in _bits(p & ~pivot):
+        yield from _cliques(near, [*r, v], p & near[v], x & near[v])
+        p ^= 1 << v
+        x |= 1 << v
+
+
+def _cliques_of(u: int, later: np.ndarray, before: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """The maximal cliques of u and later neighbours; (a, b) are the edges between neighbours of which one at least is later."""
+    later = np.unique(later)
+    before = np.setdiff1d(np.unique(before), later)
+    if len(later):  # others can't stand against a clique
+        before = before[np.isin(before, np.concatenate([a, b]))]
+    names = np.concatenate([later, before])
+    order = np.argsort(names)
+    at = lambda x: order[np.searchsorted(names, x, sorter=order)]
+    i, j = at(np.concatenate([a, b])), at(np.concatenate([b, a]))
+    own = np.lexsort((j, i))
+    i, j = i[own], j[own]
+    cut, near = np.searchsorted(i, np.arange(len(names) + 1)).tolist(), []
+    for v in range(len(names)):
+        row = np.zeros(len(names), bool)
+        row[j[cut[v] : cut[v + 1]]] = True
+        near.append(int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"))
+    p = (1 << len(later)) - 1
+    return [sorted([u, *names[r].tolist()]) for r in _cliques(near, [], p, (1 << len(names)) - 1 ^ p)]
 
 
 def maximal_cliques(e: DataFrame) -> DataFrame:
     """(size, clique as text) of all maximal cliques. Each vertex is searched with its neighbours of greater degree only;
-    a task holds the edges between the neighbours of one vertex, which come from the triangles of the graph."""
+    a task holds the edges between these, and from them to the others, which come from the triangles of the graph."""
+    e = stored(e.select("u", "v"), "graph")  # it is read several times
     d = degrees(e)
-    plain = e.select("u", "v").distinct()
+    plain = e.distinct()
     own = plain.join(d, "u").join(d.select(F.col("u").alias("v"), F.col("degree").alias("dv")), "v").select("u", "v", F.when(F.struct("degree", "u") < F.struct("dv", "v"), 1).otherwise(0).alias("later"))
-    # for each vertex: its neighbours, and the edges between them, which are the triangles it belongs to
-    turns = F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("a"), F.col(z).alias("b")) for x, y, z in ("abc", "bac", "cab")])
-    inside = triangles(plain).select(F.explode(turns).alias("t")).select("t.*", F.lit(2).alias("later"))
+    # a triangle's edge is needed where one of its ends is later: at the first and the second of its vertices
+    of = lambda x, y, z: F.struct(F.col(x).alias("u"), F.col(y).alias("a"), F.col(z).alias("b"))
+    second = F.when(F.struct("dv", "v") < F.struct("dt", "t"), of("v", "u", "t")).otherwise(of("t", "u", "v"))
+    inside = _closed(plain).select(F.explode(F.array(of("u", "v", "t"), second)).alias("t")).select("t.*", F.lit(2).alias("later"))
     rows = own.select("u", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "later").unionByName(inside.select("u", "a", F.col("b").cast("long").alias("b"), "later"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        u = int(pdf["u"].iloc[0])
-        around: dict[int, set[int]] = {}
-        for x, y in pdf.loc[pdf["later"] == 2, ["a", "b"]].itertuples(index=False):
-            around.setdefault(int(x), set()).add(int(y))
-            around.setdefault(int(y), set()).add(int(x))
-        p, x = ({int(v) for v in pdf.loc[pdf["later"] == k, "a"]} for k in (1, 0))
-        found = [sorted(c) for c in _cliques(around, [u], p, x)]
-        return pd.DataFrame({"size": [len(c) for c in found], "clique": pd.Series([",".join(map(str, c)) for c in found], dtype=object)}, columns=["size", "clique"])
-
-    return rows.groupBy("u").applyInPandas(search, "size int, clique string")
+    def search(table: pa.Table) -> pa.Table:
+        kind, a = table["later"].to_numpy(), table["a"].to_numpy()
+        edge = kind == 2
+        b = table["b"].fill_null(0).to_numpy()[edge]
+        found = _cliques_of(table["u"][0].as_py(), a[kind == 1], a[kind == 0], a[edge], b)
+        return pa.table({"size": pa.array([len(c) for c in found], pa.int32()), "clique": pa.array([",".join(map(str, c)) for c in found], pa.string())})
+
+    return rows.groupBy("u").applyInArrow(search, "size int, clique string")
 
 
 def nearest_leaf(e: DataFrame) -> DataFrame:

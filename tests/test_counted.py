@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqweft.operators import edges
+from seqweft.operators import edges, graphs
 
 
 @pytest.mark.parametrize("k", [1, 3, 8])
@@ -28,3 +29,31 @@ def test_windows_counted_within_tasks_equal_counted_rows(spark, k, monkeypatch):
     df = spark.createDataFrame(rows, "color string, seq string")
     plain = edges.contexts(df, k).groupBy("color", "kmer", "W").agg(F.count("*").alias("coverage"))
     assert sorted(map(str, edges.edges(df, k).collect())) == sorted(map(str, plain.collect()))
+
+
+def _plain_cliques(near: dict[int, set[int]]) -> list[str]:
+    found, open_ = set(), [frozenset([v]) for v in near]
+    while open_:
+        c = open_.pop()
+        more = set.intersection(*(near[v] for v in c)) - c
+        if not more:
+            found.add(",".join(map(str, sorted(c))))
+        open_ += {c | {v} for v in more if v > max(c)}
+    return sorted(found)
+
+
+def test_cliques_by_bits_equal_plain_ones(spark):
+    rng = np.random.default_rng(5)
+    pairs = {(int(min(a, b)) * 7, int(max(a, b)) * 7) for a, b in rng.integers(0, 24, (150, 2)) if a != b} | {(1000, 1001)}
+    near: dict[int, set[int]] = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    got = graphs.maximal_cliques(graphs.both_ways(spark.createDataFrame(sorted(pairs), "u long, v long"))).collect()
+    assert sorted(r.clique for r in got) == _plain_cliques(near)
+    # a vertex without later neighbours has a clique only if none came before
+    none = np.zeros(0, np.int64)
+    assert graphs._cliques_of(5, none, none, none, none) == [[5]]
+    assert graphs._cliques_of(5, none, np.array([1]), none, none) == []
+    # an earlier neighbour that is joined with a later one stands against its clique alone
+    assert graphs._cliques_of(5, np.array([7, 9]), np.array([3, 4]), np.array([3]), np.array([7])) == [[5, 9]]
