@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seqweft.operators import edges, graphs
+from seqweft.operators import contexts, edges, graphs
 
 
 @pytest.mark.parametrize("k", [1, 3, 8])
@@ -57,3 +59,30 @@ def test_cliques_by_bits_equal_plain_ones(spark):
     assert graphs._cliques_of(5, none, np.array([1]), none, none) == []
     # an earlier neighbour that is joined with a later one stands against its clique alone
     assert graphs._cliques_of(5, np.array([7, 9]), np.array([3, 4]), np.array([3]), np.array([7])) == [[5, 9]]
+
+
+def _plain_order(rows: list[tuple[str, int, str]]) -> list[tuple]:
+    every = sorted((s[:e][::-1], c, i, e, s[e : e + 1] or "$") for c, i, s in rows for e in range(len(s) + 1))
+    out = []
+    for rank, (r, c, _, e, w) in enumerate(every):
+        last = every[rank - 1][0] if rank else ""
+        out.append((rank, w, len(os.path.commonprefix([r, last])), e + 1, c))
+    return out
+
+
+def test_contexts_that_share_little_are_ranked_once(spark, monkeypatch):
+    calls = []
+    ranked = contexts._ranked
+    monkeypatch.setattr(contexts, "_ranked", lambda rows, keys, rank: (calls.append(rank), ranked(rows, keys, rank))[1])
+    rng = np.random.default_rng(3)
+    text = lambda n: "".join(rng.choice(list("ACGT"), n))
+    some = text(20)
+    rows = [("x", 1, text(40) + some + text(30)), ("y", 2, text(25) + some + text(9)), ("x", 3, "")]
+    df = lambda rows: spark.createDataFrame([(c, i, s) for c, i, s in rows], "color string, i int, seq string")
+    assert sorted(map(tuple, contexts.context_order(df(rows), ["i"]).collect())) == _plain_order(rows)
+    assert calls == ["first"]
+    # copies, parts of copies behind other symbols, and long repeats within a sequence
+    long = text(150)
+    rows += [("x", 4, long), ("y", 5, long), ("y", 6, text(3) + long[10:] + "A"), ("x", 7, "AC" * 60), ("y", 8, "C" + "AC" * 50), ("x", 9, long[:90] + text(40))]
+    assert sorted(map(tuple, contexts.context_order(df(rows), ["i"]).collect())) == _plain_order(rows)
+    assert len(calls) > 3
