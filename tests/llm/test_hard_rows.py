@@ -105,3 +105,13 @@ def test_nearest_examples_are_those_of_all(spark):
         want = np.sort((dense @ dense[q])[(dense @ dense[q]) > 0])[::-1][:15]
         assert np.allclose([s for s, _ in got], want)
         assert all(np.isclose(dense[index.ids[i]] @ dense[q], s) for s, i in got)
+
+
+def test_texts_with_too_few_bigrams_of_any_notice_are_done_early(spark):
+    from seqweft.llm import licenses
+
+    texts = ["All rights reserved.", "ALL RIGHTS RESERVED É", "rights of all reserved", "Licensed under the\nMIT License.", "über İ LICENSED UNDER CC BY 4.0.", "", None, "plain words of a text\nand a line"]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    got = {r.doc_id: [m.name for m in r.matches] for r in found.collect()}
+    assert got == {0: ["proprietary"], 1: ["proprietary"], 2: [], 3: ["MIT"], 4: ["CC-BY-4.0"], 5: [], 6: [], 7: []}
+    assert "likely" in found._jdf.queryExecution().analyzed().toString()
