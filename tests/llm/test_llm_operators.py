@@ -334,6 +334,56 @@ def test_webp_wide_and_broken():
         webp.decode([file[:20] + b"\0" * 30])
 
 
+def kinds(file):
+    """Transforms of a stream, and whether its image has back-references, as the plain decoder meets them."""
+    found, plain = set(), webp._number
+
+    def number(bits, code):
+        found.add("reference")
+        return plain(bits, code)
+
+    def stop(*_):
+        return [None]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(webp, "_number", number)
+        patch.setattr(webp, "_walk", stop)
+        for name in ("add_prediction", "add_colour"):
+            patch.setattr(webp, name, lambda *a, own=getattr(webp, name), name=name: found.add(name) or own(*a))
+        w, h, argb = webp.decode_one(webp.chunk(file))
+    return found, webp.samples(argb).tobytes()
+
+
+def test_webp_encoder_uses_the_format():
+    rng = np.random.default_rng(5)
+    noise = rng.integers(0, 256, 64 * 40).astype(np.uint8)
+    y, x = np.divmod(np.arange(16 * 2000), 16)
+    wave = np.stack([120 + 60 * np.sin(y / 90 + k) + 3 * x for k in range(4)], 1) + rng.integers(0, 3, (len(x), 4))
+    base = rng.integers(-90, 90, len(x))
+    mixed = np.stack([base * 3 // 4 + rng.integers(0, 3, len(x)), base, base // 2 + rng.integers(0, 3, len(x)), 0 * base], 1)
+    few = rng.integers(0, 256, (6, 4)).astype(np.uint8)[rng.integers(0, 6, 3200)].reshape(-1)
+    many = rng.integers(0, 256, (200, 4)).astype(np.uint8)[rng.integers(0, 200, 16 * 500)].reshape(-1)
+    grey = np.stack([rng.integers(0, 256, len(x))] * 3 + [rng.integers(0, 256, len(x))], 1).reshape(-1)
+    payloads = [np.concatenate([noise, noise]), wave.astype(np.uint8).reshape(-1), mixed.astype(np.uint8).reshape(-1), few, many, grey.astype(np.uint8), np.zeros(64, np.uint8)]
+    payloads += [np.frombuffer((" ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"], n)).encode() * 40)[: 64 * n], np.uint8) for n in (20, 100, 1000)]
+    files = webp.encode(payloads)
+    used = []
+    for p, f, (w, h, argb) in zip(payloads, files, webp.decode(files), strict=True):
+        found, plain = kinds(f)
+        used.append(found)
+        assert webp.samples(argb).tobytes() == plain and plain[: len(p)] == p.tobytes()
+        assert webp.encode([p]) == [f]
+    assert "reference" in used[0] and len(files[0]) < len(noise) * 1.6
+    assert "add_prediction" in used[1] and len(files[1]) < len(payloads[1]) / 2
+    assert "add_colour" in used[2] and len(files[2]) < len(payloads[2]) / 2
+    assert len(files[3]) < 3200 * 3 / 8 + 200 and len(files[4]) < len(payloads[4]) / 3
+    bits = webp.Bits(webp.chunk(files[3]))
+    assert [bits.read(n) for n in (8, 14, 14, 4, 1, 2, 8)][4:] == [1, 3, 5]  # a palette of six colours
+    assert all("reference" in u for u in used[-3:])
+    bits = webp.Bits(webp.chunk(files[5]))
+    assert "add_colour" not in used[5] and [bits.read(n) for n in (8, 14, 14, 4, 1, 2)][4:] == [1, 2]  # subtract green
+
+
 def test_jaccard(spark, tmp_path):
     rows = texts()
     got = on_tables(spark, tmp_path, jaccard.op5_jaccard, documents=docs(spark, rows))
