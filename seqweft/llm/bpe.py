@@ -20,7 +20,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqweft.llm._arrow import id_and_text, slices, strings
+from seqweft.llm._arrow import give_back, id_and_text, slices, strings
 
 #: Words whose ids a task keeps.
 KEPT_WORDS = 400_000
@@ -45,8 +45,6 @@ class WordBPE:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        self.tokens = {i: s for s, i in (self.vocab | self.special).items()}
-        self.decoded = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         for rank, merge in enumerate(model["merges"]):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
@@ -144,18 +142,28 @@ class WordBPE:
         get = self.kept.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
+
+class Tokens:
+    """What decoding needs of a tokenizer file: the tokens alone."""
+
+    def __init__(self, spec: str):
+        j = json.loads(spec)
+        known = {i: s for s, i in (j["model"]["vocab"] | {t["content"]: t["id"] for t in j["added_tokens"]}).items()}
+        self.decoded = [known.get(i, "").encode() for i in range(max(known) + 1)]
+
     def decode(self, ids: bytes) -> bytes:
         """A file without a decoder joins the tokens with spaces."""
         return b" ".join(map(self.decoded.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[str, WordBPE] = {}
+_LOADED: dict[tuple[type, str], WordBPE | Tokens] = {}
 
 
-def _load(spec: str) -> WordBPE:
-    key = hashlib.sha256(spec.encode()).hexdigest()
+def _load(spec: str, kind: type = WordBPE):
+    key = kind, hashlib.sha256(spec.encode()).hexdigest()
     if key not in _LOADED:
-        _LOADED[key] = WordBPE(spec)
+        _LOADED[key] = kind(spec)
+        give_back()
     return _LOADED[key]
 
 
@@ -178,9 +186,13 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _load(spec.value)
-        for batch in slices(batches):
-            ids = bpe.encode(strings(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [id_col, "ids", "n_tokens"])
+        try:
+            for batch in slices(batches):
+                ids = bpe.encode(strings(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], [id_col, "ids", "n_tokens"])
+        finally:  # the worker stays and serves other steps, which need the memory
+            bpe.kept.clear()
+            give_back()
 
     kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, ids binary, n_tokens long")
@@ -192,7 +204,7 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids_col: str = "ids") -> Dat
     spec = _spec(encoded.sparkSession, tokenizer_path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = _load(spec.value)
+        bpe = _load(spec.value, Tokens)
         for batch in slices(batches, ids_col):
             made = [None if x is None else bpe.decode(x) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary()).cast(pa.string())], [*batch.schema.names, "decoded"])

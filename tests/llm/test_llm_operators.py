@@ -384,6 +384,21 @@ def test_webp_encoder_uses_the_format():
     assert "add_colour" not in used[5] and [bits.read(n) for n in (8, 14, 14, 4, 1, 2)][4:] == [1, 2]  # subtract green
 
 
+def test_bpe_words_leave_the_workers(spark):
+    rows = docs(spark, [f"word{i} und noch {i * i} andere" for i in range(200)])
+    bpe.digests(rows, bpe.default_path()).collect()
+
+    def kept(batches):
+        from seqweft.llm import bpe as own
+
+        for _ in batches:
+            for (kind, _), loaded in own._LOADED.items():
+                yield pa.RecordBatch.from_pydict({"kind": [kind.__name__], "n": [len(getattr(loaded, "kept", ()))]})
+
+    found = spark.range(0, 64, 1, 16).mapInArrow(kept, "kind string, n long").collect()
+    assert found and all(r.n == 0 for r in found)
+
+
 def test_jaccard(spark, tmp_path):
     rows = texts()
     got = on_tables(spark, tmp_path, jaccard.op5_jaccard, documents=docs(spark, rows))
