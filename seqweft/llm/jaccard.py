@@ -22,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -353,19 +354,43 @@ def _scanned(open_: DataFrame, short: DataFrame, part: int, of: int, best: bool)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _firsts(rows: DataFrame, chosen: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """The rows (node, ..) whose node is in `chosen`, and a broadcast map that they need.
+
+    Most are: a map of those that aren't keeps nearly all others out of the join, so their columns aren't shuffled.
+    """
+    copies = written(rows.select("node").join(chosen.select("node"), "node", "left_anti"), "copies")
+    bits = map_bits(copies.count())
+    shared = rows.sparkSession.sparkContext.broadcast(bit_map(copies, lambda batch: _bit(batch.column("node").to_numpy(), bits), bits))
+
+    def sifted(wanted: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = batch.filter(pa.array(is_set(shared.value, _bit(batch.column("node").to_numpy(), bits)) == wanted))
+                if own.num_rows:
+                    yield own
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return sifted(False).union(sifted(True).join(copies, "node", "left_anti")), shared
+
+
 def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFrame, DataFrame]:
     """For (id, t, text): the prefix table, and (node, s1, s2, least, c) of every different set that isn't empty: its key,
     its least id, and its component."""
     table = prefix_table(source, sketch(source))
     marks = table.select(F.col("uid").alias("node"), "n", "parity")
     slim = written(table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.min("uid").alias("node")), "classes")
-    own = table.select(F.col("uid").alias("node"), "n", "prefix").join(slim.select("node"), "node", "left_semi")
-    lists = own.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("i", "h"))
+    own, marks_of = _firsts(table.where("n > 0").select(F.col("uid").alias("node"), "n", "prefix"), slim)
+    # size and place in one number: rows of 23 million at 0.5 GB are shuffled here, most for nothing
+    lists = own.select("node", "n", F.posexplode("prefix").alias("i", "h")).select("h", "node", (F.shiftleft("n", 32) + F.col("i")).alias("ni"))
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     who = [F.bit_xor(F.xxhash64("node", F.lit(seed))).over(every).alias(f"who{seed}") for seed in (1, 2)]
-    lists = lists.select("h", "node", "n", "i", F.count("*").over(every).alias("many"), *who).where("many > 1")
+    lists = lists.select("h", "node", "ni", F.count("*").over(every).alias("many"), *who).where("many > 1")
+    sized = [F.shiftright("ni", 32).cast("int").alias("n"), F.col("ni").bitwiseAND(0xFFFFFFFF).cast("int").alias("i")]
+    lists = lists.select("h", "node", *sized, "many", *(f"who{seed}" for seed in (1, 2)))
     del own
-    lists = written(lists, "members")
+    lists = written(lists, "members", (marks_of,))
     # lists of the same sets (shingles of one passage) allow the same pairs: any of a pair's common shingles has a position
     # that doesn't rule it out, so one list stands for all of them
     one = lists.groupBy("many", "who1", "who2").agg(F.min("h").alias("h")).select("h")

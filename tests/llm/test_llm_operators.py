@@ -399,6 +399,15 @@ def test_bpe_words_leave_the_workers(spark):
     assert found and all(r.n == 0 for r in found)
 
 
+def test_jaccard_firsts_shuffle_no_prefixes(spark):
+    rows = spark.range(3000).selectExpr("id as node", "id % 7 as n", "array(id, id + 1) as prefix")
+    own, shared = jaccard._firsts(rows, rows.where("node % 5 <> 0").select("node"))
+    assert sorted(r.node for r in own.collect()) == [i for i in range(3000) if i % 5]
+    through = jaccard._firsts(rows, rows.select("node"))[0]
+    assert through.count() == 3000
+    shared.destroy()
+
+
 def test_jaccard(spark, tmp_path):
     rows = texts()
     got = on_tables(spark, tmp_path, jaccard.op5_jaccard, documents=docs(spark, rows))
