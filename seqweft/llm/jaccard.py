@@ -382,7 +382,7 @@ def classes(source: DataFrame, part: int = PART, of: int = OF) -> tuple[DataFram
     marks = table.select(F.col("uid").alias("node"), "n", "parity")
     slim = written(table.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("id").alias("least"), F.min("uid").alias("node")), "classes")
     own, marks_of = _firsts(table.where("n > 0").select(F.col("uid").alias("node"), "n", "prefix"), slim)
-    # size and place in one number: rows of 23 million at 0.5 GB are shuffled here, most for nothing
+    # size and place in one number: most bytes are shuffled here (23 million rows at 0.5 GB)
     lists = own.select("node", "n", F.posexplode("prefix").alias("i", "h")).select("h", "node", (F.shiftleft("n", 32) + F.col("i")).alias("ni"))
     every = Window.partitionBy("h").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     who = [F.bit_xor(F.xxhash64("node", F.lit(seed))).over(every).alias(f"who{seed}") for seed in (1, 2)]
