@@ -159,3 +159,32 @@ def test_leaves_follow_from_what_they_hang_on(spark, monkeypatch, weighted):
         assert all(r.parent is None or want[r.source, r.parent] == r.dist - 1 for r in found)
     assert len(got) == len(want) and dict(got) == want
     assert max(rows) < 300  # of 4,096 that are returned
+
+
+def _places_of(spark, path, customers=120):
+    spark.createDataFrame([(r,) for r in range(2)], "r_regionkey int").write.parquet(f"{path}/region.parquet")
+    spark.createDataFrame([(n, n % 2) for n in range(5)], "n_nationkey int, n_regionkey int").write.parquet(f"{path}/nation.parquet")
+    spark.createDataFrame([(c, c % 4) for c in range(customers)], "c_custkey long, c_nationkey int").write.parquet(f"{path}/customer.parquet")
+    edges = [(0, 1 + r, 1.0) for r in range(2)] + [(1 + n % 2, 100 + n, 2.0) for n in range(5)] + [(100 + c % 4, 1000 + c, 0.5) for c in range(customers)]
+    return edges, 1 + 2 + 5 + customers
+
+
+def _rows_of_sql(path, query):
+    import duckdb
+
+    from seqweft.jobs.catalogue import ORACLE_SQL
+
+    sql = duckdb.connect()
+    for t in ("region", "nation", "customer"):
+        sql.sql(f"CREATE VIEW {t} AS SELECT * FROM '{path}/{t}.parquet/*.parquet'")
+    return sorted(sql.sql(ORACLE_SQL[query]).fetchall())
+
+
+def test_hops_of_all_pairs(spark, tmp_path, monkeypatch):
+    from seqweft.jobs.catalogue import QUERIES
+
+    monkeypatch.setattr(graphs, "_BLOCK", 40)  # several blocks of sources
+    edges, n = _places_of(spark, str(tmp_path))
+    want = [(s, u, d) for s, to in _all_hops([e[:2] for e in edges]).items() for u, d in to.items()]
+    got = sorted(map(tuple, QUERIES["all_pairs_hops"](spark, str(tmp_path)).collect()))
+    assert len(got) == n * n and got == sorted(want) == _rows_of_sql(tmp_path, "all_pairs_hops")
