@@ -188,3 +188,12 @@ def test_hops_of_all_pairs(spark, tmp_path, monkeypatch):
     want = [(s, u, d) for s, to in _all_hops([e[:2] for e in edges]).items() for u, d in to.items()]
     got = sorted(map(tuple, QUERIES["all_pairs_hops"](spark, str(tmp_path)).collect()))
     assert len(got) == n * n and got == sorted(want) == _rows_of_sql(tmp_path, "all_pairs_hops")
+
+
+def test_shortest_paths_of_all_pairs(spark, tmp_path, monkeypatch):
+    from seqweft.jobs.catalogue import QUERIES
+
+    monkeypatch.setattr(graphs, "_BLOCK", 40)  # several blocks of sources
+    _, n = _places_of(spark, str(tmp_path), customers=90)
+    got = sorted(map(tuple, QUERIES["apsp"](spark, str(tmp_path)).collect()))
+    assert len(got) == n * n and got == _rows_of_sql(tmp_path, "apsp")
