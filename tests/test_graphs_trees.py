@@ -197,3 +197,29 @@ def test_shortest_paths_of_all_pairs(spark, tmp_path, monkeypatch):
     _, n = _places_of(spark, str(tmp_path), customers=90)
     got = sorted(map(tuple, QUERIES["apsp"](spark, str(tmp_path)).collect()))
     assert len(got) == n * n and got == _rows_of_sql(tmp_path, "apsp")
+
+
+def _many(seed):
+    """All cases and random graphs as components of one graph."""
+    rng, edges = random.Random(seed), []
+    cases = [*CASES.values(), [(i, i + 1) for i in range(12)], [(0, k) for k in range(1, 9)]]
+    cases += [[(rng.randrange(m), rng.randrange(m)) for _ in range(int(m * rng.uniform(0.8, 2.5)))] for m in [6, 12, 20, 40, 70, 90] * 4]
+    for i, case in enumerate(cases):
+        edges += [(1000 * i + a, 1000 * i + b) for a, b in case if a != b]
+    return edges
+
+
+@pytest.mark.parametrize("most", [1 << 23, 0])
+def test_diameters_in_memory_and_by_rows(spark, monkeypatch, most):
+    monkeypatch.setattr(graphs.packed, "MOST", most)
+    monkeypatch.setattr(graphs.packed, "_PIECE", 50)
+    edges = _many(3) if most else _many(3)[:150]
+    got = {r.component: r.diameter for r in graphs.diameters(_graph(spark, edges + [(99_999_999, 99_999_999)])).collect()}
+    assert got == _want(edges) | {99_999_999: 0}
+
+
+def test_searches_of_a_dense_graph_shuffle_no_bits(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "eccentricities", lambda *_: pytest.fail("bits of searches as rows"))
+    rng = random.Random(2)
+    edges = sorted({(1000 * c + s, 1000 * c + 100 + p) for c in range(3) for p in range(200) for s in rng.sample(range(30), 3)})
+    assert {r.component: r.diameter for r in graphs.diameters(_graph(spark, edges)).collect()} == _want(edges)
