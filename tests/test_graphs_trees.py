@@ -223,3 +223,13 @@ def test_searches_of_a_dense_graph_shuffle_no_bits(spark, monkeypatch):
     rng = random.Random(2)
     edges = sorted({(1000 * c + s, 1000 * c + 100 + p) for c in range(3) for p in range(200) for s in rng.sample(range(30), 3)})
     assert {r.component: r.diameter for r in graphs.diameters(_graph(spark, edges)).collect()} == _want(edges)
+
+
+def test_vertices_are_settled_by_several_hubs(spark, monkeypatch):
+    searched = []
+    monkeypatch.setattr(graphs.packed, "_search", lambda *args, of=graphs.packed._search, **more: (searched.append(len(args[-1])), of(*args, **more))[1])
+    rng = random.Random(1)
+    edges = sorted({(s, 90 + p) for p in range(900) for s in rng.sample(range(90), 5)})
+    assert {r.component: r.diameter for r in graphs.diameters(_graph(spark, edges)).collect()} == _want(edges)
+    # of 990 vertices; one hub doesn't settle those it is named by, since it is as far from something as the diameter
+    assert len(searched) > 1 and sum(searched) < 120
